@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm import contamination, fingerprints, html, language, packing, secrets
+from quoin.llm import contamination, fingerprints, html, language, packing, repeats, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.find_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -44,7 +52,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language, op3_decontamination, op7_main_text, op8_secrets, op10_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language, op3_decontamination, op4_suffix_dedup, op5_substring_dedup, op7_main_text, op8_secrets, op10_fingerprint)}
 
 #: Words of op3's kind, from a lower-cased text.
 _WORDS3 = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
@@ -66,5 +74,30 @@ i AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(item_id, ','
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
+""",
+    "op4_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, s, substr(h, 2 * s + 1, 100) AS p FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS s FROM d WHERE len(h) >= 100)),
+f AS (SELECT p, min(doc_id) AS first FROM g GROUP BY p),
+c AS (SELECT DISTINCT g.doc_id, unnest(range(g.s, g.s + 50)) AS i FROM g JOIN f ON g.p = f.p WHERE g.doc_id > f.first),
+n AS (SELECT doc_id, count(*) AS n_removed, sum(CASE WHEN i = before + 1 THEN 0 ELSE 1 END) AS n_spans
+      FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -2) AS before FROM c) GROUP BY doc_id),
+b AS (SELECT d.doc_id, i, substr(h, 2 * i + 1, 2) AS x FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS i FROM d WHERE doc_id IN (SELECT doc_id FROM n)) d),
+k AS (SELECT b.doc_id, string_agg(b.x, '' ORDER BY b.i) AS kept FROM b ANTI JOIN c ON b.doc_id = c.doc_id AND b.i = c.i GROUP BY b.doc_id)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN n.doc_id IS NULL THEN d.h ELSE coalesce(k.kept, '') END)) AS kept_sha256
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
+""",
+    "op5_substring_dedup": """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, s, array_to_string(w[s + 1 : s + 20], ' ') AS p FROM (SELECT doc_id, w, unnest(range(0, len(w) - 19)) AS s FROM d WHERE len(w) >= 20)),
+f AS (SELECT doc_id, s, row_number() OVER (PARTITION BY p ORDER BY doc_id, s) AS r FROM g),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM f WHERE r > 1),
+n AS (SELECT doc_id, count(*) AS n_removed FROM c GROUP BY doc_id),
+b AS (SELECT doc_id, unnest(range(0, len(w))) AS i, unnest(w) AS x FROM d WHERE doc_id IN (SELECT doc_id FROM n)),
+k AS (SELECT b.doc_id, string_agg(b.x, ' ' ORDER BY b.i) AS kept FROM b ANTI JOIN c ON b.doc_id = c.doc_id AND b.i = c.i GROUP BY b.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN n.doc_id IS NULL THEN array_to_string(d.w, ' ') ELSE coalesce(k.kept, '') END) AS kept_sha256
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
 """,
 }
