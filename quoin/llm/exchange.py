@@ -45,15 +45,3 @@ def ordered(table):
     texts = [x or b"" for x in text.to_pylist()]
     order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
     return ids[order], [texts[i] for i in order]
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in the shared folder; one of our own only where none is set (tests)."""
-    context = df.sparkSession.sparkContext
-    if not (context.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)):
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    elif not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint(eager=True)

@@ -117,7 +117,7 @@ def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, slots: int = S
 
 
 def identify(docs: DataFrame, model: Filter, text: str = "text") -> DataFrame:
-    """Add lang_pred, score and known to each row, from its whole text alone.
+    """Add lang_pred, score and known to each row (in place of columns of these names), from its whole text alone.
 
     score is the chosen language's share of all languages' hits; known is the share of the text's
     n-grams that it contains. A text that is null or has no letter is `und` with 0; so is every
@@ -146,4 +146,6 @@ def identify(docs: DataFrame, model: Filter, text: str = "text") -> DataFrame:
         known = np.where(letters, np.clip(top / np.maximum(n, 1), 0, 1), 0.0)
         return pd.DataFrame({"lang_pred": np.where(letters, np.array(languages, dtype=object)[best], "und"), "score": score, "known": known})
 
-    return docs.withColumn("_lang", run(F.col(text))).select(*docs.columns, "_lang.lang_pred", "_lang.score", "_lang.known")
+    told = docs.select(F.struct(*docs.columns).alias("_doc"), run(F.col(text)).alias("_told"))
+    kept = [F.col("_doc")[c].alias(c) for c in docs.columns if c not in ("lang_pred", "score", "known")]
+    return told.select(*kept, "_told.lang_pred", "_told.score", "_told.known")

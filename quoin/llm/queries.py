@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm import contamination, fingerprints, html, language, packing, repeats, secrets
+from quoin.llm import contamination, fingerprints, html, language, neardup, packing, perplexity, repeats, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components(_table(spark, sf_dir, "documents"), words=4)
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -48,11 +52,15 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
+def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.score(_table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language, op3_decontamination, op4_suffix_dedup, op5_substring_dedup, op7_main_text, op8_secrets, op10_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language, op3_decontamination, op4_suffix_dedup, op5_substring_dedup, op6_near_duplicates, op7_main_text, op8_secrets, op9_perplexity, op10_fingerprint)}
 
 #: Words of op3's kind, from a lower-cased text.
 _WORDS3 = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"

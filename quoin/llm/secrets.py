@@ -150,20 +150,44 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return rows.where(F.col("string").rlike("[0-9]") & F.col("string").rlike("[A-Za-z]"))
 
 
+_SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
+def _scanned(docs: DataFrame, key: str, text: str, level: float) -> DataFrame:
+    """(_doc: the whole row as a struct, key, _text, base_spans, random_spans)."""
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = rows.withColumn("_row", F.xxhash64("_text"))
+    found = rejected(battery(candidates(rows.select(F.struct("_key", "_row").alias("_owner"), "_text"), "_owner")), level)
+    flagged = found.where(~F.col("ordinary")).select("_owner._key", "_owner._row", "start", "end").distinct()
+    flagged = flagged.groupBy("_key", "_row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end"))).alias("_random"))
+    rows = rows.withColumn("base_spans", base_spans(F.col("_text"))).join(flagged, ["_key", "_row"], "left")
+    inside = lambda r: F.exists("base_spans", lambda b: (b["start"] <= r["start"]) & (r["end"] <= b["end"]))
+    return rows.withColumn("random_spans", F.filter(F.coalesce("_random", F.array().cast(_SPANS)), lambda r: ~inside(r)))
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", level: float = LEVEL) -> DataFrame:
     """One row for each document: base_spans and random_spans (array<struct<start, kind, end>>; kind 3 is random).
 
     A random span that lies within a base span is left out. Null counts as an empty text. Repeated
     keys give repeated rows, each with the spans of its own text.
     """
-    docs = docs.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    found = rejected(battery(candidates(docs.withColumn("_row", F.xxhash64("_text")).select(F.struct(key, "_row").alias(key), "_text"), key)), level)
-    flagged = found.where(~F.col("ordinary")).select(F.col(f"{key}.{key}").alias(key), F.col(f"{key}._row").alias("_row"), "start", "end").distinct()
-    flagged = flagged.groupBy(key, "_row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end"))).alias("_random"))
-    rows = docs.select(key, F.xxhash64("_text").alias("_row"), base_spans(F.col("_text")).alias("base_spans"))
-    rows = rows.join(flagged, [key, "_row"], "left")
-    random = F.filter(F.coalesce("_random", F.array().cast("array<struct<start:int,kind:int,end:int>>")), lambda r: ~F.exists("base_spans", lambda b: (b["start"] <= r["start"]) & (r["end"] <= b["end"])))
-    return rows.select(key, "base_spans", random.alias("random_spans"))
+    return _scanned(docs.select(key, text), key, text, level).select(F.col("_key").alias(key), "base_spans", "random_spans")
+
+
+def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[secret]", level: float = LEVEL) -> DataFrame:
+    """The documents with each span of their texts replaced by `mark`, once where spans overlap.
+
+    All columns and rows stay; texts without spans, null ones included, stay as they are."""
+    rows = _scanned(docs, key, text, level).withColumn("_spans", F.array_sort(F.concat("base_spans", "random_spans")))
+    whole = F.col("_text")
+
+    def step(state, s):
+        gap = F.when(s["start"] >= state["at"], F.concat(F.substr(whole, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))).otherwise(F.lit(""))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], gap).alias("out"))
+
+    last = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    clean = F.when(F.size("_spans") == 0, F.col("_doc")[text]).otherwise(F.concat(last["out"], F.substr(whole, last["at"] + 1)))
+    return rows.select(*[clean.alias(c) if c == text else F.col("_doc")[c].alias(c) for c in docs.columns])
 
 
 def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -173,20 +197,3 @@ def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
     count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long")
     counts = [count(k).alias(f"n_{name}") for k, (name, *_) in enumerate(KINDS)]
     return scanned.select(key, *counts, F.sha2(joined(base, names), 256).alias("base_sha256"), joined(F.array_sort(F.concat(base, "random_spans")), names).alias("spans"))
-
-
-def redact(docs: DataFrame, scanned: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """Documents with each span's text replaced by `mark`; overlapping spans are replaced once."""
-    spans = F.array_sort(F.concat("base_spans", "random_spans"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.coalesce(F.col(text), F.lit(""))
-
-    def step(state, s):
-        gap = F.when(s["start"] >= state["at"], F.concat(whole.substr(state["at"] + 1, s["start"] - state["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], gap).alias("out"))
-
-    last = F.aggregate(spans, start, step)
-    rest = whole.substr(last["at"] + 1, F.length(whole))
-    found = scanned.where(F.size("base_spans") + F.size("random_spans") > 0).dropDuplicates([key])
-    clean = F.when(F.col("base_spans").isNull(), F.col(text)).otherwise(F.concat(last["out"], rest))
-    return docs.join(found, key, "left").withColumn(text, clean).select(*docs.columns)
