@@ -1,11 +1,603 @@
-"""Queries over the given star-schema tables, one for each relational operator of the engine."""
+"""Queries over the given tables, one or more for each relational operator of the engine.
+
+Each is the operator on an analogue of its own data (parts for plans, users for scenes), so its
+result can be held against SQL; ORACLES has that SQL, in DuckDB's dialect.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quoin.functions import dimensions
+from quoin.operators import cells, density, fusion, matching, nearest, reports, sequence
+from quoin.operators.graph import connected_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "robust_median_scale"
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their time in seconds since the epoch (us: in microseconds)."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").withColumn("us", us).withColumn("sec", us / 1_000_000)
+
+
+def r(column, digits: int = 6):
+    return F.round(F.col(column) if isinstance(column, str) else column, digits)
+
+
+EV = "ev AS (SELECT *, epoch_us(ts) AS us, epoch_us(ts) / 1000000.0 AS sec FROM events)"
+
+
+@query("""
+WITH w AS (SELECT l_partkey, l_extendedprice AS x FROM lineitem WHERE l_extendedprice > 5),
+q AS (SELECT l_partkey, quantile_cont(x, 0.9) AS q FROM w GROUP BY l_partkey)
+SELECT w.l_partkey, round(780000 / median(x), 9) AS scale, count(*) AS n FROM w JOIN q ON w.l_partkey = q.l_partkey WHERE x >= 0.5 * q GROUP BY w.l_partkey
+""")
+def robust_median_scale(spark, sf_dir):
+    scale = density.robust_scale(table(spark, sf_dir, "lineitem").select("l_partkey", "l_extendedprice"), ["l_partkey"], "l_extendedprice", prior=780000.0)
+    return scale.select("l_partkey", r("scale", 9).alias("scale"), "n")
+
+
+@query(f"""
+WITH {EV},
+f AS (SELECT user_id, event_id, us, CASE WHEN us - lag(us) OVER w > 1800000000 OR lag(us) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+i AS (SELECT user_id, us, sum(b) OVER (PARTITION BY user_id ORDER BY us, event_id) AS island FROM f)
+SELECT user_id, CAST(island AS BIGINT) AS island, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM i GROUP BY user_id, island
+""")
+def session_islands(spark, sf_dir):
+    rows = sequence.gap_islands(events(spark, sf_dir), ["user_id"], "us", 1_800_000_000, ["us", "event_id"])
+    return rows.groupBy("user_id", "island").agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+
+
+@query(f"""
+WITH {EV},
+p AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY us, event_id) - 1 AS pos, count(*) OVER (PARTITION BY event_type) AS m FROM ev),
+b AS (SELECT *, CASE WHEN m > 30 THEN pos * 30 // m ELSE pos END AS bin FROM p),
+k AS (SELECT *, row_number() OVER (PARTITION BY event_type, bin ORDER BY value DESC, pos) AS rn FROM b)
+SELECT event_type, bin, event_id, pos, round(value, 6) AS value FROM k WHERE rn = 1
+""")
+def bin_argmax(spark, sf_dir):
+    best = sequence.bin_argmax(events(spark, sf_dir), ["event_type"], ["us", "event_id"], "value", 30)
+    return best.select("event_type", "bin", "event_id", F.col("pos").cast("long").alias("pos"), r("value").alias("value"))
+
+
+@query("SELECT vec_id, vec_id >= 4 AND vec_id % 8 = 4 AS is_test FROM embeddings")
+def holdout_split(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", sequence.holdout(F.col("vec_id"), 8).alias("is_test"))
+
+
+@query(f"""
+WITH {EV}, p AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS m FROM ev),
+j AS (SELECT DISTINCT user_id, m, j * (m - 1) // 4 AS i FROM (SELECT DISTINCT user_id, m FROM p WHERE m > 5), (SELECT unnest(range(0, 5)) AS j))
+SELECT user_id, event_id FROM p WHERE m <= 5 UNION ALL SELECT p.user_id, event_id FROM p JOIN j ON p.user_id = j.user_id AND p.i = j.i
+""")
+def even_subsample(spark, sf_dir):
+    return sequence.even_pick(events(spark, sf_dir), ["user_id"], ["us", "event_id"], 5).select("user_id", "event_id")
+
+
+_VOTES = "v AS (SELECT p_brand AS brand, round(ln(l_extendedprice / l_quantity), 3) AS x, CAST(count(*) AS DOUBLE) AS w FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
+
+
+@query(f"""
+WITH {_VOTES},
+m AS (SELECT brand, min(x) AS lo, max(x) AS hi FROM v GROUP BY brand),
+g AS (SELECT brand, i, lo - 0.1 + i * 0.00515 AS g FROM (SELECT brand, lo, unnest(range(0, CAST(ceil((hi - lo + 0.2) / 0.00515) AS BIGINT))) AS i FROM m)),
+d AS (SELECT g.brand, i, g, round(sum(w * exp(-0.5 * pow((g - x) / 0.0206, 2))), 9) AS d FROM g JOIN v ON g.brand = v.brand GROUP BY ALL),
+t AS (SELECT brand, g FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY d DESC, i) AS k FROM d) WHERE k = 1)
+SELECT v.brand, round(any_value(g), 6) AS mode, round(exp(sum(w * x) / sum(w)), 6) AS scale, CAST(sum(w) AS BIGINT) AS support
+FROM v JOIN t ON v.brand = t.brand WHERE abs(x - g) < 0.0412 GROUP BY v.brand
+""")
+def kde_mode(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    votes = rows.groupBy(F.col("p_brand").alias("brand"), F.round(F.log(F.col("l_extendedprice") / F.col("l_quantity")), 3).alias("x")).agg(F.count("*").cast("double").alias("w"))
+    mode = density.kde_mode(votes, ["brand"], "x", "w", bandwidth=0.0206)
+    return mode.select("brand", r("mode").alias("mode"), r("scale").alias("scale"), F.col("support").cast("long").alias("support"))
+
+
+_HIST = """h AS (SELECT l_returnflag AS flag, CAST(floor(l_extendedprice / 500) AS BIGINT) AS bin, count(*) AS w FROM lineitem GROUP BY 1, 2),
+s AS (SELECT flag, unnest(range(min(bin), max(bin) + 1)) AS bin FROM h GROUP BY flag),
+d AS (SELECT s.flag, s.bin, coalesce(w, 0) AS w FROM s LEFT JOIN h ON s.flag = h.flag AND s.bin = h.bin)"""
+
+
+@query(f"""
+WITH {_HIST},
+m AS (SELECT flag, bin, coalesce(lag(w) OVER o, 0) / 4.0 + w / 2.0 + coalesce(lead(w) OVER o, 0) / 4.0 AS s FROM d WINDOW o AS (PARTITION BY flag ORDER BY bin)),
+n AS (SELECT *, coalesce(lag(s) OVER o, 0) AS p, coalesce(lead(s) OVER o, 0) AS q FROM m WINDOW o AS (PARTITION BY flag ORDER BY bin))
+SELECT flag, bin, round(s, 6) AS height FROM n WHERE s >= p AND s > q AND s >= 3
+""")
+def hist_peaks(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
+    return density.histogram_peaks(rows, ["flag"], "l_extendedprice", 500.0, 3.0).select("flag", "bin", r("height").alias("height"))
+
+
+@query(f"""
+WITH {_HIST},
+s2 AS (SELECT flag, bin, sum(w) OVER (PARTITION BY flag ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM d),
+t AS (SELECT *, max(s) OVER (PARTITION BY flag ORDER BY bin ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS m FROM s2)
+SELECT flag, round((max(bin) - min(bin)) * 500.0, 6) AS extent, count(*) AS peaks FROM t WHERE s >= 10 AND s = m GROUP BY flag
+""")
+def outer_peaks(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
+    return density.outer_peaks(rows, ["flag"], "l_extendedprice", 500.0, 10.0).select("flag", r("extent").alias("extent"), "peaks")
+
+
+@query(f"""
+WITH {EV} SELECT event_type, round(atan2(sum(value * sin(4 * a)), sum(value * cos(4 * a))) / 4, 9) AS heading
+FROM (SELECT event_type, value, (CAST(us AS BIGINT) // 3600000000 % 24) * pi() / 12 AS a FROM ev) GROUP BY event_type
+""")
+def circular_mean(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumn("a", F.expr("us div 3600000000 % 24 * pi() / 12"))
+    return rows.groupBy("event_type").agg(r(density.circular_mean(F.col("a"), F.col("value")), 9).alias("heading"))
+
+
+@query(f"""
+WITH {EV}, b AS (SELECT event_type, CAST(floor((value - 90 * floor(value / 90)) / 0.5) AS BIGINT) AS b, count(*) AS w FROM ev GROUP BY 1, 2)
+SELECT event_type, (b + 0.5) * 0.5 AS angle FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY w DESC, b) AS k FROM b) WHERE k = 1
+""")
+def skew_angle(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumn("w", F.lit(1.0))
+    return density.angle_mode(rows, ["event_type"], "value", "w")
+
+
+def _round_sql(k: int) -> str:
+    w = "1.0" if k == 0 else f"CASE WHEN abs(y - (slope * x + shift)) <= 500 THEN 1.0 ELSE 500 / abs(y - (slope * x + shift)) END"
+    source = "d" if k == 0 else f"(SELECT d.*, slope, shift FROM d JOIN f{k - 1} USING (flag))"
+    return f"""f{k} AS (SELECT flag, (s0 * sxy - sx * sy) / (s0 * sxx - sx * sx) AS slope, (sy - (s0 * sxy - sx * sy) / (s0 * sxx - sx * sx) * sx) / s0 AS shift FROM
+(SELECT flag, sum(w) AS s0, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM (SELECT *, {w} AS w FROM {source}) GROUP BY flag))"""
+
+
+@query("WITH d AS (SELECT l_returnflag AS flag, l_quantity AS x, l_extendedprice AS y FROM lineitem), " + ", ".join(_round_sql(k) for k in range(4)) + " SELECT flag, round(slope, 4) AS slope, round(shift, 3) AS shift FROM f3")
+def irls_fit(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "flag")
+    return density.irls(rows, ["flag"], "l_quantity", "l_extendedprice", 3, 500.0).select("flag", r("slope", 4).alias("slope"), r("shift", 3).alias("shift"))
+
+
+@query("""
+WITH g AS (SELECT l_returnflag AS flag, l_suppkey, median(l_extendedprice / l_quantity) AS m, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 10)
+SELECT flag, round(median(m), 6) AS median, round(quantile_cont(m, 0.75) - quantile_cont(m, 0.25), 6) AS spread, count(*) AS groups FROM g GROUP BY flag
+""")
+def nested_median(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_suppkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("x"))
+    return density.nested_median(rows, ["flag"], ["l_suppkey"], "x").select("flag", r("median").alias("median"), r("spread").alias("spread"), "groups")
+
+
+@query("""
+SELECT l_returnflag AS flag, CASE WHEN count(*) >= 20 THEN greatest(3, quantile_cont(l_quantity, 0.1)) ELSE 4 END AS t_min,
+CASE WHEN count(*) >= 20 THEN greatest(3, quantile_cont(l_quantity, 0.5)) ELSE 8 END AS t_typ, CASE WHEN count(*) >= 20 THEN greatest(3, quantile_cont(l_quantity, 0.95)) ELSE 20 END AS t_max FROM lineitem GROUP BY 1
+""")
+def thickness_quantiles(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "flag")
+    q = F.percentile("l_quantity", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.95)))
+    agg = rows.groupBy("flag").agg(q.alias("q"), F.count("*").alias("n"))
+    pick = lambda i, default: F.when(F.col("n") >= 20, F.greatest(F.lit(3.0), F.col("q")[i])).otherwise(float(default))
+    return agg.select("flag", pick(0, 4).alias("t_min"), pick(1, 8).alias("t_typ"), pick(2, 20).alias("t_max"))
+
+
+@query("""
+SELECT lang, sum(n_chars) AS weight, round(sum(CASE WHEN toxic = 1 THEN n_chars ELSE 0 END) / greatest(sum(n_chars), 1e-9), 9) AS generated,
+round(sum(CASE WHEN coalesce(toxic, 0) <> 1 AND quality = 1 THEN n_chars ELSE 0 END) / greatest(sum(n_chars), 1e-9), 9) AS observed,
+round(sum(CASE WHEN coalesce(toxic, 0) <> 1 AND coalesce(quality, 0) <> 1 THEN n_chars ELSE 0 END) / greatest(sum(n_chars), 1e-9), 9) AS unknown
+FROM (SELECT lang, CAST(n_chars AS DOUBLE) AS n_chars, toxic, quality FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY lang
+""")
+def provenance_rollup(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    shares = fusion.class_shares(rows, ["lang"], {"generated": F.col("toxic") == 1, "observed": F.col("quality") == 1, "unknown": F.lit(True)}, F.col("n_chars"))
+    return shares.select("lang", "weight", *[r(c, 9).alias(c) for c in ("generated", "observed", "unknown")])
+
+
+@query("""
+SELECT lang, sum(CAST(p AND t AS INT))::BIGINT AS tp, sum(CAST(p AS INT))::BIGINT AS n_pred, sum(CAST(t AS INT))::BIGINT AS n_true,
+round(CASE WHEN sum(CAST(p AS INT)) > 0 THEN sum(CAST(p AND t AS INT)) / sum(CAST(p AS INT)) WHEN sum(CAST(t AS INT)) = 0 THEN 1.0 ELSE 0.0 END, 9) AS precision,
+round(CASE WHEN sum(CAST(t AS INT)) > 0 THEN sum(CAST(p AND t AS INT)) / sum(CAST(t AS INT)) ELSE 1.0 END, 9) AS recall
+FROM (SELECT lang, n_chars > 1500 AS p, quality = 1 AS t FROM documents JOIN labels USING (doc_id)) GROUP BY lang
+""")
+def precision_recall(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+    out = reports.precision_recall(rows, ["lang"], F.col("n_chars") > 1500, F.col("quality") == 1)
+    return out.select("lang", "tp", "n_pred", "n_true", r("precision", 9).alias("precision"), r("recall", 9).alias("recall"))
+
+
+@query("""
+WITH m AS (SELECT o_orderstatus AS status, o_orderpriority AS priority, round(avg(o_totalprice), 3) AS price FROM orders GROUP BY 1, 2)
+SELECT status, priority, price, abs(price - max(price) OVER (PARTITION BY priority)) <= 1e-9 AS best_price FROM m
+""")
+def config_summary(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("price"))
+    return reports.mark_best(reports.summary(rows, ["status", "priority"], ["price"]), {"price": True}, ["priority"])
+
+
+@query("SELECT o_orderstatus AS status, string_agg(o_orderpriority || '=' || n, ';' ORDER BY o_orderpriority) AS counts FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1")
+def source_counts(spark, sf_dir):
+    found = reports.nested_counts(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority")
+    return found.select(F.col("o_orderstatus").alias("status"), F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("counts"))
+
+
+@query("""
+WITH p AS (SELECT c_nationkey AS nation, avg(o_totalprice) FILTER (o_orderstatus = 'O') AS base, avg(o_totalprice) FILTER (o_orderstatus = 'F') AS other FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+g AS (SELECT *, other - base AS gain FROM p WHERE other - base IS NOT NULL)
+(SELECT nation, round(base, 4) AS base, round(other, 4) AS other, round(gain, 4) AS gain, 'gain' AS pick FROM g ORDER BY gain DESC, nation LIMIT 5)
+UNION ALL (SELECT nation, round(base, 4), round(other, 4), round(gain, 4), 'loss' FROM g ORDER BY gain, nation LIMIT 1)
+""")
+def pivot_gain(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.select(F.col("c_nationkey").alias("nation"), "o_orderstatus", "o_totalprice")
+    out = reports.pivot_gain(rows, "nation", "o_orderstatus", "o_totalprice", "O", "F", 5)
+    return out.select("nation", *[r(c, 4).alias(c) for c in ("base", "other", "gain")], "pick")
+
+
+_DIST = "sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2))))"
+
+
+def _halves(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    even, odd = e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1")
+    return even.select("label", F.col("vec_id").alias("a_id"), F.col("embedding").alias("a_vec")), odd.select("label", F.col("vec_id").alias("b_id"), F.col("embedding").alias("b_vec"))
+
+
+@query(f"""
+WITH a AS (SELECT label, vec_id, embedding AS v FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT label, vec_id, embedding AS v FROM embeddings WHERE vec_id % 2 = 1),
+ok AS (SELECT label FROM a GROUP BY label HAVING count(*) >= 8 INTERSECT SELECT label FROM b GROUP BY label HAVING count(*) >= 8),
+p AS (SELECT a.label, a.vec_id AS a_id, b.vec_id AS b_id, round({_DIST}, 9) AS d FROM a JOIN b ON a.label = b.label WHERE a.label IN (SELECT label FROM ok)),
+k AS (SELECT *, row_number() OVER (PARTITION BY label, a_id ORDER BY d, b_id) AS ra, row_number() OVER (PARTITION BY label, b_id ORDER BY d, a_id) AS rb, lead(d) OVER (PARTITION BY label, a_id ORDER BY d, b_id) AS d2 FROM p)
+SELECT label, a_id, b_id, round(d, 6) AS d FROM k WHERE ra = 1 AND rb = 1 AND d < 0.95 * d2
+""")
+def mutual_nn_ratio(spark, sf_dir):
+    a, b = _halves(spark, sf_dir)
+    return nearest.mutual_nearest(a, b, ["label"], "a_id", "b_id", "a_vec", "b_vec", 0.95).select("label", "a_id", "b_id", r("d").alias("d"))
+
+
+_DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
+
+
+@query(f"""
+WITH p AS (SELECT a.label, a.vec_id, b.vec_id AS other, round({_DOT.format("a.embedding", "b.embedding")} / sqrt({_DOT.format("a.embedding", "a.embedding")} * {_DOT.format("b.embedding", "b.embedding")}), 9) AS s
+FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE abs(a.vec_id - b.vec_id) > 6),
+k AS (SELECT *, row_number() OVER (PARTITION BY label, vec_id ORDER BY s DESC, other) AS k FROM p WHERE s > 0)
+SELECT label, vec_id, other, round(s, 6) AS similarity, k AS rank FROM k WHERE k <= 5
+""")
+def topk_outside_band(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
+    return nearest.top_outside_band(rows, ["label"], "vec_id", "embedding").withColumn("similarity", r("similarity"))
+
+
+@query(f"""
+WITH a AS (SELECT label, vec_id, embedding AS v FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT label, vec_id, embedding AS v FROM embeddings WHERE vec_id % 2 = 1),
+p AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, {_DIST} AS d FROM a JOIN b ON a.label = b.label),
+x AS (SELECT label, avg(d) AS accuracy, avg(CAST(d < 6 AS INT)) AS precision FROM (SELECT label, i, min(d) AS d FROM p GROUP BY 1, 2) GROUP BY 1),
+y AS (SELECT label, avg(d) AS completeness, avg(CAST(d < 6 AS INT)) AS recall FROM (SELECT label, j, min(d) AS d FROM p GROUP BY 1, 2) GROUP BY 1)
+SELECT label, round(accuracy, 6) AS accuracy, round(completeness, 6) AS completeness, round((accuracy + completeness) / 2, 6) AS chamfer, round(precision, 6) AS precision, round(recall, 6) AS recall,
+round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f_score FROM x JOIN y USING (label)
+""")
+def nearest_distance(spark, sf_dir):
+    a, b = _halves(spark, sf_dir)
+    acc = nearest.nearest_distance(a, b, ["label"], "a_id", "a_vec", "b_vec")
+    comp = nearest.nearest_distance(b, a, ["label"], "b_id", "b_vec", "a_vec")
+    out = nearest.surface_scores(acc, comp, ["label"], 6.0)
+    return out.select("label", *[r(c).alias(c) for c in ("accuracy", "completeness", "chamfer", "precision", "recall", "f_score")])
+
+
+@query("""
+WITH p AS (SELECT label, embedding AS a, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings)
+SELECT label, round(10 * log10(1 / greatest(avg(e), 1e-12)), 6) AS psnr FROM (SELECT label, unnest(list_transform(list_zip(a, b), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2))) AS e FROM p WHERE b IS NOT NULL) GROUP BY label
+""")
+def psnr_by_label(spark, sf_dir):
+    w = Window.partitionBy("label").orderBy("vec_id")
+    rows = table(spark, sf_dir, "embeddings").withColumn("b", F.lead("embedding").over(w)).where("b is not null")
+    e = rows.select("label", F.explode(F.zip_with("embedding", "b", lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0)))).alias("e"))
+    return e.groupBy("label").agg(r(reports.psnr(F.col("e"))).alias("psnr"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT doc_id AS a, lag(doc_id) OVER (PARTITION BY source, n_chars ORDER BY doc_id) AS b FROM documents
+UNION SELECT doc_id, lag(doc_id) OVER (PARTITION BY substr(text, 1, 40) ORDER BY doc_id) FROM documents),
+s AS (SELECT a, b FROM e WHERE b IS NOT NULL UNION SELECT b, a FROM e WHERE b IS NOT NULL),
+c AS (SELECT a AS id, a AS root FROM s UNION SELECT s.b, c.root FROM c JOIN s ON c.id = s.a)
+SELECT id, min(root) AS component FROM c GROUP BY id
+""")
+def components_tracks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.substring("text", 1, 40).alias("head"))
+    chain = lambda *by: docs.select(F.col("doc_id").alias("a"), F.lag("doc_id").over(Window.partitionBy(*by).orderBy("doc_id")).alias("b"))
+    return connected_components(chain("source", "n_chars").unionByName(chain("head")).where("b is not null"))
+
+
+@query(f"""
+WITH {EV}, c AS (SELECT user_id, event_id, us FROM ev WHERE event_type = 'click'), p AS (SELECT user_id, event_id AS host_id, us AS host_us FROM ev WHERE event_type = 'purchase'),
+k AS (SELECT c.user_id, event_id, host_id, abs(us - host_us) / 3600000000 AS hours FROM c JOIN p ON c.user_id = p.user_id WHERE abs(us - host_us) <= 259200000000),
+s AS (SELECT *, CASE WHEN hours <= 24 THEN hours ELSE hours + 1000 END AS score FROM k)
+SELECT user_id, event_id, host_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_id ORDER BY score, host_id) AS r FROM s) WHERE r = 1
+""")
+def best_host(spark, sf_dir):
+    e = events(spark, sf_dir)
+    clicks = e.where("event_type = 'click'").select("user_id", "event_id", "us")
+    hosts = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("host_id"), F.col("us").alias("host_us"))
+    hours = F.abs(F.col("us") - F.col("host_us")) / 3_600_000_000
+    out = nearest.best_host(clicks, hosts, ["user_id"], "event_id", "host_id", hours <= 24, hours <= 72, hours)
+    return out.select("user_id", "event_id", "host_id", r("score").alias("score"))
+
+
+@query(f"""
+WITH RECURSIVE {EV}, o AS (SELECT user_id, event_id, us, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM ev),
+g AS (SELECT user_id, 0::BIGINT AS k, []::BIGINT[] AS kept, []::BIGINT[] AS ids FROM (SELECT DISTINCT user_id FROM o)
+UNION ALL SELECT g.user_id, o.k, CASE WHEN len(list_filter(g.kept, lambda x: abs(x - o.us) < 86400000000)) > 0 THEN g.kept ELSE list_append(g.kept, o.us) END,
+CASE WHEN len(list_filter(g.kept, lambda x: abs(x - o.us) < 86400000000)) > 0 THEN g.ids ELSE list_append(g.ids, o.event_id) END FROM g JOIN o ON g.user_id = o.user_id AND o.k = g.k + 1)
+SELECT user_id, unnest(ids) AS event_id FROM (SELECT user_id, ids, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS r FROM g) WHERE r = 1
+""")
+def greedy_nms(spark, sf_dir):
+    return nearest.suppress(events(spark, sf_dir), ["user_id"], [-F.col("value"), F.col("event_id")], "us", 86_400_000_000.0, ["event_id"])
+
+
+def _clicks_and_purchases(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return e.where("event_type = 'click'").select("user_id", "event_id", "us"), e.where("event_type = 'purchase'").select("user_id", "us")
+
+
+_NEAR = f"WITH {EV} SELECT user_id, event_id, us FROM ev c WHERE event_type = 'click' AND {{0}} EXISTS (SELECT 1 FROM ev p WHERE p.event_type = 'purchase' AND p.user_id = c.user_id AND abs(p.us - c.us) <= 86400000000)"
+
+
+@query(_NEAR.format(""))
+def band_semi(spark, sf_dir):
+    return nearest.bucketed_band(*_clicks_and_purchases(spark, sf_dir), ["user_id"], "us", "us", 86_400_000_000)
+
+
+@query(_NEAR.format("NOT"))
+def band_anti(spark, sf_dir):
+    return nearest.bucketed_band(*_clicks_and_purchases(spark, sf_dir), ["user_id"], "us", "us", 86_400_000_000, "left_anti")
+
+
+@query(f"""
+WITH {EV}, p AS (SELECT user_id, event_id, value, lag(value) OVER w AS pv, lead(value) OVER w AS nv FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+s AS (SELECT user_id, median(abs(value - pv)) AS step FROM p GROUP BY user_id)
+SELECT p.user_id, event_id FROM p JOIN s ON p.user_id = s.user_id WHERE step IS NULL OR coalesce(abs(value - pv) <= step, false) OR coalesce(abs(value - nv) <= step, false)
+""")
+def jump_filter(spark, sf_dir):
+    return sequence.jump_filter(events(spark, sf_dir), ["user_id"], ["us", "event_id"], "value", 1.0).select("user_id", "event_id")
+
+
+@query(f"""
+WITH {EV}, p AS (SELECT user_id, event_id, value, list_concat(coalesce(list(value) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), []),
+coalesce(list(value) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), [])) AS near FROM ev),
+c AS (SELECT *, len(list_filter(near, lambda v: abs(v - value) <= 0.3 * abs(value))) AS agree FROM p)
+SELECT user_id, event_id FROM c WHERE agree >= 2 OR len(near) < 2
+""")
+def neighbour_agreement(spark, sf_dir):
+    return sequence.neighbour_agreement(events(spark, sf_dir), ["user_id"], ["us", "event_id"], "value", 3, 0.3).select("user_id", "event_id")
+
+
+@query("SELECT l_returnflag AS flag, CAST(floor(l_quantity / 10) AS BIGINT) AS cell_q, CAST(floor(l_extendedprice / 5000) AS BIGINT) AS cell_p, round(avg(l_quantity), 6) AS q, round(avg(l_extendedprice), 4) AS p, round(avg(l_tax), 6) AS tax, count(*) AS n FROM lineitem GROUP BY 1, 2, 3")
+def cell_cluster(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"), F.col("l_tax").alias("tax"))
+    return fusion.cell_cluster(rows, ["flag"], ["q", "p"], [10.0, 5000.0], ["tax"]).select("flag", "cell_q", "cell_p", r("q").alias("q"), r("p", 4).alias("p"), r("tax").alias("tax"), "n")
+
+
+@query("SELECT l_partkey, round(sum(l_discount * l_quantity) / sum(l_quantity), 9) AS fused, round(sum(l_quantity), 6) AS weight FROM lineitem GROUP BY 1 HAVING sum(l_quantity) > 0")
+def weighted_fusion(spark, sf_dir):
+    return fusion.weighted_mean(table(spark, sf_dir, "lineitem"), ["l_partkey"], "l_discount", "l_quantity").select("l_partkey", r("fused", 9).alias("fused"), r("weight").alias("weight"))
+
+
+@query("""
+WITH s AS (SELECT l_suppkey, l_discount - 0.05 AS sdf, l_quantity / 5 AS depth, l_tax AS red FROM lineitem),
+k AS (SELECT *, least(sdf / 0.04, 1.0) AS s, 1 / greatest(depth, 0.3) AS w FROM s WHERE depth < 8 AND sdf >= -0.04)
+SELECT l_suppkey, round(sum(s * w) / sum(w), 9) AS tsdf, round(sum(w), 9) AS weight, round(sum(red * w) FILTER (abs(sdf) < 0.04) / sum(w) FILTER (abs(sdf) < 0.04), 9) AS red FROM k GROUP BY 1
+""")
+def truncated_fusion(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_discount") - 0.05).alias("sdf"), (F.col("l_quantity") / 5).alias("depth"), F.col("l_tax").alias("red"))
+    out = fusion.fuse_samples(rows, ["l_suppkey"], "sdf", "depth", ["red"], 0.04)
+    return out.select("l_suppkey", *[r(c, 9).alias(c) for c in ("tsdf", "weight", "red")])
+
+
+@query("""
+SELECT l_shipmode_proxy AS flag, round(quantile_cont(l_quantity, 0.005) - (quantile_cont(l_quantity, 0.995) - quantile_cont(l_quantity, 0.005)) * 0.1 - 0.1, 6) AS l_quantity_min,
+round(quantile_cont(l_quantity, 0.995) + (quantile_cont(l_quantity, 0.995) - quantile_cont(l_quantity, 0.005)) * 0.1 + 0.1, 6) AS l_quantity_max FROM (SELECT l_linestatus AS l_shipmode_proxy, l_quantity FROM lineitem) GROUP BY 1
+""")
+def robust_bounds(spark, sf_dir):
+    out = fusion.bounds(table(spark, sf_dir, "lineitem").withColumnRenamed("l_linestatus", "flag"), ["flag"], ["l_quantity"])
+    return out.select("flag", r("l_quantity_min").alias("l_quantity_min"), r("l_quantity_max").alias("l_quantity_max"))
+
+
+@query("""
+WITH RECURSIVE k0 AS (SELECT p_brand AS brand, CAST(p_size AS DOUBLE) AS o, median(p_retailprice) AS n FROM part GROUP BY 1, 2),
+k1 AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY o, n) AS i FROM k0),
+f AS (SELECT brand, i, o, n, true AS kept FROM k1 WHERE i = 1
+UNION ALL SELECT k1.brand, k1.i, CASE WHEN k1.o - f.o > 0.5 AND k1.n > f.n THEN k1.o ELSE f.o END, CASE WHEN k1.o - f.o > 0.5 AND k1.n > f.n THEN k1.n ELSE f.n END, k1.o - f.o > 0.5 AND k1.n > f.n FROM f JOIN k1 ON k1.brand = f.brand AND k1.i = f.i + 1),
+k AS (SELECT brand, o, n, lead(o) OVER w AS o2, lead(n) OVER w AS n2, row_number() OVER w AS r FROM f WHERE kept WINDOW w AS (PARTITION BY brand ORDER BY o)),
+v AS (SELECT p_partkey, p_brand AS brand, p_size + 0.25 AS x FROM part)
+SELECT p_partkey, round(CASE WHEN o2 IS NOT NULL AND x >= o THEN n + (x - o) * (n2 - n) / (o2 - o) ELSE x + n - o END, 6) AS mapped
+FROM v JOIN k ON v.brand = k.brand AND ((x >= o AND (o2 IS NULL OR x < o2)) OR (r = 1 AND x < o))
+""")
+def piecewise_remap(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    knots = part.groupBy(F.col("p_brand").alias("brand"), F.col("p_size").cast("double").alias("old")).agg(F.median("p_retailprice").alias("new"))
+    points = part.select("p_partkey", F.col("p_brand").alias("brand"), (F.col("p_size") + 0.25).alias("x"))
+    return sequence.remap(points, knots, ["brand"], "x").select("p_partkey", r("mapped").alias("mapped"))
+
+
+@query("""
+WITH d AS (SELECT DISTINCT p_brand AS brand, p_size AS t FROM part),
+f AS (SELECT brand, t, CASE WHEN t > lag(t) OVER w * 1.3 OR lag(t) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM d WINDOW w AS (PARTITION BY brand ORDER BY t))
+SELECT brand, t, CAST(sum(b) OVER (PARTITION BY brand ORDER BY t) AS BIGINT) AS cluster FROM f
+""")
+def cluster_by_gap(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_size").alias("t")).distinct()
+    return sequence.ratio_clusters(rows, ["brand"], "t")
+
+
+@query("""
+WITH RECURSIVE d AS (SELECT brand, t, row_number() OVER (PARTITION BY brand ORDER BY t) AS i FROM (SELECT DISTINCT p_brand AS brand, round(p_retailprice, 2) AS t FROM part)),
+f AS (SELECT brand, i, t AS last, true AS kept FROM d WHERE i = 1 UNION ALL SELECT d.brand, d.i, CASE WHEN d.t - f.last > 25 THEN d.t ELSE f.last END, d.t - f.last > 25 FROM f JOIN d ON d.brand = f.brand AND d.i = f.i + 1)
+SELECT brand, last AS t FROM f WHERE kept
+""")
+def keep_apart(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.array_sort(F.collect_set(F.round("p_retailprice", 2))).alias("v"))
+    return rows.select("brand", F.explode(sequence.keep_apart(F.col("v"), 25.0)).alias("t"))
+
+
+@query("""
+(SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_totalprice > 150000 INTERSECT SELECT l_orderkey FROM lineitem WHERE l_quantity > 30)
+UNION (SELECT l_orderkey FROM lineitem WHERE l_quantity > 48) EXCEPT SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'
+""")
+def set_fusion(spark, sf_dir):
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    weak = orders.where("o_totalprice > 150000").select(F.col("o_orderkey").alias("k"))
+    lines_at = lambda q: lines.where(F.col("l_quantity") > q).select(F.col("l_orderkey").alias("k"))
+    return cells.fuse(weak, lines_at(30), lines_at(48), orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k")))
+
+
+_RUNS = """
+WITH a AS (SELECT o_custkey AS g, CAST(o_totalprice / 1000 AS BIGINT) AS lo, CAST(o_totalprice / 1000 AS BIGINT) + 40 AS hi FROM orders WHERE o_orderstatus = 'O'),
+b AS (SELECT o_custkey AS g, CAST(o_totalprice / 1000 AS BIGINT) AS lo, CAST(o_totalprice / 1000 AS BIGINT) + 40 AS hi FROM orders WHERE o_orderstatus = 'F'),
+x AS (SELECT DISTINCT g, unnest(range(lo, hi)) AS i FROM a), y AS (SELECT DISTINCT g, unnest(range(lo, hi)) AS i FROM b)
+"""
+
+
+def _runs(spark, sf_dir, status):
+    at = F.col("o_totalprice") / 1000
+    rows = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == status)
+    return rows.select(F.col("o_custkey").alias("g"), F.round(at).cast("long").alias("lo"), (F.round(at).cast("long") + 40).alias("hi"))
+
+
+@query(_RUNS + "SELECT g, CAST(count(x.i) FILTER (y.i IS NOT NULL) AS BIGINT) AS inter, count(*) AS either, round(count(x.i) FILTER (y.i IS NOT NULL) / count(*), 9) AS iou FROM x FULL JOIN y USING (g, i) GROUP BY g")
+def run_iou(spark, sf_dir):
+    return cells.run_iou(_runs(spark, sf_dir, "O"), _runs(spark, sf_dir, "F"), ["g"]).select("g", "inter", "either", r("iou", 9).alias("iou"))
+
+
+@query(_RUNS + ", d AS (SELECT g, i, i - row_number() OVER (PARTITION BY g ORDER BY i) AS k FROM (SELECT g, i FROM x EXCEPT SELECT g, i FROM y)) SELECT g, min(i) AS lo, max(i) + 1 AS hi FROM d GROUP BY g, k")
+def band_difference(spark, sf_dir):
+    return cells.subtract_runs(_runs(spark, sf_dir, "O"), _runs(spark, sf_dir, "F"), ["g"])
+
+
+_DIMS = """t AS (SELECT p_partkey AS k, p_size AS s, p_partkey % 9 AS f FROM part)"""
+
+
+@query(f"""
+WITH {_DIMS} SELECT k, CASE f WHEN 0 THEN 'pair' WHEN 1 THEN 'pair' WHEN 2 THEN 'length' WHEN 3 THEN 'length' WHEN 4 THEN 'length' WHEN 5 THEN 'area' WHEN 6 THEN 'pair' WHEN 7 THEN NULL ELSE 'length' END AS kind,
+round(CASE f WHEN 0 THEN s / 10.0 + 1 WHEN 1 THEN (s * 10 + 1000) / 1000.0 WHEN 2 THEN (s + 40) / 100.0 WHEN 3 THEN s * 100 / 1000.0 + 1 WHEN 4 THEN (12 * s + 6) * 0.0254 WHEN 5 THEN s + 0.5 WHEN 6 THEN s * 12 * 0.0254 + 0.6096 WHEN 7 THEN NULL ELSE s + 3.25 END, 6) AS a,
+round(CASE f WHEN 0 THEN 2.5 WHEN 1 THEN 4.1 WHEN 6 THEN 3.6576 ELSE NULL END, 6) AS b FROM t WHERE f NOT IN (4, 8) OR s <= 40
+""")
+def parse_dimensions(spark, sf_dir):
+    s = F.col("p_size")
+    forms = [
+        F.concat(F.format_string("%.1f", s / 10 + 1), F.lit(" m x 2.5 m")), F.concat((s * 10 + 1000).cast("string"), F.lit(" x 4100")), F.concat((s + 40).cast("string"), F.lit(" cm")), F.concat((s * 100 + 1000).cast("string")),
+        F.concat(s.cast("string"), F.lit("'6\"")), F.concat(s.cast("string"), F.lit(".5 m2")), F.concat((s + 2).cast("string"), F.lit("' x 12'")), F.concat(F.lit("(+"), s.cast("string"), F.lit(")")), F.concat((s + 3).cast("string"), F.lit(",25")),
+    ]
+    text = F.element_at(F.array(*forms), (F.col("p_partkey") % 9 + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").where("p_partkey % 9 not in (4, 8) or p_size <= 40").select(F.col("p_partkey").alias("k"), dimensions.parse(text).alias("d"))
+    return rows.select("k", "d.kind", r("d.a").alias("a"), r("d.b").alias("b"))
+
+
+@query("""
+SELECT page_id, len(regexp_extract_all(html, '<a\\s+href="([^"]*)"', 1))::BIGINT AS n_links, coalesce(regexp_extract_all(html, '<a\\s+href="([^"]*)"', 1)[1], '') AS first_link,
+regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, len(regexp_extract_all(html, '<p>'))::BIGINT AS n_paragraphs FROM pages
+""")
+def markup_extract(spark, sf_dir):
+    links = F.regexp_extract_all("html", F.lit(r'<a\s+href="([^"]*)"'), F.lit(1))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", F.size(links).cast("long").alias("n_links"), F.coalesce(F.try_element_at(links, F.lit(1)), F.lit("")).alias("first_link"),
+        F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("lang"), F.size(F.regexp_extract_all("html", F.lit("<p>"), F.lit(0))).cast("long").alias("n_paragraphs"),
+    )
+
+
+@query("""
+WITH RECURSIVE t AS (SELECT conv_id, substr(text, 1, 12) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE text IS NOT NULL),
+f AS (SELECT conv_id, i, x AS label FROM t WHERE i = 1 UNION ALL SELECT f.conv_id, t.i, CASE WHEN contains(upper(f.label), upper(substr(t.x, 1, 5))) THEN f.label ELSE f.label || ' ' || t.x END FROM f JOIN t ON t.conv_id = f.conv_id AND t.i = f.i + 1)
+SELECT conv_id, label FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS r FROM f) WHERE r = 1
+""")
+def label_concat(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where("text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 12).alias("x")))).alias("t"))
+    return rows.select("conv_id", sequence.fold_labels(F.transform("t", lambda x: x["x"])).alias("label"))
+
+
+@query("""
+WITH t AS (SELECT lang AS d, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents), k AS (SELECT d, w, count(*) AS tf FROM t WHERE w <> '' GROUP BY 1, 2),
+f AS (SELECT w, count(*) AS df FROM k GROUP BY w), n AS (SELECT count(DISTINCT d) AS n FROM k), x AS (SELECT d, k.w, tf, df, tf * ln(n / df) AS v FROM k JOIN f ON k.w = f.w, n),
+y AS (SELECT *, v / sqrt(sum(v * v) OVER (PARTITION BY d)) AS weight FROM x)
+SELECT d, w, tf, df, round(weight, 6) AS weight, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY round(weight, 9) DESC, w) AS r FROM y) WHERE r <= 20
+""")
+def tfidf_topk(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.col("lang").alias("d"), F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("w <> ''")
+    w = Window.partitionBy("d").orderBy(F.desc(F.round("weight", 9)), "w")
+    top = reports.tf_idf(words, "d", "w").withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 20")
+    return top.select("d", "w", "tf", "df", r("weight").alias("weight"), "rank")
+
+
+@query("""
+WITH x AS (SELECT l_orderkey, l_quantity / 50 AS cover, l_discount * 10 AS best, l_extendedprice / 20000 AS ratio FROM lineitem)
+SELECT CASE WHEN cover < 0.3 THEN 'missing' WHEN best > 0.6 AND ratio > 1.6 THEN 'merged' WHEN best < 0.6 AND cover > 0.6 THEN 'split' ELSE 'shifted' END AS category, count(*) AS n FROM x GROUP BY 1
+""")
+def miss_categories(spark, sf_dir):
+    why = reports.miss_category(F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_extendedprice") / 20000)
+    return table(spark, sf_dir, "lineitem").groupBy(why.alias("category")).agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH {EV}, c AS (SELECT user_id, event_id, sec / 3600 AS spot FROM ev WHERE event_type = 'signup'), q AS (SELECT DISTINCT user_id, us / 3600000000 AS x FROM ev WHERE event_type = 'view'),
+lo AS (SELECT * FROM (SELECT c.user_id, event_id, x AS lo, row_number() OVER (PARTITION BY c.user_id, event_id ORDER BY x DESC) AS r FROM c JOIN q ON c.user_id = q.user_id WHERE x <= spot) WHERE r <= 12),
+hi AS (SELECT * FROM (SELECT c.user_id, event_id, x AS hi, row_number() OVER (PARTITION BY c.user_id, event_id ORDER BY x) AS r FROM c JOIN q ON c.user_id = q.user_id WHERE x > spot) WHERE r <= 12)
+SELECT lo.user_id, lo.event_id, round(lo, 6) AS lo, round(hi, 6) AS hi, round(1 / sqrt(count(*) OVER (PARTITION BY lo.user_id, lo.event_id)), 9) AS weight FROM lo JOIN hi ON lo.user_id = hi.user_id AND lo.event_id = hi.event_id WHERE hi - lo > 10
+""")
+def spans_around(spark, sf_dir):
+    e = events(spark, sf_dir)
+    items = e.where("event_type = 'signup'").select("user_id", "event_id", (F.col("sec") / 3600).alias("at"))
+    coords = e.where("event_type = 'view'").select("user_id", (F.col("us") / 3_600_000_000).alias("x")).distinct()
+    out = nearest.spans_around(items, coords, ["user_id"], "event_id", "at", "x")
+    return out.select("user_id", "event_id", r("lo").alias("lo"), r("hi").alias("hi"), r("weight", 9).alias("weight"))
+
+
+@query("""
+WITH o AS (SELECT l_orderkey AS pt, l_partkey AS img FROM lineitem WHERE l_discount <= 0.06 AND l_quantity > 0)
+SELECT pt, count(DISTINCT img) AS n_img, count(*) AS n FROM o GROUP BY pt HAVING count(*) >= 2 AND count(DISTINCT img) = count(*)
+""")
+def track_filter(spark, sf_dir):
+    seen = table(spark, sf_dir, "lineitem").where("l_discount <= 0.06 and l_quantity > 0").select(F.col("l_orderkey").alias("pt"), F.col("l_partkey").alias("img"))
+    return matching.valid_tracks(seen, "pt", "img")
+
+
+@query("""
+SELECT l_suppkey, CASE WHEN n < 2 THEN 'few' WHEN off > 0.25 THEN 'gate' WHEN extent < 3 OR extent > 300 THEN 'extent' ELSE 'accepted' END AS reason FROM
+(SELECT l_suppkey, count(*) AS n, abs(ln(avg(l_extendedprice / l_quantity) / 1500)) AS off, max(l_quantity) * 6.5 AS extent FROM lineitem WHERE l_discount = 0.05 GROUP BY 1)
+""")
+def scale_acceptance(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").where("l_discount = 0.05").groupBy("l_suppkey")
+    agg = rows.agg(F.count("*").alias("n"), F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("s"), (F.max("l_quantity") * 6.5).alias("extent"))
+    return agg.select("l_suppkey", dimensions.acceptance(F.col("n"), F.lit(False), F.col("s"), F.lit(1500.0), F.col("extent")).alias("reason"))
+
+
+@query()
+def assign_optimal(spark, sf_dir):
+    """Optimal one-to-one assignment of a region's nations to its largest customers' balances (no SQL: the assignment is a kernel)."""
+    nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "customer"), F.col("c_nationkey") == F.col("n_nationkey"))
+    sums = nation.groupBy("n_regionkey", "n_nationkey", "c_mktsegment").agg(F.avg("c_acctbal").alias("cost"))
+    return matching.assign(sums, ["n_regionkey"], "n_nationkey", "c_mktsegment", "cost")
+
+
+@query("""
+SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(DISTINCT o_orderkey) AS n_orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name
+""")
+def revenue_by_nation(spark, sf_dir):
+    t = lambda name: table(spark, sf_dir, name)
+    rows = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.groupBy("n_name").agg(r(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count_distinct("o_orderkey").alias("n_orders"))
+
+
+@query("SELECT c_custkey, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 ORDER BY total DESC, c_custkey LIMIT 20")
+def top_customers(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return rows.groupBy("c_custkey").agg(r(F.sum("o_totalprice"), 2).alias("total")).orderBy(F.desc("total"), "c_custkey").limit(20)
