@@ -11,12 +11,13 @@ from __future__ import annotations
 import gc
 import hashlib
 import math
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoin.llm.arrays import prefix_sums, stretch_hash, utf8
+from quoin.llm.arrays import prefix_sums, stretch_hash
 
 SIZE = 128
 SLICE_BYTES = 16 << 20
@@ -24,17 +25,16 @@ SLICE_BYTES = 16 << 20
 
 def _parse(data: bytes, at: int, node: dict, root: dict, ends: list[int], grown: list | None) -> dict:
     """Parse data[at:] on from `node`; append the ends of new phrases, and to `grown` what to undo."""
-    for c in memoryview(data)[at:]:
-        at += 1
-        nxt = node.get(c)
-        if nxt is None:
-            node[c] = {}
-            ends.append(at)
-            if grown is not None:
-                grown.append((node, c))
-            node = root
+    end, start, note = ends.append, root, grown.append if grown is not None else None
+    for at, c in enumerate(data[at:] if at else data, at + 1):
+        if c in node:
+            node = node[c]
         else:
-            node = nxt
+            node[c] = {}
+            end(at)
+            if note:
+                note((node, c))
+            node = start
     return node
 
 
@@ -73,13 +73,14 @@ def smallest(texts: list[bytes], ends: list[list[int]], size: int = SIZE) -> lis
     base = np.cumsum([0, *map(len, texts)])
     sums = prefix_sums(np.frombuffer(b"".join(texts), dtype=np.uint8))
     count = np.fromiter(map(len, ends), dtype=np.int64, count=len(ends))
-    flat = np.fromiter((e for one in ends for e in one), dtype=np.int64, count=int(count.sum()))
+    flat = np.fromiter(chain.from_iterable(ends), dtype=np.int64, count=int(count.sum()))
     row = np.repeat(np.arange(len(ends)), count)
     start = np.concatenate([[0], flat[:-1]])[: len(flat)]
     first = np.cumsum(count) - count
     start[first[count > 0]] = 0
     h = stretch_hash(sums, start + base[row], flat + base[row]) >> np.uint64(32)
-    keys = np.unique((row.astype(np.uint64) << np.uint64(32)) | h)
+    keys = np.sort((row.astype(np.uint64) << np.uint64(32)) | h)
+    keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
     owner = (keys >> np.uint64(32)).astype(np.int64)
     bound = np.searchsorted(owner, np.arange(len(ends) + 1))
     low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
