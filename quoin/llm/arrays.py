@@ -101,7 +101,7 @@ class Chunk:
         return stretch_hash(prefix_sums(self.buf), start, end), start, end, first
 
 
-def chunks(texts: Sequence[bytes], lower: bool = False, limit: int = 1 << 20) -> Iterator[Chunk]:
+def chunks(texts: Sequence[bytes], lower: bool = False, limit: int = 1 << 19) -> Iterator[Chunk]:
     """Cut a list of texts into chunks of about `limit` bytes; a longer text is a chunk by itself."""
     lo = size = 0
     for i, text in enumerate(texts):
@@ -113,6 +113,27 @@ def chunks(texts: Sequence[bytes], lower: bool = False, limit: int = 1 << 20) ->
         yield Chunk(texts[lo:], lo, lower)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker lives on between tasks, and other stages need it."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def _find_trim():
+    import ctypes
+
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not this C library
+        return None
+
+
+_trim = _find_trim()
+
+
 def utf8(column) -> list[bytes]:
     """An Arrow string or binary column as bytes; null is empty."""
     import pyarrow as pa

@@ -15,7 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoin.llm.arrays import ALNUM, U64, Chunk, chunks, utf8
+from quoin.llm.arrays import ALNUM, U64, Chunk, chunks, release, utf8
+from quoin.llm.exchange import small_batches
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000  # of benchmark text, broadcast at once; larger benchmarks take several blocks
@@ -32,6 +33,8 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabu
     terms (sorted 64-bit hashes, one for each posting) and positions (of the words, in terms' order).
     With a vocabulary (sorted hashes) only its terms' postings are stored."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         import pyarrow as pa
 
@@ -48,6 +51,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabu
                 row = [ids[chunk.first : chunk.first + len(chunk.texts)]], [first.tolist()], [h[order].tobytes()], [position[order].tobytes()]
                 kinds = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["doc_ids", "first", "terms", "positions"])
+        release()
 
     return docs.select(F.col(key).cast("long"), text).mapInArrow(run, INDEX)
 
@@ -178,6 +182,7 @@ def search(index: DataFrame, queries: Queries) -> DataFrame:
                     spans.append(merged)
                 kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((ids, np.diff(segment.first).tolist(), spans, items), kinds, strict=True)], names=["doc_id", "n_words", "spans", "items"])
+        release()
 
     return index.mapInArrow(run, FOUND)
 

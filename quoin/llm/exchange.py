@@ -18,12 +18,21 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 8 << 20
 
 
+def small_batches(spark, rows: int = 1000) -> None:
+    """Texts go to Python in batches of so many rows, unless the session sets a number of its own:
+    the default of 10,000 rows would hold tens of megabytes of text several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def shuffle_parts(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def batched(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int]:
     """(batch, doc_id, text as bytes) of every row, shuffled by batch once, and the number of batches."""
+    small_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(math.ceil(total / batch_bytes), min(32, math.ceil(total / (1 << 18))), 1)
     rows = docs.select(

@@ -17,7 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoin.llm.arrays import prefix_sums, stretch_hash
+from quoin.llm.arrays import prefix_sums, release, stretch_hash
+from quoin.llm.exchange import small_batches
 
 SIZE = 128
 SLICE_BYTES = 16 << 20
@@ -106,6 +107,8 @@ def from_hex(text: str) -> np.ndarray:
 def fingerprint(docs: DataFrame, text: str = "text", into: str = "fingerprint", size: int = SIZE) -> DataFrame:
     """Add a column with each row's fingerprint. Null and empty texts get an empty one; no shuffle."""
 
+    small_batches(docs.sparkSession, 500)
+
     @F.pandas_udf("string")
     def of(texts):
         import pandas as pd
@@ -152,6 +155,8 @@ def with_edits(docs: DataFrame, size: int = SIZE) -> DataFrame:
     itself. Rows stream through a range-partitioned sort, so no group is held in memory.
     """
 
+    small_batches(docs.sparkSession, 500)
+
     def run(batches):
         import pyarrow as pa
 
@@ -206,5 +211,6 @@ def with_edits(docs: DataFrame, size: int = SIZE) -> DataFrame:
         if len(held) > 1:
             yield emit(held)
         gc.enable()
+        release()
 
     return in_descending_order(docs).mapInArrow(run, RESULT)

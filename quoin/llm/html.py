@@ -14,6 +14,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quoin.llm.exchange import small_batches
+
 WINDOW = 3
 #: A surge needs this share of the largest window; short articles are judged by their own largest.
 SURGE = 0.15
@@ -146,6 +148,8 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
     """Add the main text of each page's html. Null and empty pages give an empty text; no shuffle."""
 
+    small_batches(pages.sparkSession, 500)
+
     @F.pandas_udf("string")
     def run(column):
         return column.map(main_text)

@@ -11,7 +11,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoin.llm.arrays import ALNUM, LOWER, U64, chunks, prefix_sums, utf8, window_hash
+from quoin.llm.arrays import ALNUM, U64, chunks, prefix_sums, release, utf8, window_hash
+
+from quoin.llm.exchange import small_batches
 
 WIDTHS = (3, 4, 5)  # bytes of an n-gram
 SLOTS = 1 << 20
@@ -79,6 +81,7 @@ def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, slots: int = S
 
     n-grams are counted in Spark; what comes to the driver is the filter, whose size is fixed.
     Rows without a language are left out; no rows give a filter without languages."""
+    small_batches(docs.sparkSession)
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     counts = dict(sorted((r[0], r[1]) for r in docs.groupBy("lang").count().collect()))
     languages = list(counts)
@@ -100,6 +103,7 @@ def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, slots: int = S
                     for i in np.unique(lang):
                         gram, c = np.unique(h[lang == i], return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), i, dtype=np.int32)), pa.array(gram.view(np.int64)), pa.array(c.astype(np.int64))], names=["lang", "gram", "c"])
+        release()
 
     seen = chosen.mapInArrow(count, "lang int, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
     total = seen.groupBy("lang").agg(F.sum("c").alias("total"))
@@ -123,6 +127,7 @@ def identify(docs: DataFrame, model: Filter, text: str = "text") -> DataFrame:
     n-grams that it contains. A text that is null or has no letter is `und` with 0; so is every
     text if the model has no language. A text with letters but no hit gets the first language, with 0.
     """
+    small_batches(docs.sparkSession)
     small = model.masks
     if small.shape[1] == 1:  # a narrow table stays in the processor's cache
         width = next(w for w in (8, 16, 32, 64) if len(model.languages) <= w)
@@ -140,6 +145,7 @@ def identify(docs: DataFrame, model: Filter, text: str = "text") -> DataFrame:
         if not languages:
             return pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": 0.0, "known": 0.0})
         n, hits = this.hits(texts)
+        release()
         best = hits.argmax(axis=1) if len(texts) else np.zeros(0, dtype=int)
         top = hits[np.arange(len(texts)), best]
         score = np.where(letters, np.clip(top / np.maximum(hits.sum(axis=1), 1e-9), 0, 1), 0.0)

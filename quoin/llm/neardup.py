@@ -18,7 +18,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quoin.llm.arrays import NOT_SPACE, U64, chunks, mix, prefix_sums, stretch_hash, utf8
+from quoin.llm.arrays import NOT_SPACE, U64, chunks, mix, prefix_sums, release, stretch_hash, utf8
+from quoin.llm.exchange import small_batches
 from quoin.operators.graph import checkpointed, connected_components
 
 WORDS = 5
@@ -75,6 +76,8 @@ SKETCHED = "doc_id long, n_shingles long, set_hi long, set_lo long, sketch binar
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, a 128-bit hash of the set, and the sketch. No shuffle."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         import pyarrow as pa
 
@@ -86,6 +89,7 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 [batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array([sketch(s).tobytes() if len(s) else b"" for s in sets], pa.binary())],
                 names=["doc_id", "n_shingles", "set_hi", "set_lo", "sketch"],
             )
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCHED)
 
@@ -139,6 +143,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
                 both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
                 linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, linked, strict=True) if k], pa.int64()) for c in (a, b)], names=["a", "b"])
+        release()
 
     rows = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     rows = rows.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")

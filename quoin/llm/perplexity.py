@@ -22,7 +22,8 @@ from quoin.llm.arrays import NOT_SPACE, U64, chunks, get_ints, mix, put_ints, wi
 from quoin.llm.exchange import batched, ordered, shuffle_parts
 from quoin.llm.repeats import _cut, _table
 
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 8 << 20
+SLICE = 1 << 17  # tokens scored at once
 BEGIN, END = U64(0x1F83D9ABFB41BD6B), U64(0x5BE0CD19137E2179)
 _KEY_BYTES = 6
 
@@ -242,10 +243,15 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
         bigrams, (total, _) = read(told, 0)
         words, values = read(told, 1)
         word, before = t.single.place[1:], _before(t)
-        p = log_probability(total[t.bigram.place], [v[before] for v in values], [v[word] for v in values], bigrams, words)
-        c = values[0][word]
-        base = np.log10((c + 0.5) / (words[0] + 0.5 * (words[1] + 1)))
-        sums = [np.bincount(t.doc, weights=x, minlength=len(ids)) for x in (c > 0, base, p)]
+        sums = np.zeros((3, len(ids)))
+        for lo in range(0, len(word), SLICE):
+            s = slice(lo, lo + SLICE)
+            w, b = word[s], before[s]
+            c = values[0][w]
+            p = log_probability(total[t.bigram.place[s]], [v[b] for v in values], [v[w] for v in values], bigrams, words)
+            base = np.log10((c + 0.5) / (words[0] + 0.5 * (words[1] + 1)))
+            for row, x in zip(sums, (c > 0, base, p), strict=True):
+                row += np.bincount(t.doc[s], weights=x, minlength=len(ids))
         columns = (ids, ~t.training, np.bincount(t.doc, minlength=len(ids)), sums[0].astype(np.int64), np.full(len(ids), words[0]), sums[1], sums[2])
         return pa.table([pa.array(x) for x in columns], names=[x.split()[0] for x in RESULT.split(", ")])
 

@@ -28,7 +28,7 @@ from typing import NamedTuple
 import numpy as np
 from pyspark.sql import DataFrame
 
-from quoin.llm.arrays import NOT_SPACE, U64, chunks, get_ints, mix, prefix_sums, put_ints, sliding_min, stretch_hash, width_of, window_hash
+from quoin.llm.arrays import NOT_SPACE, U64, chunks, get_ints, mix, prefix_sums, put_ints, release, sliding_min, stretch_hash, width_of, window_hash
 from quoin.llm.exchange import batched, ordered, shuffle_parts
 
 EARLIER, OPEN, MANY = 1, 2, 4
@@ -323,6 +323,7 @@ _TOLD = "batch int, sort int, shard int, blob binary"
 def _table(schema: str, rows: list[tuple]):
     import pyarrow as pa
 
+    release()
     kinds = [pa.binary() if c.split()[1] == "binary" else pa.int32() for c in schema.split(", ")]
     columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
