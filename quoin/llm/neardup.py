@@ -30,7 +30,7 @@ BANDS = 32  # of 4 bins: a pair of similarity 0.8 shares no band once in 20 mill
 #: deviations under the threshold.
 SLACK = 0.18
 SPLIT = 512  # members of a bucket that one task compares with the others
-STARS = 2  # rounds of stars before buckets are compared in full
+STARS = 1  # rounds of stars before buckets are compared in full
 
 _ROUND = [mix(np.array([i + 1], dtype=U64) * U64(0x9E3779B97F4A7C15))[0] for i in range(2 * BINS)]
 
@@ -156,37 +156,57 @@ def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
     return checkpointed(members.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("label")))
 
 
-def _across(buckets: DataFrame, labels: DataFrame, marks: DataFrame, least: float) -> DataFrame:
-    """Pairs of one bucket and different labels whose sketches agree in a share of `least` bins or more.
+def _shared(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements of a sorted set each of other sets has."""
+    size = np.fromiter(map(len, others), dtype=np.int64, count=len(others))
+    flat = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    return np.add.reduceat(hit, np.cumsum(size) - size, dtype=np.int64)
 
-    In each bucket the members outside its largest component are compared with all others; a large
-    bucket's others are split over tasks. Only pairs that pass become rows."""
+
+def _across(buckets: DataFrame, labels: DataFrame, marks: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of one bucket and different components, one for each member and component.
+
+    Buckets are gathered by their largest component. Members outside it are compared with all members
+    of those buckets in blocks of bounded size, by sketch first and then on the full sets. Pairs never
+    become rows, only links do."""
     rows = buckets.join(labels, "id")
     sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    top = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("labels")).where("labels > 1")
-    rows = rows.join(top.select("bucket", F.col("top.label").alias("main"), "all"), "bucket").join(marks, "id")
-    parts = F.ceil(F.col("all") / SPLIT).cast("int")
-    stray = F.col("label") != F.col("main")
-    own = F.pmod(F.xxhash64("id"), parts).cast("int")
-    strays = rows.where(stray).select("bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "id", "label", "sketch", F.lit(True).alias("stray"))
-    others = rows.select("bucket", own.alias("part"), "id", "label", "sketch", F.lit(False).alias("stray"))
+    top = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    placed = rows.join(top.select("bucket", F.col("top.label").alias("main")), "bucket").select("main", "id", "label").distinct()
+    count = placed.groupBy("main").agg(F.count("*").alias("n"), F.sum((F.col("label") != F.col("main")).cast("int")).alias("m"))
+    blocks = lambda n: F.ceil(F.col(n) / SPLIT).cast("int")
+    full = placed.join(count, "main").join(marks, "id").join(texts, "id")
+    own = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    kept = ("id", "label", "sketch", "text")
+    strays = full.where("label <> main").select("main", every("n").alias("part"), own("m").alias("block"), *kept, F.lit(True).alias("stray"))
+    others = full.select("main", own("n").alias("part"), every("m").alias("block"), *kept, F.lit(False).alias("stray"))
+    least = percent / 100 - SLACK
 
     def run(table):
         import pyarrow as pa
 
         ids, label, stray = (table.column(c).to_numpy() for c in ("id", "label", "stray"))
         v = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint32).reshape(len(ids), BINS)
-        others = np.flatnonzero(~stray)
-        a, b, share = [], [], []
-        for i in np.flatnonzero(stray):
-            near = (v[others] == v[i]).mean(axis=1)
-            hit = others[(near >= least) & (label[others] != label[i])]
-            a += np.maximum(ids[hit], ids[i]).tolist()
-            b += np.minimum(ids[hit], ids[i]).tolist()
-            share += near[(near >= least) & (label[others] != label[i])].tolist()
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(share, pa.float64())], names=["a", "b", "share"])
+        sets = shingle_sets(utf8(table.column("text").combine_chunks()), words)
+        size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+        other = np.flatnonzero(~stray)
+        a, b = [], []
+        for i in np.flatnonzero(stray) if len(other) else ():
+            hit = other[(label[other] != label[i]) & (100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i]))]
+            hit = hit[(v[hit] == v[i]).mean(axis=1) >= least]
+            if not len(hit):
+                continue
+            both = _shared(sets[i], [sets[k] for k in hit])
+            hit = hit[100 * both >= percent * (size[hit] + size[i] - both)]
+            for k in np.unique(label[hit], return_index=True)[1]:
+                a.append(int(ids[i]))
+                b.append(int(ids[hit[k]]))
+        release()
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return strays.unionByName(others).groupBy("bucket", "part").applyInArrow(run, "a long, b long, share double").dropDuplicates(["a", "b"])
+    return strays.unionByName(others).groupBy("main", "part", "block").applyInArrow(run, "a long, b long")
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -197,8 +217,8 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     which pairs are looked at rests on the sketch (a pair at the threshold is missed less than once
     in a million).
     """
-    sketched = sketches(docs, words)
-    rows = checkpointed(sketched.select("doc_id", "n_shingles", "set_hi", "set_lo"))
+    sketched = checkpointed(sketches(docs, words))
+    rows = sketched.select("doc_id", "n_shingles", "set_hi", "set_lo")
     classes = checkpointed(sketched.where("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")))
     banded = _bands(classes)
     shared = banded.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
@@ -222,15 +242,8 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
         found = checkpointed(_verify(best, texts, words, percent))
         links = found if links is None else links.unionByName(found)
         labels = _relabel(members, links)
-    # what is left between components: the likely pairs first, the rest if they are still apart
-    left = checkpointed(_across(buckets, labels, marks, least))
-    for low, high in ((percent / 100 - 0.04, 2.0), (least, percent / 100 - 0.04)):
-        pairs = left.where((F.col("share") >= low) & (F.col("share") < high))
-        named = pairs.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
-        found = checkpointed(_verify(named.where("la <> lb").select("a", "b"), texts, words, percent))
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = _relabel(members, links)
+    found = checkpointed(_across(buckets, labels, marks, texts, words, percent))
+    labels = _relabel(members, links.unionByName(found))
     of_class = classes.join(labels, "id", "left").select("set_hi", "set_lo", F.coalesce("label", "id").alias("component_id"))
     out = rows.join(of_class, ["set_hi", "set_lo"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
