@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quoin.functions import dimensions
-from quoin.operators import cells, density, fusion, matching, nearest, reports, sequence
+from quoin.functions import dimensions, geometry
+from quoin.operators import cells, density, estimation, fusion, matching, nearest, reports, sequence
 from quoin.operators.graph import connected_components
+from quoin.streaming import runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -601,3 +602,106 @@ def revenue_by_nation(spark, sf_dir):
 def top_customers(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return rows.groupBy("c_custkey").agg(r(F.sum("o_totalprice"), 2).alias("total")).orderBy(F.desc("total"), "c_custkey").limit(20)
+
+
+def _boxes(spark, sf_dir):
+    """A turned rectangle for each part: w by h, corner at (size, size), turned by its key."""
+    w, h = F.col("p_size") + F.lit(3.0), F.round(F.col("p_retailprice") / 100, 1)
+    rows = table(spark, sf_dir, "part").select("p_partkey", w.alias("w"), h.alias("h"), F.radians((F.col("p_partkey") % 90).cast("double")).alias("a"))
+    c, s = F.cos("a"), F.sin("a")
+    corner = lambda x, y: F.array(F.col("w") + x * c - y * s, F.col("w") + x * s + y * c)
+    zero = F.lit(0.0)
+    ring = F.array(corner(zero, zero), corner(F.col("w"), zero), corner(F.col("w"), F.col("h")), corner(zero, F.col("h")))
+    return rows.select("p_partkey", "w", "h", ring.alias("ring"))
+
+
+@query("""
+WITH b AS (SELECT p_partkey, p_size + 3.0 AS w, round(p_retailprice / 100, 1) AS h FROM part)
+SELECT p_partkey, round(CAST(w AS DOUBLE) * h, 5) AS area, round(least(w, h), 5) AS short, round(greatest(w, h), 5) AS long FROM b
+""")
+def polygon_measures(spark, sf_dir):
+    box = geometry.least_rectangle(F.col("ring"))
+    rows = _boxes(spark, sf_dir).select("p_partkey", r(geometry.area(F.col("ring")), 5).alias("area"), box.alias("b"))
+    return rows.select("p_partkey", "area", r("b.short", 5).alias("short"), r("b.long", 5).alias("long"))
+
+
+@query("""
+SELECT l_suppkey, count(*) AS n_in FROM (SELECT l_suppkey, l_quantity AS x, l_discount * 500 AS y, (l_suppkey % 20) + 5.05 AS w FROM lineitem)
+WHERE abs(x - 20.3) < w AND abs(y - 20.3) < w GROUP BY l_suppkey
+""")
+def points_in_rooms(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.array(F.col("l_quantity"), F.col("l_discount") * 500).alias("p"), (F.col("l_suppkey") % 20 + 5.05).alias("w"))
+    at = lambda i, j: F.array(20.3 + i * F.col("w"), 20.3 + j * F.col("w"))
+    inside = rows.where(geometry.inside(F.col("p"), F.array(at(-1, -1), at(1, -1), at(1, 1), at(-1, 1))))
+    return inside.groupBy("l_suppkey").agg(F.count("*").alias("n_in"))
+
+
+@query("""
+SELECT p_partkey, CAST(p_size + 1 AS BIGINT) AS rows, CAST((p_size + 1) * (p_partkey % 17 + 2) AS BIGINT) AS cells FROM part WHERE p_partkey <= 500
+""")
+def polygon_cells(spark, sf_dir):
+    part = table(spark, sf_dir, "part").where("p_partkey <= 500")
+    x, y = (F.col("p_partkey") % 17 + 1).cast("double"), F.col("p_size").cast("double")
+    zero = F.lit(0.0)
+    rings = part.select("p_partkey", F.array(F.array(zero, zero), F.array(x, zero), F.array(x, y), F.array(zero, y)).alias("ring"))
+    found = cells.polygon_runs(rings, ["p_partkey"], "ring")
+    return found.groupBy("p_partkey").agg(F.count_distinct("y").alias("rows"), F.sum(F.col("hi") - F.col("lo")).alias("cells"))
+
+
+@query("""
+WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity - 25 AS x, l_tax * 100 - 4 AS y, 5 + l_discount * 100 AS z FROM lineitem),
+c AS (SELECT *, 0.8 * x + 0.6 * z + 0.5 AS cx, y - 0.25 AS cy, -0.6 * x + 0.8 * z + 2 AS cz FROM p)
+SELECT l_orderkey, l_linenumber, round(500 * cx / greatest(cz, 1e-9) + 320, 6) AS u, round(510 * cy / greatest(cz, 1e-9) + 240, 6) AS v, round(cz, 9) AS z FROM c WHERE cz > 0.1
+""")
+def pinhole_projection(spark, sf_dir):
+    lit = lambda *v: F.array(*[F.lit(float(x)) for x in v])
+    x = F.array(F.col("l_quantity") - 25, F.col("l_tax") * 100 - 4, 5 + F.col("l_discount") * 100)
+    p = geometry.project(lit(500, 510, 320, 240), lit(0.8, 0, 0.6, 0, 1, 0, -0.6, 0, 0.8), lit(0.5, -0.25, 2), x)
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", p.alias("p")).where("p.z > 0.1")
+    return rows.select("l_orderkey", "l_linenumber", r("p.u").alias("u"), r("p.v").alias("v"), r("p.z", 9).alias("z"))
+
+
+@query("""
+WITH h AS (SELECT l_returnflag AS flag, CAST(l_quantity AS INT) AS value, count(*) AS n FROM lineitem GROUP BY 1, 2),
+s AS (SELECT *, sum(n) OVER w AS n0, sum(n * value) OVER w AS s0, sum(n) OVER (PARTITION BY flag) AS na, sum(n * value) OVER (PARTITION BY flag) AS sa FROM h WINDOW w AS (PARTITION BY flag ORDER BY value)),
+k AS (SELECT flag, value, round(n0 * (na - n0) * pow(s0 / n0 - (sa - s0) / (na - n0), 2), 6) AS spread FROM s WHERE na > n0)
+SELECT flag, value AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY spread DESC, value) AS r FROM k) WHERE r = 1
+""")
+def otsu_threshold(spark, sf_dir):
+    h = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.col("l_quantity").cast("int").alias("value")).agg(F.count("*").alias("n"))
+    return estimation.otsu(h, ["flag"])
+
+
+@query("""
+SELECT way, count(*) AS n FROM (SELECT CASE WHEN dy < 1e-6 OR dy / nullif(dx, 0) < 0.02 THEN 'h' WHEN dx < 1e-6 OR dx / nullif(dy, 0) < 0.02 THEN 'v' ELSE 'd' END AS way
+FROM (SELECT (l_quantity - 1) * (l_quantity - 1) AS dx, l_discount * l_extendedprice AS dy FROM lineitem)) GROUP BY way
+""")
+def wall_orientation(spark, sf_dir):
+    a, b = F.array(F.lit(0.0), F.lit(0.0)), F.array((F.col("l_quantity") - 1) * (F.col("l_quantity") - 1), F.col("l_discount") * F.col("l_extendedprice"))
+    return table(spark, sf_dir, "lineitem").groupBy(geometry.orientation(a, b).alias("way")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_size % 9 WHEN 1 THEN -1 WHEN 2 THEN 0 WHEN 3 THEN 9 ELSE 5 END::INT AS storey FROM part WHERE p_partkey % 6 <> 4
+""")
+def storey_keys(spark, sf_dir):
+    text = F.element_at(F.array(F.concat((F.col("p_size") % 9).cast("string"), F.lit(". kerros")), F.lit("Basement plan"), F.lit("GROUND FLOOR"), F.lit("ullakko"), F.lit("Bedroom"), F.lit("Upper floor")), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", dimensions.storey(text).alias("storey")).where("storey is not null")
+
+
+@query(_RUNS + "SELECT g, min(i) AS lo, max(i) + 1 AS hi FROM (SELECT g, i, i - row_number() OVER (PARTITION BY g ORDER BY i) AS k FROM x) GROUP BY g, k")
+def union_runs(spark, sf_dir):
+    return cells.union_runs(_runs(spark, sf_dir, "O"), ["g"])
+
+
+@query(_RUNS + ", d AS (SELECT g, i, i - row_number() OVER (PARTITION BY g ORDER BY i) AS k FROM (SELECT g, i FROM x INTERSECT SELECT g, i FROM y)) SELECT g, min(i) AS lo, max(i) + 1 AS hi FROM d GROUP BY g, k")
+def intersect_runs(spark, sf_dir):
+    return cells.intersect_runs(_runs(spark, sf_dir, "O"), _runs(spark, sf_dir, "F"), ["g"])
+
+
+@query(f"""
+WITH {EV} SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS n, round(sum(value), 6) AS total FROM ev GROUP BY 1, 2
+""")
+def stage_progress(spark, sf_dir):
+    out = runs.stage_progress(table(spark, sf_dir, "events"))
+    return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", r("total").alias("total"))
