@@ -9,22 +9,22 @@ from pyspark.sql import functions as F
 
 from quoin.llm import contamination, language, neardup, packing, secrets
 
-#: A text is rejected if no language contains this share of its n-grams.
-LEAST_KNOWN = 0.25
+#: A text of so many n-grams or more is rejected if no language contains this share of them.
+LEAST_GRAMS, LEAST_KNOWN = 20, 0.25
 
 #: No SQL expresses these stages; tests hold them against plain versions.
 ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts of no language (null, without letters, or mostly unknown n-grams); fill in a missing lang.
+    """Drop texts of no language (null, without letters, or of mostly unknown n-grams); fill in a missing lang.
 
     The filter learns from the rows that name their language; if none does, only texts without
     letters go."""
     model = language.train(docs)
     told = language.identify(docs.select(F.struct(*docs.columns).alias("row"), F.col("text")), model)
     kept = F.col("lang_pred") != "und" if model.languages else F.col("text").rlike(r"\p{L}")
-    known = F.col("known") >= LEAST_KNOWN if model.languages else F.lit(True)
+    known = (F.col("known") >= LEAST_KNOWN) | (F.col("n_grams") < LEAST_GRAMS) if model.languages else F.lit(True)
     rows = told.where(kept & known)
     fill = lambda c: F.coalesce(F.col("row")[c], F.col("lang_pred")) if c == "lang" and model.languages else F.col("row")[c]
     return rows.select(*[fill(c).alias(c) for c in docs.columns])
@@ -38,7 +38,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold ten consecutive words of a benchmark item, or a shorter item whole."""
     found = contamination.find_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    bad = found.where("contaminated").select(F.col("doc_id").alias("_contaminated_id")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_contaminated_id")), "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quoin.llm.arrays import ALNUM, U64, Chunk, chunks, release, utf8
-from quoin.llm.exchange import small_batches
+from quoin.llm.exchange import known_id, small_batches
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000  # of benchmark text, broadcast at once; larger benchmarks take several blocks
@@ -142,7 +142,7 @@ class Segment:
 def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, key: str = "item_id", text: str = "text"):
     """The benchmark in blocks of bounded size, streamed to the driver one partition at a time."""
     block, words = [], 0
-    for item, body in benchmark.select(F.col(key).cast("long"), text).toLocalIterator():
+    for item, body in benchmark.select(known_id(key), text).toLocalIterator():
         block.append((item, body))
         words += len(body or "") // 4 + 1
         if words >= block_words:
@@ -191,7 +191,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each document.
 
     Null and empty texts have no words; items without words hit nothing; equal items are all
-    listed. Repeated doc_ids give a row each. A benchmark of one block (the usual case) needs no
+    listed; items without an id go by the least number. Repeated doc_ids give a row each. A benchmark of one block (the usual case) needs no
     shuffle; more blocks are searched one after the other and their spans merged by row.
     """
     blocks = list(item_blocks(benchmark, block_words)) or [[]]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quoin.llm.arrays import prefix_sums, release, stretch_hash
-from quoin.llm.exchange import small_batches
+from quoin.llm.exchange import known_id, shown_id, small_batches
 
 SIZE = 128
 SLICE_BYTES = 16 << 20
@@ -126,19 +126,19 @@ def in_descending_order(docs: DataFrame, slice_bytes: int = SLICE_BYTES) -> Data
     last. Slices are ranges of doc_id from an approximate percentile; each slice also gets the
     first row of the one after it, marked extra. The driver holds one id a slice.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    docs = docs.select(known_id().alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = min(4096, max(math.ceil(total / slice_bytes), min(24, math.ceil(total / (1 << 18))), 1))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20_000)).first()[0] or []
     cuts = sorted(set(cuts)) if n > 1 else []
-    part = F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda s, c: s + (c >= F.col("doc_id")).cast("int")) if cuts else F.lit(0)
+    part = F.aggregate(F.array(*[F.lit(c).cast("long") for c in cuts]), F.lit(0), lambda s, c: s + (c >= F.col("doc_id")).cast("int")) if cuts else F.lit(0)
     docs = docs.withColumn("slice", part)
     heads = sorted((r[0], r[1]) for r in docs.groupBy("slice").agg(F.max("doc_id")).collect())
     to = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
     own = F.struct(F.col("slice").alias("slice"), F.lit(False).alias("extra"))
     if not to:
         return docs.withColumn("extra", F.lit(False))
-    previous = F.create_map(*[F.lit(x) for pair in to.items() for x in pair])[F.col("doc_id")]
+    previous = F.create_map(*[x for head, before in to.items() for x in (F.lit(head).cast("long"), F.lit(before))])[F.col("doc_id")]
     both = F.when(previous.isNotNull(), F.array(own, F.struct(previous.alias("slice"), F.lit(True).alias("extra")))).otherwise(F.array(own))
     rows = docs.select(F.explode(both).alias("at"), "doc_id", "text").select("at.slice", "at.extra", "doc_id", "text")
     rows = rows.repartitionByRange(len(heads), "slice") if len(heads) > 1 else rows.coalesce(1)
@@ -151,7 +151,7 @@ RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 def with_edits(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """Fingerprints of each text and of its edit, whose last half comes from the row that follows.
 
-    Null counts as an empty text; repeated rows are each given a result; a single row follows
+    Null counts as an empty text, a missing doc_id as the least of all; repeated rows are each given a result; a single row follows
     itself. Rows stream through a range-partitioned sort, so no group is held in memory.
     """
 
@@ -213,4 +213,4 @@ def with_edits(docs: DataFrame, size: int = SIZE) -> DataFrame:
         gc.enable()
         release()
 
-    return in_descending_order(docs).mapInArrow(run, RESULT)
+    return in_descending_order(docs).mapInArrow(run, RESULT).withColumn("doc_id", shown_id())

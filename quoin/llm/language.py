@@ -32,6 +32,7 @@ def _grams(chunk) -> list[tuple[np.ndarray, np.ndarray]]:
     doc = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)[: len(chunk.buf)]
     letter = _LETTER[chunk.buf]
     keep = letter | np.append(True, letter[:-1])  # the first of a run of others stays, as a space
+    keep[chunk.start[size > 0]] = True  # so does the space that each text is given in front
     buf, doc = np.where(letter, chunk.buf, np.uint8(32))[keep], doc[keep]
     sums = prefix_sums(buf)
     out = []
@@ -96,7 +97,7 @@ def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, slots: int = S
         import pyarrow as pa
 
         for batch in batches:
-            texts, langs = utf8(batch.column(0)), np.asarray(batch.column(1).to_pylist(), dtype=np.int64)
+            texts, langs = [b" " + x for x in utf8(batch.column(0))], np.asarray(batch.column(1).to_pylist(), dtype=np.int64)
             for chunk in chunks(texts, lower=True):
                 for h, doc in _grams(chunk):
                     lang = langs[chunk.first + doc]
@@ -121,10 +122,10 @@ def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, slots: int = S
 
 
 def identify(docs: DataFrame, model: Filter, text: str = "text") -> DataFrame:
-    """Add lang_pred, score and known to each row (in place of columns of these names), from its whole text alone.
+    """Add lang_pred, score, known and n_grams to each row (in place of columns of these names), from its whole text alone.
 
     score is the chosen language's share of all languages' hits; known is the share of the text's
-    n-grams that it contains. A text that is null or has no letter is `und` with 0; so is every
+    n_grams that it contains. A text that is null or has no letter is `und` with 0; so is every
     text if the model has no language. A text with letters but no hit gets the first language, with 0.
     """
     small_batches(docs.sparkSession)
@@ -134,24 +135,24 @@ def identify(docs: DataFrame, model: Filter, text: str = "text") -> DataFrame:
         small = small.astype(f"u{width // 8}")
     languages, false_rate = model.languages, model.false_rate
 
-    @F.pandas_udf("lang_pred string, score double, known double")
+    @F.pandas_udf("lang_pred string, score double, known double, n_grams long")
     def run(column):
         import pandas as pd
 
         this = Filter.__new__(Filter)
         this.masks, this.languages, this.false_rate = small, languages, false_rate
-        texts = [(x or "").encode() for x in column]
+        texts = [(" " + (x or "")).encode() for x in column]
         letters = np.array([bool(x) and any(c.isalpha() for c in x) for x in column], dtype=bool)
         if not languages:
-            return pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": 0.0, "known": 0.0})
+            return pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": 0.0, "known": 0.0, "n_grams": 0})
         n, hits = this.hits(texts)
         release()
         best = hits.argmax(axis=1) if len(texts) else np.zeros(0, dtype=int)
         top = hits[np.arange(len(texts)), best]
         score = np.where(letters, np.clip(top / np.maximum(hits.sum(axis=1), 1e-9), 0, 1), 0.0)
         known = np.where(letters, np.clip(top / np.maximum(n, 1), 0, 1), 0.0)
-        return pd.DataFrame({"lang_pred": np.where(letters, np.array(languages, dtype=object)[best], "und"), "score": score, "known": known})
+        return pd.DataFrame({"lang_pred": np.where(letters, np.array(languages, dtype=object)[best], "und"), "score": score, "known": known, "n_grams": n.astype("int64")})
 
     told = docs.select(F.struct(*docs.columns).alias("_doc"), run(F.col(text)).alias("_told"))
-    kept = [F.col("_doc")[c].alias(c) for c in docs.columns if c not in ("lang_pred", "score", "known")]
-    return told.select(*kept, "_told.lang_pred", "_told.score", "_told.known")
+    kept = [F.col("_doc")[c].alias(c) for c in docs.columns if c not in ("lang_pred", "score", "known", "n_grams")]
+    return told.select(*kept, "_told.lang_pred", "_told.score", "_told.known", "_told.n_grams")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.llm.arrays import NOT_SPACE, U64, chunks, mix, prefix_sums, release, stretch_hash, utf8
-from quoin.llm.exchange import small_batches
+from quoin.llm.exchange import known_id, shown_id, small_batches
 from quoin.operators.graph import checkpointed, connected_components
 
 WORDS = 5
@@ -29,7 +29,7 @@ BANDS = 32  # of 4 bins: a pair of similarity 0.8 shares no band once in 20 mill
 #: A pair whose sketches agree in fewer bins than this share is not verified: five standard
 #: deviations under the threshold.
 SLACK = 0.18
-SPLIT = 512  # members of a bucket that one task compares with the others
+SPLIT = 256  # members of a bucket that one task compares with the others
 STARS = 1  # rounds of stars before buckets are compared in full
 
 _ROUND = [mix(np.array([i + 1], dtype=U64) * U64(0x9E3779B97F4A7C15))[0] for i in range(2 * BINS)]
@@ -91,7 +91,7 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
             )
         release()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCHED)
+    return docs.select(known_id().alias("doc_id"), "text").mapInArrow(run, SKETCHED)
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     """doc_id, n_shingles, component_id (the least doc_id reachable over links), kept (is it that one).
 
     Null and empty texts have no shingles and are linked with nothing; equal sets of one shingle or
-    more are linked; of rows with one doc_id each gets a row. Links are exact on full sets; only
+    more are linked; a missing doc_id is the least of all; of rows with one doc_id each gets a row. Links are exact on full sets; only
     which pairs are looked at rests on the sketch (a pair at the threshold is missed less than once
     in a million).
     """
@@ -225,7 +225,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     buckets = checkpointed(banded.join(shared, "bucket"))
     members = checkpointed(buckets.select("id").distinct())
     marks = checkpointed(classes.join(members, "id").groupBy("id").agg(F.first("sketch").alias("sketch")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members, "id")
+    texts = docs.select(known_id().alias("id"), "text").join(members, "id")
     texts = checkpointed(texts.groupBy("id").agg(F.max("text").alias("text")))
     least = percent / 100 - SLACK
     agree = _estimate()
@@ -247,12 +247,13 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     of_class = classes.join(labels, "id", "left").select("set_hi", "set_lo", F.coalesce("label", "id").alias("component_id"))
     out = rows.join(of_class, ["set_hi", "set_lo"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    told = out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return told.select(shown_id(), "n_shingles", shown_id("component_id"), "kept")
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents with one of each group of near duplicates; all columns stay. Of rows with one
     doc_id and equal texts one stays."""
-    kept = components(docs, words, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    one = docs.join(kept, F.col("doc_id") == F.col("_kept")).drop("_kept")
+    kept = components(docs, words, percent).where("kept").select(F.col("doc_id").alias("_near_duplicates_kept")).distinct()
+    one = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_near_duplicates_kept"))).select(*docs.columns)
     return one.dropDuplicates(["doc_id"])

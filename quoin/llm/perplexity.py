@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from quoin.llm.arrays import NOT_SPACE, U64, chunks, get_ints, mix, put_ints, width_of
-from quoin.llm.exchange import batched, ordered, shuffle_parts
+from quoin.llm.exchange import NO_ID, batched, ordered, shown_id, shuffle_parts
 from quoin.llm.repeats import _cut, _table
 
 BATCH_BYTES = 8 << 20
@@ -192,7 +192,7 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
 
     Training texts are those whose crc32 of the doc_id as text leaves another remainder by `folds`
-    than `held`. Null and empty texts are one token, the end; without training texts all words are
+    than `held`; so are rows without a doc_id. Null and empty texts are one token, the end; without training texts all words are
     unknown. Repeated rows are trained on and scored each. Extra columns are ignored.
     """
     rows, n = batched(docs, BATCH_BYTES)
@@ -201,7 +201,7 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
 
     def tokens(table) -> tuple[np.ndarray, Tokens]:
         ids, texts = ordered(table)
-        return ids, Tokens(ids, texts, lambda i: zlib.crc32(str(i).encode()) % folds != held, shards)
+        return ids, Tokens(ids, texts, lambda i: i == NO_ID or zlib.crc32(str(i).encode()) % folds != held, shards)
 
     def send(keys: Keys, sort: int, batch: int, *columns: np.ndarray) -> list[tuple]:
         """A blob to every shard, empty or not: each answer carries the shard's sums."""
@@ -257,7 +257,8 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
 
     told = rows.groupBy("batch").applyInArrow(ask, _SENT).groupBy("shard").applyInArrow(answer, _TOLD)
     told_words = rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(ask_words, _SENT).groupBy("shard").applyInArrow(answer, _TOLD)
-    return rows.groupBy("batch").cogroup(told.unionByName(told_words).groupBy("batch")).applyInArrow(finish, RESULT)
+    done = rows.groupBy("batch").cogroup(told.unionByName(told_words).groupBy("batch")).applyInArrow(finish, RESULT)
+    return done.withColumn("doc_id", shown_id())
 
 
 def _before(t: Tokens) -> np.ndarray:

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from quoin.llm.arrays import NOT_SPACE, U64, chunks, get_ints, mix, prefix_sums, put_ints, release, sliding_min, stretch_hash, width_of, window_hash
-from quoin.llm.exchange import batched, ordered, shuffle_parts
+from quoin.llm.exchange import batched, ordered, shown_id, shuffle_parts
 
 EARLIER, OPEN, MANY = 1, 2, 4
 MANY_CONTEXTS = 2048  # of an anchor; beyond them its grams are dealt out by their own hashes
@@ -393,7 +393,8 @@ def remove_repeats(docs: DataFrame, kind: Kind) -> DataFrame:
     told = asked.groupBy("shard").applyInArrow(answer, _TOLD)
     asked_more = rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(ask_more, _SENT)
     told_more = asked_more.groupBy("shard").applyInArrow(answer, _TOLD)
-    return rows.groupBy("batch").cogroup(told.unionByName(told_more).groupBy("batch")).applyInArrow(finish, RESULT)
+    done = rows.groupBy("batch").cogroup(told.unionByName(told_more).groupBy("batch")).applyInArrow(finish, RESULT)
+    return done.withColumn("doc_id", shown_id())
 
 
 RESULT = "doc_id long, n_tokens long, n_removed long, n_spans long, kept_sha256 string"
@@ -432,7 +433,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, anchor: int = 20) -> DataFra
     """Remove each byte covered by a `length`-byte string that also starts in a document of a smaller id.
 
     Open grams are settled by a longest-previous-factor array in suffix order. Null is empty; texts
-    shorter than `length` lose nothing; of rows with one id neither is earlier than the other.
+    shorter than `length` lose nothing; of rows with one id neither is earlier than the other. A missing doc_id is the least of all.
     """
     return remove_repeats(docs, Kind(length, anchor, False, True)).withColumnRenamed("n_tokens", "n_bytes")
 
@@ -442,5 +443,6 @@ def substring_dedup(docs: DataFrame, words: int = 20, anchor: int = 10) -> DataF
     doc_id or before it in the same document. Seeds are winnowed anchors; a match is extended both
     ways to its whole context, or else window by window. Null has no words; shorter texts lose
     nothing; of rows with one id, windows at one place are not earlier than each other.
+    A missing doc_id is the least of all.
     """
     return remove_repeats(docs, Kind(words, anchor, True, False)).withColumnRenamed("n_tokens", "n_words").drop("n_spans")

@@ -77,53 +77,49 @@ def _upper_chi2(x: Column, dof: Column) -> Column:
     return F.when(z >= 0, _erfc(F.abs(z) / 2**0.5) / 2).otherwise(1 - _erfc(F.abs(z) / 2**0.5) / 2)
 
 
+#: The order of characters for the tests, and for each encoding the classes of its
+#: alphabet as (first place, places, share). Hex is taken in small letters.
+ORDER = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+-/_"
+_HALVES = ((11, 13), (24, 13), (37, 13), (50, 13))
+CLASSES = {
+    "hex": tuple((k, 1, 1 / 16) for k in (*range(1, 11), *range(37, 43))),
+    "base32": ((11, 13, 13 / 32), (24, 13, 13 / 32), (3, 6, 6 / 32)),
+    "alphanumeric": tuple((k, n, n / 62) for k, n in (*_HALVES, (1, 10))),
+    "base64": tuple((k, n, n / 64) for k, n in (*_HALVES, (1, 10))) + ((63, 4, 2 / 64),),
+}
+
+
 def battery(strings: DataFrame, column: str = "string") -> DataFrame:
     """Add encoding, p_uniform, p_runs, p_serial and p_value to rows with a string of 20 characters or more."""
     s = F.col(column)
     n = F.length(s).cast("double")
-    encoding = (
-        F.when(s.rlike("^[0-9]+$"), "decimal").when(s.rlike("^[0-9a-f]+$") | s.rlike("^[0-9A-F]+$"), "hex")
-        .when(s.rlike("^[A-Z2-7]+$"), "base32").when(s.rlike("^[A-Za-z0-9]+$"), "alphanumeric").otherwise("base64")
-    )
-    of = lambda chars: (F.length(s) - F.length(F.translate(s, chars, ""))).cast("double")
-    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-    chars = {"U": of(upper), "L": of(lower), "D": of(digits)}
-    signs = n - chars["U"] - chars["L"] - chars["D"]
-
-    def chi(*cells):  # (observed, share)
-        return sum(((seen - n * share) ** 2 / (n * share) for seen, share in cells), F.lit(0.0))
-
-    halves = lambda alphabet: (of(alphabet[: len(alphabet) // 2]), of(alphabet[len(alphabet) // 2 :]))
-    hex_cells = [(of(c + c.upper()) if c.isalpha() else of(c), 1 / 16) for c in "0123456789abcdef"]
-    up, low = halves(upper), halves(lower)
-    x = (
-        F.when(F.col("encoding") == "hex", chi(*hex_cells)).when(F.col("encoding") == "decimal", chi(*[(of(c), 0.1) for c in digits]))
-        .when(F.col("encoding") == "base32", chi((up[0], 13 / 32), (up[1], 13 / 32), (of("234567"), 6 / 32)))
-        .when(F.col("encoding") == "alphanumeric", chi((up[0], 13 / 62), (up[1], 13 / 62), (low[0], 13 / 62), (low[1], 13 / 62), (chars["D"], 10 / 62)))
-        .otherwise(chi((up[0], 13 / 64), (up[1], 13 / 64), (low[0], 13 / 64), (low[1], 13 / 64), (chars["D"], 10 / 64), (signs, 2 / 64)))
-    )
-    dof = F.when(F.col("encoding") == "hex", 15.0).when(F.col("encoding") == "decimal", 9.0).when(F.col("encoding") == "base32", 2.0).when(F.col("encoding") == "alphanumeric", 4.0).otherwise(5.0)
-
-    # the place of each character in its alphabet, from one table for all encodings: digits, capitals, small letters, signs
-    order = digits + upper + lower + "+-/_"
-    place = F.transform(F.split(F.when(F.col("encoding") == "hex", F.lower(s)).otherwise(s), ""), lambda c: F.instr(F.lit(order), c).cast("double"))
-    rows = strings.withColumn("encoding", encoding).withColumn("_v", F.filter(place, lambda v: v > 0))
-    rows = rows.withColumn("_m", F.aggregate("_v", F.lit(0.0), lambda a, v: a + v) / n)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
+    encoding = F.when(s.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(s.rlike("^[A-Z2-7]+$"), "base32").when(s.rlike("^[A-Za-z0-9]+$"), "alphanumeric").otherwise("base64")
+    rows = strings.withColumn("encoding", encoding)
+    place = F.transform(F.split(F.when(F.col("encoding") == "hex", F.lower(s)).otherwise(s), ""), lambda c: F.instr(F.lit(ORDER), c).cast("double"))
+    rows = rows.withColumn("_v", F.filter(place, lambda v: v > 0))
+    # chi-squared over the classes of the encoding's alphabet
+    cells = F.create_map(*[F.lit(x) if isinstance(x, str) else x for name, parts in CLASSES.items() for x in (name, F.array(*[F.struct(F.lit(k).alias("k"), F.lit(k + m).alias("to"), F.lit(share).alias("share")) for k, m, share in parts]))])
+    seen = lambda c: F.size(F.filter("_v", lambda v: (v >= c["k"]) & (v < c["to"])))
+    rows = rows.withColumn("_cells", cells[F.col("encoding")])
+    x = total(F.transform("_cells", lambda c: (seen(c) - n * c["share"]) * (seen(c) - n * c["share"]) / (n * c["share"])))
+    rows = rows.withColumn("_x", x).withColumn("p_uniform", F.greatest(F.lit(1e-30), _upper_chi2(F.col("_x"), (F.size("_cells") - 1).cast("double"))))
+    # runs about the mean place, and the correlation of neighbours
+    rows = rows.withColumn("_m", total("_v") / n)
     rows = rows.withColumn("_d", F.transform("_v", lambda v: v - F.col("_m")))
     pairs = F.zip_with(F.slice("_d", F.lit(1), F.size("_d") - 1), F.slice("_d", F.lit(2), F.size("_d") - 1), lambda a, b: a * b)
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
-    rows = rows.withColumn("_var", total(F.transform("_d", lambda v: v * v))).withColumn("_cov", total(pairs))
-    rows = rows.withColumn("_above", total(F.transform("_d", lambda v: (v > 0).cast("double"))))
-    rows = rows.withColumn("_turns", total(F.transform(pairs, lambda v: (v < 0).cast("double"))))
-    a, b = F.col("_above"), n - F.col("_above")
-    mean = 1 + 2 * a * b / n
-    spread = F.greatest(F.lit(1e-9), (mean - 1) * (mean - 2) / (n - 1))
-    z_runs = F.when((a == 0) | (b == 0), F.lit(9.0)).otherwise(F.abs(F.col("_turns") + 1 - mean) / F.sqrt(spread))
-    z_serial = F.when(F.col("_var") <= 0, F.lit(9.0)).otherwise(F.abs(F.col("_cov") / F.col("_var") + 1 / n) * F.sqrt(n))
-    rows = rows.withColumn("p_uniform", _upper_chi2(x, dof)).withColumn("p_runs", _erfc(z_runs / 2**0.5)).withColumn("p_serial", _erfc(z_serial / 2**0.5))
-    half = -F.log(F.greatest(F.col("p_uniform"), F.lit(1e-30))) - F.log("p_runs") - F.log("p_serial")
-    rows = rows.withColumn("p_value", F.exp(-half) * (1 + half + half * half / 2))  # upper tail with six degrees of freedom
-    return rows.drop("_v", "_m", "_d", "_var", "_cov", "_above", "_turns")
+    rows = rows.withColumn("_pairs", pairs).withColumn("_var", total(F.transform("_d", lambda v: v * v)))
+    rows = rows.withColumn("_above", F.size(F.filter("_d", lambda v: v > 0)).cast("double")).withColumn("_turns", F.size(F.filter("_pairs", lambda v: v < 0)).cast("double"))
+    mean = 1 + 2 * F.col("_above") * (n - F.col("_above")) / n
+    rows = rows.withColumn("_runs", mean)
+    spread = F.greatest(F.lit(1e-9), (F.col("_runs") - 1) * (F.col("_runs") - 2) / (n - 1))
+    z_runs = F.when(F.col("_runs") <= 1, F.lit(9.0)).otherwise(F.abs(F.col("_turns") + 1 - F.col("_runs")) / F.sqrt(spread))
+    z_serial = F.when(F.col("_var") <= 0, F.lit(9.0)).otherwise(F.abs(total("_pairs") / F.col("_var") + 1 / n) * F.sqrt(n))
+    rows = rows.withColumn("_zr", z_runs / 2**0.5).withColumn("_zs", z_serial / 2**0.5)
+    rows = rows.withColumn("p_runs", _erfc(F.col("_zr"))).withColumn("p_serial", _erfc(F.col("_zs")))
+    rows = rows.withColumn("_h", -F.log("p_uniform") - F.log("p_runs") - F.log("p_serial"))
+    rows = rows.withColumn("p_value", F.exp(-F.col("_h")) * (1 + F.col("_h") + F.col("_h") * F.col("_h") / 2))  # upper tail with six degrees of freedom
+    return rows.drop("_v", "_cells", "_x", "_m", "_d", "_pairs", "_var", "_above", "_turns", "_runs", "_zr", "_zs", "_h")
 
 
 def rejected(tested: DataFrame, level: float = LEVEL) -> DataFrame:
@@ -156,11 +152,11 @@ _SPANS = "array<struct<start:int,kind:int,end:int>>"
 def _scanned(docs: DataFrame, key: str, text: str, level: float) -> DataFrame:
     """(_doc: the whole row as a struct, key, _text, base_spans, random_spans)."""
     rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = rows.withColumn("_row", F.xxhash64("_text"))
-    found = rejected(battery(candidates(rows.select(F.struct("_key", "_row").alias("_owner"), "_text"), "_owner")), level)
-    flagged = found.where(~F.col("ordinary")).select("_owner._key", "_owner._row", "start", "end").distinct()
-    flagged = flagged.groupBy("_key", "_row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end"))).alias("_random"))
-    rows = rows.withColumn("base_spans", base_spans(F.col("_text"))).join(flagged, ["_key", "_row"], "left")
+    rows = rows.withColumn("_row", F.xxhash64("_key", "_text")).withColumn("_row2", F.xxhash64(F.lit(1), "_text", "_key"))
+    found = rejected(battery(candidates(rows.select(F.struct("_row", "_row2").alias("_owner"), "_text"), "_owner")), level)
+    flagged = found.where(~F.col("ordinary")).select("_owner._row", "_owner._row2", "start", "end").distinct()
+    flagged = flagged.groupBy("_row", "_row2").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end"))).alias("_random"))
+    rows = rows.withColumn("base_spans", base_spans(F.col("_text"))).join(flagged, ["_row", "_row2"], "left")
     inside = lambda r: F.exists("base_spans", lambda b: (b["start"] <= r["start"]) & (r["end"] <= b["end"]))
     return rows.withColumn("random_spans", F.filter(F.coalesce("_random", F.array().cast(_SPANS)), lambda r: ~inside(r)))
 
