@@ -20,6 +20,7 @@ SLOTS = 1 << 20
 LOOKUPS = 2
 DOCS_PER_LANGUAGE = 2000  # of training, chosen by hash; a bound on fitting only
 LEAST_COUNT = 3  # of an n-gram in a language's training texts
+FEW_GRAMS = 100_000  # a language of fewer n-grams keeps all of them, one of fewer than twice as many those seen twice
 SHARE = 0.5  # of the largest rate among languages that an n-gram's rate must reach
 
 _LETTER = ALNUM.copy()
@@ -110,7 +111,8 @@ def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, slots: int = S
     total = seen.groupBy("lang").agg(F.sum("c").alias("total"))
     totals = {r[0]: float(r[1]) for r in total.collect()}
     rate = F.col("c") / F.create_map(*[F.lit(x) for i, t in totals.items() for x in (i, t)] or [F.lit(-1), F.lit(1.0)])[F.col("lang")]
-    kept = seen.where(F.col("c") >= LEAST_COUNT).withColumn("rate", rate)
+    need = F.create_map(*[F.lit(x) for i, t in totals.items() for x in (i, min(LEAST_COUNT, 1 + int(t // FEW_GRAMS)))] or [F.lit(-1), F.lit(1)])[F.col("lang")]
+    kept = seen.where(F.col("c") >= need).withColumn("rate", rate)
     best = kept.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "rate")).alias("of"))
     langs = best.select("gram", F.explode(F.filter("of", lambda x: x["rate"] >= SHARE * F.col("top"))).alias("x")).select("gram", "x.lang")
     spots = F.explode(F.array(*[F.shiftrightunsigned("gram", 20 * i).bitwiseAND(slots - 1) for i in range(LOOKUPS)]))
