@@ -37,6 +37,10 @@ def parse(text: Column) -> Column:
     t = F.trim(F.regexp_replace(text, r"\s+", " "))
     t = F.regexp_replace(t, r"(?<=\d)[:;](?=\d{3}(?!\d))", "")
     t = F.when(t.rlike(r"^[\dOo .,]+$") & t.rlike(r"\d"), F.translate(t, "Oo", "00")).otherwise(t)
+    return F.transform(F.array(t), _parsed)[0]  # the cleaned text is computed once
+
+
+def _parsed(t: Column) -> Column:
     bad = t.rlike(r"^\s*[(+\-±]") | F.contains(t, F.lit("/"))
     group = lambda pattern, i: F.regexp_extract(t, pattern, i)
     whole = lambda pattern: rf"^\s*{pattern}\s*$"
