@@ -293,3 +293,19 @@ def test_mutual_nearest(spark):
     a = spark.createDataFrame([(0, i, [float(i * 10), 0.0]) for i in range(8)], "k int, a int, va array<double>")
     b = spark.createDataFrame([(0, i, [float(i * 10) + 1, 0.0]) for i in range(8)], "k int, b int, vb array<double>")
     assert sorted((r.a, r.b) for r in nearest.mutual_nearest(a, b, ["k"], "a", "b", "va", "vb").collect()) == [(i, i) for i in range(8)]
+
+
+def test_rooms_from_walls(spark):
+    w = walls(spark, (20, 20, 220, 20, 8, "wall"), (20, 120, 220, 120, 8, "wall"), (20, 20, 20, 120, 8, "wall"), (220, 20, 220, 120, 8, "wall"), (120, 20, 120, 60, 8, "wall"), (120, 90, 120, 120, 8, "wall"))
+    frames = spark.createDataFrame([("a", 260, 160, 8.0)], "plan_id string, width int, height int, t_typ double")
+    assert layouts.rooms_from_walls(w, openings(spark), frames).count() == 1
+    got = layouts.rooms_from_walls(w, openings(spark, ("door", 120, 58, 120, 92, 8, 0.9)), frames).orderBy("id").collect()
+    assert len(got) == 2 and all(len(r.polygon) == 4 and r.holes == [] for r in got)
+    assert [r.cells for r in got] == [91 * 91, 91 * 91]
+
+
+def test_trace_with_hole(spark):
+    rows = [("r", y, 0, 10) for y in (0, 1, 4, 5)] + [("r", y, a, b) for y in (2, 3) for a, b in ((0, 4), (6, 10))]
+    r = cells.trace(spark.createDataFrame(rows, "k string, y int, lo int, hi int"), ["k"]).first()
+    assert sorted(map(tuple, r.polygon)) == [(0, 0), (0, 6), (10, 0), (10, 6)] and sorted(map(tuple, r.holes[0])) == [(4, 2), (4, 4), (6, 2), (6, 4)]
+    assert cells.simplify([(0, 0), (5, 0.4), (10, 0), (10, 10), (0, 10)], 1.0) == [(0, 0), (10, 0), (10, 10), (0, 10)]

@@ -163,3 +163,14 @@ def test_flagship(spark):
     found, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(found) and set(catalog.QUERIES) <= set(found)
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_surface_of_a_ball(spark):
+    rows = [("s", i, j, k, math.sqrt(i * i + j * j + k * k) - 5.3, 1.0) for i in range(-8, 9) for j in range(-8, 9) for k in range(-8, 9)]
+    v, f = scenes.extract_surface(spark.createDataFrame(rows, "scene string, i int, j int, k int, tsdf double, weight double"), 1.0)
+    pts = {r.id: np.array([r.x, r.y, r.z]) for r in v.collect()}
+    assert all(abs(np.linalg.norm(p) - 5.3) < 0.35 for p in pts.values())
+    tri = [(pts[r.v0], pts[r.v1], pts[r.v2]) for r in f.collect()]
+    assert sum(np.dot(np.cross(b - a, c - a), a + b + c) > 0 for a, b, c in tri) == len(tri)
+    volume = sum(np.dot(a, np.cross(b, c)) for a, b, c in tri) / 6
+    assert volume == pytest.approx(4 / 3 * math.pi * 5.3**3, rel=0.06)
