@@ -31,7 +31,7 @@ def write_layouts(layouts: DataFrame, path: str) -> None:
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(schema.RUN_REPORT).option("multiLine", True).json(path)
     source = F.input_file_name()
-    return rows.select(source.alias("path"), F.element_at(F.split(source, "/"), -2).alias("plan_id"), F.url_decode(F.element_at(F.split(source, "/"), -3)).alias("config"), "*")
+    return rows.select(source.alias("path"), F.element_at(F.split(source, "/"), -2).alias("plan_id"), F.url_decode(F.replace(F.element_at(F.split(source, "/"), -3), F.lit("+"), F.lit("%2B"))).alias("config"), "*")
 
 
 def stage_means(reports: DataFrame, by: str = "config") -> DataFrame:
