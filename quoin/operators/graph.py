@@ -48,5 +48,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if tuple(now) == mark:
             break
         mark = tuple(now)
+    else:
+        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     nodes = edges.select(F.explode(F.array(a, b)).alias("id")).where("id is not null").distinct()
     return nodes.join(work.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
