@@ -29,17 +29,18 @@ BANDS = 32  # of 4 bins: a pair of similarity 0.8 shares no band once in 20 mill
 #: A pair whose sketches agree in fewer bins than this share is not verified: five standard
 #: deviations under the threshold.
 SLACK = 0.18
-SPLIT = 256  # members of a bucket that one task compares with the others
+SPLIT = 1024  # members of a bucket that one task compares with the others
 STARS = 1  # rounds of stars before buckets are compared in full
 
 _ROUND = [mix(np.array([i + 1], dtype=U64) * U64(0x9E3779B97F4A7C15))[0] for i in range(2 * BINS)]
 
 
 def sketch(elements: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """uint32 sketch of a set of distinct 64-bit hashes; zeros for the empty set."""
+    """uint16 sketch of a set of distinct 64-bit hashes; zeros for the empty set. Two bins that differ
+    have equal digests once in 65,536, far below the sketch's own error."""
     best = np.full(bins, np.iinfo(np.uint64).max, dtype=U64)
     if not len(elements):
-        return np.zeros(bins, dtype=np.uint32)
+        return np.zeros(bins, dtype=np.uint16)
     for i in range(2 * bins):
         h = mix(elements ^ _ROUND[i])
         if i < bins:
@@ -49,7 +50,7 @@ def sketch(elements: np.ndarray, bins: int = BINS) -> np.ndarray:
             best[i - bins] = min(best[i - bins], (U64(i) << U64(48)) | (h.min() >> U64(16)))
         if i + 1 < bins and (best >> U64(48) <= U64(i)).all():
             break
-    return (mix(best) >> U64(32)).astype(np.uint32)
+    return (mix(best) >> U64(48)).astype(np.uint16)
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
@@ -106,7 +107,7 @@ def _bands(classes: DataFrame) -> DataFrame:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             if not len(ids):
                 continue
-            v = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(len(ids), BANDS, width).astype(U64)
+            v = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(len(ids), BANDS, width).astype(U64)
             h = np.broadcast_to(mix(number + U64(1)), (len(ids), BANDS)).copy()
             for i in range(width):
                 h = mix(h ^ v[:, :, i])
@@ -122,8 +123,8 @@ def _estimate():
 
         if not len(a):
             return pd.Series([], dtype=float)
-        x = np.frombuffer(b"".join(a), dtype=np.uint32).reshape(len(a), BINS)
-        y = np.frombuffer(b"".join(b), dtype=np.uint32).reshape(len(b), BINS)
+        x = np.frombuffer(b"".join(a), dtype=np.uint16).reshape(len(a), BINS)
+        y = np.frombuffer(b"".join(b), dtype=np.uint16).reshape(len(b), BINS)
         return pd.Series((x == y).mean(axis=1))
 
     return agree
@@ -188,7 +189,7 @@ def _across(buckets: DataFrame, labels: DataFrame, marks: DataFrame, texts: Data
         import pyarrow as pa
 
         ids, label, stray = (table.column(c).to_numpy() for c in ("id", "label", "stray"))
-        v = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint32).reshape(len(ids), BINS)
+        v = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint16).reshape(len(ids), BINS)
         sets = shingle_sets(utf8(table.column("text").combine_chunks()), words)
         size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
         other = np.flatnonzero(~stray)
