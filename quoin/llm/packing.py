@@ -118,7 +118,8 @@ def _placed(rows: DataFrame, salted: DataFrame, lengths: Sequence[int], key: str
     spark = rows.sparkSession
     histogram = {r[0]: r[1] for r in rows.groupBy("piece_tokens").count().collect()}  # at most max(lengths) + 1 rows
     most = max(histogram.values(), default=1)
-    splits = max(1, min(1 << 16, -(-most // GROUP_ROWS)))
+    splits = max(1, -(-most // GROUP_ROWS), min(64, -(-most // 500)))  # some groups for each core, of a bounded size
+    splits = min(1 << 16, splits)
     patterns = plan({n: c for n, c in histogram.items() if n}, lengths, cost)
 
     # ranges of ranks: the pieces of length n with ranks in [lo, hi) fill the same slot of equal bins, `fit` to a bin
