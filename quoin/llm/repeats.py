@@ -8,8 +8,9 @@ earlier. Both operators find equal grams without a row for each position:
    cover are its context.
 2. Batches send each shard their distinct (anchor, context) pairs with the first place of each.
    The shard answers whether the same pair is found earlier elsewhere (then all grams of the
-   context are removed) and whether the anchor also has other contexts (then the first place of
-   this one is left open: some of its grams may be found there).
+   context are removed) and whether the anchor also has other contexts (then this one is left
+   open: some of its grams may be found there). Its first place is asked about for all its equals
+   in the batch.
 3. What is left open, a small part, is settled gram by gram: by suffix order (op 4, `suffixes`) or
    by the hash of the stretch that the seed reaches both ways (op 5, `stretches`).
 
@@ -165,8 +166,7 @@ class Open:
         order = np.argsort(shard, kind="stable")
         self.whole, self.whole_shard = self.whole[order], shard[order].astype(np.int64)
         # grams sent by themselves, the first of equal ones only
-        single = outline.first[left[alone]]
-        single = np.sort(single)
+        single, _ = self._all_of(left[alone])
         count = outline.count[single]
         self.owner = np.repeat(single, count)
         self.offset = ranges(np.zeros(len(single), dtype=np.int64), count)
@@ -185,6 +185,14 @@ class Open:
         place[order] = np.arange(len(order))
         self.entry = place[which]
 
+    def _all_of(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every context of some entries, but for those whose equal lies earlier, and which of the entries it is of."""
+        which = np.full(len(self.outline.first), -1)
+        which[entries] = np.arange(len(entries))
+        which = which[self.outline.entry]
+        at = np.flatnonzero((which >= 0) & ~self.outline.earlier_here())
+        return at, which[at]
+
     def _text(self, doc: int, at: int, size: int) -> bytes:
         return self.outline.texts[doc][at : at + size]
 
@@ -208,10 +216,13 @@ class Open:
     def removed(self, whole: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(part, first token) of the removed grams, from the shards' answers."""
         o = self.outline
+        # what is told of a context holds for all its equals in the batch
         count = o.count[self.whole]
-        ask = np.repeat(self.whole, count)
-        token = np.repeat(o.token(self.whole), count) + ranges(np.zeros(len(count), dtype=np.int64), count)
-        hit = whole.astype(bool)
+        at, which = self._all_of(o.entry[self.whole])
+        told_from, count = (np.cumsum(count) - count)[which], count[which]
+        ask = np.repeat(at, count)
+        token = np.repeat(o.token(at), count) + ranges(np.zeros(len(count), dtype=np.int64), count)
+        hit = whole.astype(bool)[ranges(told_from, count)]
         told = single.astype(bool)[self.entry] if len(self.entry) else np.zeros(0, dtype=bool)
         first = self.first[self.entry] if len(self.entry) else self.entry
         mine, his = o.ids[o.doc[self.owner]], o.ids[o.doc[self.owner[first]]] if len(first) else o.ids[o.doc[self.owner]]

@@ -113,6 +113,67 @@ def test_many_contexts(odd, monkeypatch):
     assert sorted(zip(*table.to_pydict().values(), strict=True), key=str) == sorted(plain.byte_dedup(docs), key=str)
 
 
+def settle(batches, kind, shards=3):
+    """What remove_repeats does to batches of (doc_id, text), without Spark."""
+    outlines = [repeats.Outline(np.array([d for d, _ in b]), [t.encode() for _, t in b], kind, shards) for b in batches]
+
+    def exchange(sent, answer):
+        told = [{} for _ in batches]
+        for key in sorted({k for s in sent for k in s}):
+            have = [i for i, s in enumerate(sent) if key in s]
+            for i, blob in zip(have, answer(key, [sent[i][key] for i in have]), strict=True):
+                told[i][key] = blob
+        return told
+
+    told = exchange([dict(o.sent()) for o in outlines], lambda _, blobs: repeats.answer_contexts(blobs, kind.words))
+    status = [np.frombuffer(b"".join(t[k] for k in sorted(t)), dtype=np.uint8) for t in told]
+    more = [repeats.Open(o, s) for o, s in zip(outlines, status, strict=True)]
+    asked = [{(sort, shard): blob for shard, sort, blob in m.sent()} for m in more]
+    told = exchange(asked, lambda key, blobs: repeats.answer_hashes(blobs) if key[0] == 3 else repeats.answer_text(blobs, kind.gram))
+    out = []
+    for o, s, m, t in zip(outlines, status, more, told, strict=True):
+        of = lambda sort: [(k[1], t[k]) for k in sorted(t) if k[0] == sort]  # noqa: B023, E731
+        whole = repeats._bits(of(1), repeats._sizes(m.whole_shard, o.count[m.whole]))
+        part, token = m.removed(whole, repeats._bits(of(2 if kind.by_suffix else 3), repeats._sizes(m.shard)))
+        gone = np.flatnonzero(o.earlier_here() | ((s[o.entry] & repeats.EARLIER) > 0))
+        at = o.token(gone)
+        table = repeats._result(o, np.concatenate([part, o.part[gone]]), np.concatenate([token, at]), np.concatenate([token + kind.gram, at + o.count[gone] + kind.gram - 1]))
+        out += zip(*table.to_pydict().values(), strict=True)
+    return sorted(out, key=str)
+
+
+def passages(seed=11):
+    """A passage that one document holds twice in the same surroundings, and a smaller one once in others."""
+    rng = random.Random(seed)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    p, u, v = text(60), "U" + text(80), "V" + text(80) + "W"
+    return [(1, "X" + text(90) + p + "Y" + text(90)), (2, (u + p + v) * 2)]
+
+
+def test_passage_twice_in_one_document(spark):
+    docs = passages()
+    got = rows(repeats.suffix_dedup(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert got == sorted(plain.byte_dedup(docs), key=str) and [r[2:4] for r in got] == [(0, 0), (120, 2)]
+
+
+@pytest.mark.parametrize("many", [1, 2048])
+def test_passages_in_batches(monkeypatch, many):
+    """Repeats within and between documents, of one batch or more, asked about by context and by gram."""
+    monkeypatch.setattr(repeats, "MANY_CONTEXTS", many)
+    for seed in range(12):
+        rng = random.Random(seed)
+        pool = [t for s in range(3) for _, t in passages(100 * seed + s)]
+        docs = passages(seed)
+        for d in range(3, 14):
+            cut = lambda: (lambda t, a: t[a : a + rng.randint(40, 200)])(rng.choice(pool), rng.randint(0, 150))  # noqa: B023, E731
+            some = [cut() for _ in range(3)]
+            docs.append((d, "".join(rng.choice(some) + rng.choice(("", "-", "+")) for _ in range(8))))
+        for batches in ([docs], [docs[::2], docs[1::2]]):
+            assert settle(batches, repeats.BYTES_50) == sorted(plain.byte_dedup(docs), key=str)
+            worded = [[(d, " ".join(t)) for d, t in b] for b in batches]
+            assert sorted(((*r[:3], r[4]) for r in settle(worded, repeats.WORDS_20)), key=str) == sorted(plain.word_dedup([x for b in worded for x in b]), key=str)
+
+
 def test_longest_previous_factor():
     rng = random.Random(3)
     keys = np.array(["".join(rng.choice("ab") for _ in range(6)).encode() for _ in range(300)], dtype="S6")
