@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.llm import contamination, language, neardup, packing, secrets
+from quoin.llm.exchange import row_key
 
 #: A text of so many n-grams or more is rejected if no language contains this share of them.
 LEAST_GRAMS, LEAST_KNOWN = 20, 0.25
@@ -31,15 +32,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the least doc_id of each group of near duplicates."""
+    """Keep the document of the least doc_id of each group of near duplicates. Rows of one doc_id, or of
+    none, are told apart by their texts."""
     return neardup.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold ten consecutive words of a benchmark item, or a shorter item whole."""
-    found = contamination.find_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("_contaminated_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_contaminated_id")), "left_anti").select(*docs.columns)
+    """Drop documents that hold ten consecutive words of a benchmark item, or a shorter item whole; of rows with one
+    doc_id, or none, only those that do."""
+    rows = docs.withColumn("_contaminated_row", row_key())
+    found = contamination.find_contaminated(rows.select(F.col("_contaminated_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = found.where("contaminated").select(F.col("doc_id").alias("_contaminated_row")).distinct()
+    return rows.join(bad, "_contaminated_row", "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

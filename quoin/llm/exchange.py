@@ -28,6 +28,11 @@ def shown_id(column="doc_id"):
     return F.when(F.col(column) != NO_ID, F.col(column)).alias(column)
 
 
+def row_key():
+    """Names each different (doc_id, text): rows of one doc_id, or of none, stay apart by it."""
+    return F.xxhash64(known_id(), "text")
+
+
 def small_batches(spark, rows: int = 1000) -> None:
     """Texts go to Python in batches of so many rows, unless the session sets a number of its own:
     the default of 10,000 rows would hold tens of megabytes of text several times over."""

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.llm.arrays import NOT_SPACE, U64, chunks, mix, prefix_sums, release, stretch_hash, utf8
-from quoin.llm.exchange import known_id, shown_id, small_batches
+from quoin.llm.exchange import known_id, row_key, shown_id, small_batches
 from quoin.operators.graph import checkpointed, connected_components
 
 WORDS = 5
@@ -71,11 +71,11 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-SKETCHED = "doc_id long, n_shingles long, set_hi long, set_lo long, sketch binary"
+SKETCHED = "doc_id long, row long, n_shingles long, set_hi long, set_lo long, sketch binary"
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit hash of the set, and the sketch. No shuffle."""
+    """doc_id, the row's key, n_shingles, a 128-bit hash of the set, and the sketch. No shuffle."""
 
     small_batches(docs.sparkSession)
 
@@ -83,16 +83,16 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            sets = shingle_sets(utf8(batch.column(1)), words)
+            sets = shingle_sets(utf8(batch.column(2)), words)
             hi = [int(mix(s).sum().view(np.int64)) if len(s) else 0 for s in sets]
             lo = [int(mix(s ^ U64(0xA5A5A5A5A5A5A5A5)).sum().view(np.int64)) if len(s) else 0 for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array([sketch(s).tobytes() if len(s) else b"" for s in sets], pa.binary())],
-                names=["doc_id", "n_shingles", "set_hi", "set_lo", "sketch"],
+                [batch.column(0), batch.column(1), pa.array(list(map(len, sets)), pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array([sketch(s).tobytes() if len(s) else b"" for s in sets], pa.binary())],
+                names=["doc_id", "row", "n_shingles", "set_hi", "set_lo", "sketch"],
             )
         release()
 
-    return docs.select(known_id().alias("doc_id"), "text").mapInArrow(run, SKETCHED)
+    return docs.select(known_id().alias("doc_id"), row_key().alias("row"), "text").mapInArrow(run, SKETCHED)
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -210,24 +210,20 @@ def _across(buckets: DataFrame, labels: DataFrame, marks: DataFrame, texts: Data
     return strays.unionByName(others).groupBy("main", "part", "block").applyInArrow(run, "a long, b long")
 
 
-def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable over links), kept (is it that one).
-
-    Null and empty texts have no shingles and are linked with nothing; equal sets of one shingle or
-    more are linked; a missing doc_id is the least of all; of rows with one doc_id each gets a row. Links are exact on full sets; only
-    which pairs are looked at rests on the sketch (a pair at the threshold is missed less than once
-    in a million).
-    """
+def _groups(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sketched rows, and for each class (set_hi, set_lo) its least row (doc_id, then key) as `least`
+    and `id`, and those of its component as `component_id` and `head`. Classes go by the key of a row,
+    not by its doc_id, which rows of other texts may have too."""
     sketched = checkpointed(sketches(docs, words))
-    rows = sketched.select("doc_id", "n_shingles", "set_hi", "set_lo")
-    classes = checkpointed(sketched.where("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")))
+    classes = sketched.where("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min(F.struct("doc_id", "row")).alias("s"), F.first("sketch").alias("sketch"))
+    classes = checkpointed(classes.select("set_hi", "set_lo", F.col("s.row").alias("id"), F.col("s.doc_id").alias("least"), "sketch"))
     banded = _bands(classes)
     shared = banded.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
     buckets = checkpointed(banded.join(shared, "bucket"))
     members = checkpointed(buckets.select("id").distinct())
     marks = checkpointed(classes.join(members, "id").groupBy("id").agg(F.first("sketch").alias("sketch")))
-    texts = docs.select(known_id().alias("id"), "text").join(members, "id")
-    texts = checkpointed(texts.groupBy("id").agg(F.max("text").alias("text")))
+    texts = docs.select(row_key().alias("id"), "text").join(members, "id")
+    texts = checkpointed(texts.groupBy("id").agg(F.max("text").alias("text")))  # rows of one key have one text
     least = percent / 100 - SLACK
     agree = _estimate()
     labels = members.select("id", F.col("id").alias("label"))
@@ -245,16 +241,34 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
         labels = _relabel(members, links)
     found = checkpointed(_across(buckets, labels, marks, texts, words, percent))
     labels = _relabel(members, links.unionByName(found))
-    of_class = classes.join(labels, "id", "left").select("set_hi", "set_lo", F.coalesce("label", "id").alias("component_id"))
-    out = rows.join(of_class, ["set_hi", "set_lo"], "left")
+    labelled = classes.select("set_hi", "set_lo", "id", "least").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    heads = labelled.groupBy("label").agg(F.min(F.struct("least", "id")).alias("s")).select("label", F.col("s.least").alias("component_id"), F.col("s.id").alias("head"))
+    return sketched, labelled.join(heads, "label")
+
+
+def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable over links), kept (is it that one).
+
+    Null and empty texts have no shingles and are linked with nothing; equal sets of one shingle or
+    more are linked; a missing doc_id is the least of all; of rows with one doc_id each gets a row, by
+    its own text. Links are exact on full sets; only
+    which pairs are looked at rests on the sketch (a pair at the threshold is missed less than once
+    in a million).
+    """
+    sketched, classes = _groups(docs, words, percent)
+    rows = sketched.select("doc_id", "n_shingles", "set_hi", "set_lo")
+    out = rows.join(classes.select("set_hi", "set_lo", "component_id"), ["set_hi", "set_lo"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     told = out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
     return told.select(shown_id(), "n_shingles", shown_id("component_id"), "kept")
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents with one of each group of near duplicates; all columns stay. Of rows with one
-    doc_id and equal texts one stays."""
-    kept = components(docs, words, percent).where("kept").select(F.col("doc_id").alias("_near_duplicates_kept")).distinct()
-    one = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_near_duplicates_kept"))).select(*docs.columns)
-    return one.dropDuplicates(["doc_id"])
+    """The documents with one of each group of near duplicates, of the least doc_id; all columns stay.
+    Rows are told apart by doc_id and text: of rows with one doc_id and equal texts one stays, and
+    of those with other texts each that is no near duplicate."""
+    sketched, classes = _groups(docs, words, percent)
+    key = "_near_duplicates_row"
+    kept = classes.where("id = head").select(F.col("id").alias(key)).unionByName(sketched.where("n_shingles = 0").select(F.col("row").alias(key)))
+    one = docs.withColumn(key, row_key()).join(kept.distinct(), key)
+    return one.dropDuplicates([key]).select(*docs.columns)

@@ -352,6 +352,25 @@ def test_missing_ids(spark, sf_dir):
     assert docs.count() == 2
 
 
+def test_rows_of_one_id(spark, tmp_path):
+    """Different texts of one doc_id, or of none, are linked, kept and dropped each for itself."""
+    import corpus_pipeline
+
+    text = lambda s: " ".join(f"{s}{i}" for i in range(60))
+    item = text("item")
+    texts = [(None, text("a")), (None, text("b")), (None, text("b")), (4, text("c")), (4, text("d")), (5, text("c") + " more"), (6, text("d") + " more"), (7, text("b") + " more"), (None, f"{text('e')} {item}"), (8, text("f")), (8, f"{text('g')} {item}"), (9, None), (9, "")]
+    docs = spark.createDataFrame([(d, t, "xy", "a", 1) for d, t in texts], SCHEMA)
+    told = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.components(docs).collect()), key=str)
+    own = [(d, d, True) for d in (None, None, None, None, 4, 4, 8, 8, 9, 9)]
+    assert told == sorted([*own, (5, 4, False), (6, 4, False), (7, None, False)], key=str)
+    kept = neardup.deduplicate(docs)
+    left = [texts[0], texts[1], texts[3], texts[4], *texts[8:]]
+    assert sorted(pairs(kept), key=str) == sorted(left, key=str) and kept.columns == docs.columns
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.drop_contaminated(spark, kept, str(tmp_path))
+    assert sorted(pairs(clean), key=str) == sorted((x for x in left if item not in (x[1] or "")), key=str)
+
+
 def test_remainders(spark):
     got = spark.createDataFrame([(i,) for i in range(40)], "doc_id long").select("doc_id", queries._remainder(3).alias("r")).collect()
     assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == r.r for r in got)
