@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 8 << 20
+MOST_BYTES = 256 << 20
 #: Stands for a missing doc_id within the operators: the least of all. Results show it as null again.
 NO_ID = -(1 << 63)
 
@@ -46,9 +47,14 @@ def shuffle_parts(spark) -> int:
 
 
 def batched(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int]:
-    """(batch, doc_id, text as bytes) of every row, shuffled by batch once, and the number of batches."""
+    """(batch, doc_id, text as bytes) of every row, shuffled by batch once, and the number of batches.
+
+    Batches and shards both grow in number with the input, and what one sends another must not
+    shrink to nothing: a batch has as many bytes as the square root of the input's times 4096, from
+    `batch_bytes` up to MOST_BYTES, so a blob stays near 1 kB up to some tens of terabytes."""
     small_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    batch_bytes = max(batch_bytes, min(MOST_BYTES, math.isqrt(total * 4096)))
     n = max(math.ceil(total / batch_bytes), min(32, math.ceil(total / (1 << 18))), 1)
     rows = docs.select(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("batch"),

@@ -1,38 +1,38 @@
 """Exact removal of repeated stretches: the machinery shared by suffix-array and substring dedup.
 
 A gram is a stretch of `gram` tokens (bytes or words). It is removed where an equal gram starts
-earlier. Both operators find equal grams without a row for each position:
+earlier. Neither operator has a row for each position:
 
 1. Winnowing: each gram is assigned to its least `anchor`-token hash, so equal grams have equal
    anchors at equal places. The grams of one anchor are neighbours; they and the tokens that they
-   cover are its context.
-2. Batches send each shard their distinct (anchor, context) pairs with the first place of each.
-   The shard answers whether the same pair is found earlier elsewhere (then all grams of the
-   context are removed) and whether the anchor also has other contexts (then this one is left
-   open: some of its grams may be found there). Its first place is asked about for all its equals
-   in the batch.
-3. What is left open, a small part, is settled gram by gram: by suffix order (op 4, `suffixes`) or
-   by the hash of the stretch that the seed reaches both ways (op 5, `stretches`).
-
-A pair that a third of all documents share is one entry in each batch, and a gram one entry in
-each batch, so no shard's load follows the size of a group of copies. Anchors with very many
-contexts, whose open grams would meet in one shard, are settled under their grams' own hashes.
+   cover are its context. Batches tell each shard their anchors; an anchor that stands nowhere else
+   ends here, for none of its grams can be repeated. This is a filter and decides no removal.
+2. What is left goes to the anchors' shards as text, each different context of a batch once, at its
+   first place. So all equal grams of the corpus meet in one shard. Op 4 puts a shard's stretches in
+   suffix order and takes from the previous and next smaller documents the longest previous factors
+   (`longest_previous_factor`); op 5 joins the stretches on their anchors and extends the matches
+   word by word both ways (`earlier_by_extension`). The answers are one bit a gram.
+3. A batch applies the answers to all equals of what it sent, and joins what is removed to spans.
+
+A context that a third of all documents share is one entry in each batch, so no shard's load follows
+the size of a group of copies. Anchors with very many contexts, whose grams would meet in one shard,
+are dealt out by their grams' own hashes.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from itertools import compress
 from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quoin.llm.arrays import NOT_SPACE, U64, chunks, get_ints, mix, prefix_sums, put_ints, release, sliding_min, stretch_hash, width_of, window_hash
 from quoin.llm.exchange import batched, ordered, shown_id, shuffle_parts
 
-EARLIER, OPEN, MANY = 1, 2, 4
+SHARED, MANY = 1, 2
 MANY_CONTEXTS = 2048  # of an anchor; beyond them its grams are dealt out by their own hashes
 _HEAD = struct.Struct("<qIBB")
 
@@ -41,7 +41,6 @@ class Kind(NamedTuple):
     gram: int
     anchor: int
     words: bool  # tokens are words, and earlier places in the same document count
-    by_suffix: bool
 
 
 def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -51,35 +50,42 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 class Part:
-    """A chunk's tokens: running sums and each document's first and last + 1."""
+    """A chunk's tokens: running sums, each document's first and last + 1, and the tokens' bytes."""
 
     def __init__(self, chunk, kind: Kind):
         self.chunk = chunk
         if kind.words:
-            tokens, _, _, first = chunk.words(NOT_SPACE)
+            tokens, self.byte, self.byte_end, first = chunk.words(NOT_SPACE)
             self.start, self.end = first[:-1], first[1:]
         else:
             tokens, self.start, self.end = chunk.buf, chunk.start, chunk.end
+            self.byte = self.byte_end = None
         self.n = len(tokens)
         self.sums = prefix_sums(tokens)
 
+    def text(self, lo: np.ndarray, hi: np.ndarray) -> list[bytes]:
+        """The bytes of tokens[lo:hi] of each pair."""
+        a, b = (lo, hi) if self.byte is None else (self.byte[lo], self.byte_end[hi - 1])
+        buf = self.chunk.buf.data
+        return [bytes(buf[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+
 
 class Outline:
-    """The contexts of a batch, in order of document and place, and what it sends to the shards."""
+    """The contexts of a batch, in order of document and place, and what it tells the shards of anchors."""
 
     def __init__(self, ids: np.ndarray, texts: list[bytes], kind: Kind, shards: int):
-        self.kind, self.ids, self.texts, self.shards = kind, ids, texts, shards
+        self.kind, self.ids, self.shards = kind, ids, shards
         self.parts = [Part(c, kind) for c in chunks(texts)]
         columns: list[list[np.ndarray]] = []
         for i, part in enumerate(self.parts):
             columns.append(self._contexts(i, part))
-        self.part, self.doc, self.at, self.count, self.hash, self.context = (np.concatenate(c) for c in zip(*columns, strict=True)) if columns else (np.zeros(0, dtype=np.int64),) * 6
+        self.part, self.doc, self.at, self.count, self.hash, self.context, self.lead = (np.concatenate(c) for c in zip(*columns, strict=True)) if columns else (np.zeros(0, dtype=np.int64),) * 7
         # the first of equal contexts is at the earliest place
-        _, first, which = np.unique(self.context, return_index=True, return_inverse=True)
+        _, first, which, times = np.unique(self.context, return_index=True, return_inverse=True, return_counts=True)
         shard = (self.hash[first] & U64(0xFFFFFF)) % U64(max(1, shards))
         order = np.argsort(shard, kind="stable")
         self.shard = shard[order].astype(np.int64)
-        self.first = first[order]
+        self.first, self.times = first[order], times[order]
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
         self.entry = place[which]  # of each context
@@ -89,7 +95,7 @@ class Outline:
         size = np.maximum(part.end - part.start - kind.gram + 1, 0)
         grams = ranges(part.start, size)
         if not len(grams):
-            return [np.zeros(0, dtype=np.int64)] * 4 + [np.zeros(0, dtype=U64)] * 2
+            return [np.zeros(0, dtype=np.int64)] * 4 + [np.zeros(0, dtype=U64)] * 2 + [np.zeros(0, dtype=np.int64)]
         h = window_hash(part.sums, kind.anchor)
         bits = U64(max(24, n.bit_length()))
         least = sliding_min((h >> bits << bits) | np.arange(len(h), dtype=U64), kind.gram - kind.anchor + 1)
@@ -98,7 +104,7 @@ class Outline:
         new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])))
         lo, count, doc, anchor = grams[new], np.diff(np.append(new, len(grams))), doc[new], anchor[new]
         context = mix(stretch_hash(part.sums, lo, lo + count + kind.gram - 1) + (anchor - lo).astype(U64))
-        return [np.full(len(lo), number), doc + part.chunk.first, lo - part.start[doc], count, h[anchor], context]
+        return [np.full(len(lo), number), doc + part.chunk.first, lo - part.start[doc], count, h[anchor], context, anchor - lo]
 
     def place(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Document id and place of contexts, by which they are ordered."""
@@ -111,14 +117,11 @@ class Outline:
         return (mine > his) | ((mine == his) & (self.at > self.at[first]) if self.kind.words else np.zeros(len(mine), dtype=bool))
 
     def sent(self):
-        """(shard, blob) of the distinct contexts."""
-        doc, at = self.place(self.first)
+        """(shard, blob) of the anchors: one entry for each different context."""
         for shard, s in _cut(self.shard):
             i = self.first[s]
-            yield shard, pack(doc[s], at[s], (self.hash[i] >> U64(24), 5), (self.context[i] >> U64(16), 6))
-
-    def open_grams(self, status: np.ndarray) -> Open:
-        return Open(self, status)
+            mark = (self.context[i] >> U64(49) << U64(1)) | (self.times[s] > 1).astype(U64)
+            yield shard, struct.pack("<I", len(i)) + put_ints(self.hash[i] >> U64(24), 5) + put_ints(mark, 2)
 
     def token(self, i: np.ndarray) -> np.ndarray:
         """First token, in its part, of contexts."""
@@ -128,6 +131,14 @@ class Outline:
             out[of] = part.start[self.doc[i[of]] - part.chunk.first] + self.at[i[of]]
         return out
 
+    def texts(self, i: np.ndarray, token: np.ndarray, size: np.ndarray) -> list[bytes]:
+        """The bytes of `size` tokens from `token` on, in the parts of contexts i."""
+        out = np.empty(len(i), dtype=object)
+        for number, part in enumerate(self.parts):
+            of = np.flatnonzero(self.part[i] == number)
+            out[of] = np.fromiter(part.text(token[of], token[of] + size[of]), dtype=object, count=len(of))
+        return out.tolist()
+
 
 def _cut(shard: np.ndarray):
     if not len(shard):
@@ -137,48 +148,62 @@ def _cut(shard: np.ndarray):
         yield int(shard[lo]), slice(lo, hi)
 
 
-def pack(doc: np.ndarray, at: np.ndarray, *columns: tuple[np.ndarray, int]) -> bytes:
-    base = int(doc.min()) if len(doc) else 0
-    w_doc, w_at = width_of(int(doc.max()) - base) if len(doc) else 1, width_of(int(at.max())) if len(at) else 1
-    return _HEAD.pack(base, len(doc), w_doc, w_at) + put_ints(doc - base, w_doc) + put_ints(at, w_at) + b"".join(put_ints(c, w) for c, w in columns)
+class Stretches(NamedTuple):
+    """Some stretches of text: document and place of each, the number of grams that start in it, how
+    many tokens stand before its anchor, its bytes, and all texts end to end."""
 
+    doc: np.ndarray
+    at: np.ndarray
+    count: np.ndarray
+    lead: np.ndarray
+    size: np.ndarray
+    text: bytes
 
-def unpack(blob: bytes, *widths: int) -> tuple[list[np.ndarray], int]:
-    """doc, at and the columns of a blob, and where its rest begins."""
-    base, n, w_doc, w_at = _HEAD.unpack_from(blob)
-    at, out = _HEAD.size, []
-    for w in (w_doc, w_at, *widths):
-        out.append(get_ints(blob, n, w, at))
-        at += n * w
-    return [out[0].astype(np.int64) + base, out[1].astype(np.int64), *out[2:]], at
+    def packed(self) -> bytes:
+        n = len(self.doc)
+        base = int(self.doc.min()) if n else 0
+        w_doc, w_at = (width_of(int(x.max())) if n else 1 for x in (self.doc - base, self.at))
+        columns = ((self.doc - base, w_doc), (self.at, w_at), (self.count, 2), (self.lead, 2), (self.size, 4))
+        return _HEAD.pack(base, n, w_doc, w_at) + b"".join(put_ints(c, w) for c, w in columns) + self.text
 
 
-class Open:
-    """The grams that shards left open, and where each is asked about."""
+def unpacked(blobs: list[bytes]) -> Stretches:
+    """The stretches of some blobs, one after the other."""
+    rows: list[list[np.ndarray]] = [[], [], [], [], []]
+    text = []
+    for blob in blobs:
+        base, n, w_doc, w_at = _HEAD.unpack_from(blob)
+        at = _HEAD.size
+        for row, w in zip(rows, (w_doc, w_at, 2, 2, 4), strict=True):
+            row.append(get_ints(blob, n, w, at).astype(np.int64))
+            at += n * w
+        rows[0][-1] += base
+        text.append(memoryview(blob)[at:])
+    return Stretches(*(np.concatenate(r) for r in rows), b"".join(text))
+
+
+class Asked:
+    """The grams of shared anchors, and where each is asked about."""
 
     def __init__(self, outline: Outline, status: np.ndarray):
         self.outline = outline
         kind = outline.kind
-        left = np.flatnonzero((status & (EARLIER | OPEN)) == OPEN)
-        alone = (status[left] & MANY > 0) | (not kind.by_suffix)
-        self.whole = outline.first[left[~alone]]  # contexts sent as text
-        shard = (outline.hash[self.whole] & U64(0xFFFFFF)) % U64(max(1, outline.shards))
-        order = np.argsort(shard, kind="stable")
-        self.whole, self.whole_shard = self.whole[order], shard[order].astype(np.int64)
+        left = np.flatnonzero(status & SHARED)
+        alone = status[left] & MANY > 0
+        self.whole = outline.first[left[~alone]]  # contexts sent whole, already in the order of their shards
+        self.whole_shard = outline.shard[left[~alone]]
         # grams sent by themselves, the first of equal ones only
         single, _ = self._all_of(left[alone])
         count = outline.count[single]
         self.owner = np.repeat(single, count)
         self.offset = ranges(np.zeros(len(single), dtype=np.int64), count)
-        token = outline.token(single)
-        token = np.repeat(token, count) + self.offset
-        gram = np.zeros(len(token), dtype=U64)
+        self.token = np.repeat(outline.token(single), count) + self.offset
+        gram = np.zeros(len(self.token), dtype=U64)
         for number, part in enumerate(outline.parts):
             of = np.flatnonzero(outline.part[self.owner] == number)
-            gram[of] = stretch_hash(part.sums, token[of], token[of] + kind.gram)
-        self.gram, self.token = gram, token
+            gram[of] = stretch_hash(part.sums, self.token[of], self.token[of] + kind.gram)
         _, first, which = np.unique(gram, return_index=True, return_inverse=True)
-        shard = (gram[first] & U64(0xFFFF)) % U64(max(1, outline.shards))
+        shard = (gram[first] & U64(0xFFFFFF)) % U64(max(1, outline.shards))
         order = np.argsort(shard, kind="stable")
         self.first, self.shard = first[order], shard[order].astype(np.int64)
         place = np.empty(len(order), dtype=np.int64)
@@ -193,28 +218,25 @@ class Open:
         at = np.flatnonzero((which >= 0) & ~self.outline.earlier_here())
         return at, which[at]
 
-    def _text(self, doc: int, at: int, size: int) -> bytes:
-        return self.outline.texts[doc][at : at + size]
-
     def sent(self):
-        """(shard, kind of blob, blob): contexts as text (1), single grams as text (2) or as hashes (3)."""
+        """(shard, sort, blob): whole contexts (1) and single grams (2)."""
         o, gram = self.outline, self.outline.kind.gram
+
+        def blob(i, offset, count):
+            doc, at = o.place(i)
+            texts = o.texts(i, o.token(i) + offset, count + gram - 1)
+            size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+            return Stretches(doc, at + (offset if o.kind.words else 0), count, o.lead[i] - offset, size, b"".join(texts)).packed()
+
         for shard, s in _cut(self.whole_shard):
             i = self.whole[s]
-            doc, at = o.place(i)
-            text = b"".join(map(self._text, o.doc[i].tolist(), o.at[i].tolist(), (o.count[i] + gram - 1).tolist()))
-            yield shard, 1, pack(doc, at, (o.count[i], 2)) + text
+            yield shard, 1, blob(i, np.zeros(len(i), dtype=np.int64), o.count[i])
         for shard, s in _cut(self.shard):
             i = self.first[s]
-            doc, at = o.place(self.owner[i])
-            if o.kind.by_suffix:
-                text = b"".join(map(self._text, o.doc[self.owner[i]].tolist(), (o.at[self.owner[i]] + self.offset[i]).tolist(), [gram] * len(i)))
-                yield shard, 2, pack(doc, at, (np.ones(len(i), dtype=np.int64), 2)) + text
-            else:
-                yield shard, 3, pack(doc, at + self.offset[i], (self.gram[i] >> U64(16), 6))
+            yield shard, 2, blob(self.owner[i], self.offset[i], np.ones(len(i), dtype=np.int64))
 
     def removed(self, whole: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(part, first token) of the removed grams, from the shards' answers."""
+        """(part, first token, last + 1) of what goes, from the shards' answers and from equals within the batch."""
         o = self.outline
         # what is told of a context holds for all its equals in the batch
         count = o.count[self.whole]
@@ -231,28 +253,102 @@ class Open:
             at = o.at[self.owner] + self.offset
             later |= (mine == his) & (at > at[first])
         told |= later
-        return np.concatenate([o.part[ask[hit]], o.part[self.owner[told]]]), np.concatenate([token[hit], self.token[told]])
-
-
-def answer_contexts(blobs: list[bytes], words: bool) -> list[bytes]:
-    """For each entry of each blob, whether it is EARLIER, OPEN and of an anchor with MANY contexts."""
-    parts = [unpack(b, 5, 6)[0] for b in blobs]
-    size = [len(p[0]) for p in parts]
-    doc, at, h, c = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    high, low = (h << U64(24)) | (c >> U64(24)), c & U64(0xFFFFFF)
-    order = np.lexsort((at, doc, low, high)) if words else np.lexsort((doc, low, high))
-    high, low, doc, at = high[order], low[order], doc[order], at[order]
-    anchor = high >> U64(24)
-    new_anchor = np.append(True, anchor[1:] != anchor[:-1])
-    new = new_anchor | np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1]))
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    earlier = (doc > doc[first]) | ((at > at[first]) if words else False)
-    run = np.cumsum(new_anchor) - 1
-    contexts = np.bincount(run, weights=new)[run]
-    status = np.where(earlier, EARLIER, 0) | np.where(contexts > 1, OPEN, 0) | np.where(contexts > MANY_CONTEXTS, MANY, 0)
+        gone = np.flatnonzero(o.earlier_here())
+        lo = np.concatenate([token[hit], self.token[told], o.token(gone)])
+        size = np.concatenate([np.ones(hit.sum() + told.sum(), dtype=np.int64), o.count[gone]])
+        return np.concatenate([o.part[ask[hit]], o.part[self.owner[told]], o.part[gone]]), lo, lo + size + o.kind.gram - 1
+
+
+def shared_anchors(blobs: list[bytes]) -> list[bytes]:
+    """For each entry of each blob, whether its anchor stands elsewhere, too (SHARED), and in MANY contexts."""
+    sizes = [struct.unpack_from("<I", b)[0] for b in blobs]
+    anchor = np.concatenate([get_ints(b, n, 5, 4) for b, n in zip(blobs, sizes, strict=True)])
+    mark = np.concatenate([get_ints(b, n, 2, 4 + 5 * n) for b, n in zip(blobs, sizes, strict=True)])
+    order = np.argsort((anchor << U64(15)) | (mark >> U64(1)))
+    anchor, mark = anchor[order], mark[order]
+    new = np.append(True, anchor[1:] != anchor[:-1])
+    run = np.cumsum(new) - 1
+    entries = np.bincount(run)
+    repeated = np.bincount(run, weights=mark & U64(1)) > 0
+    contexts = np.bincount(run, weights=new | np.append(True, mark[1:] >> U64(1) != mark[:-1] >> U64(1)))
+    status = np.where((entries > 1) | repeated, SHARED, 0) | np.where(contexts > MANY_CONTEXTS, MANY, 0)
     out = np.empty(len(order), dtype=np.uint8)
-    out[order] = status
-    return [x.tobytes() for x in np.split(out, np.cumsum(size)[:-1])]
+    out[order] = status[run]
+    return [x.tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])]
+
+
+def dense_rank(high: np.ndarray, low: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks from 1 of the pairs (high, low), low being of so many bits, and the order (ties by place)."""
+    n = len(high)
+    key = (high.astype(U64) << U64(bits)) | low.astype(U64)
+    place = max(1, (n - 1).bit_length())
+    if n and (int(high.max()).bit_length() + bits + place) <= 64:  # sorting keys with their places is many times faster
+        key = np.sort((key << U64(place)) | np.arange(n, dtype=U64))
+        order, key = (key & U64((1 << place) - 1)).astype(np.int64), key >> U64(place)
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    rank = np.empty(n, dtype=np.uint32)
+    rank[order] = np.cumsum(np.append(True, key[1:] != key[:-1])[:n])
+    return rank, order
+
+
+class SuffixOrder:
+    """Suffix order of some strings laid end to end, by doubling: the ranks of 4, 8, 16, ... bytes from
+    each position on, up to half of `length` or more; a string's end ranks before any byte."""
+
+    BYTES, BITS = 4, 9  # of a word; a byte counts one more than its value, a place past the end counts 0
+
+    def __init__(self, text: np.ndarray, size: np.ndarray, length: int):
+        n = len(text)
+        self.end = np.repeat(np.cumsum(size + 1) - 1, size + 1)  # one place more for the end of each
+        body = np.ones(n + len(size), dtype=bool)
+        body[np.cumsum(size + 1) - 1] = False
+        m = n + len(size)
+        value = np.zeros(m + self.BYTES, dtype=np.uint16)
+        value[:m][body] = text.astype(np.uint16) + 1
+        word = np.zeros(m, dtype=U64)
+        for i in range(self.BYTES):
+            word = (word << U64(self.BITS)) | value[i : i + m]
+        for k in range(self.BYTES):  # a word has nothing of the string that comes next
+            word[(self.end[~body] - k)[size >= k]] &= U64(((1 << self.BITS * k) - 1) << self.BITS * (self.BYTES - k))
+        self.word, self.levels = word, []
+        rank, _ = dense_rank(word, np.zeros(m, dtype=U64), 0)
+        width = self.BYTES
+        while True:
+            rank[~body] = 0
+            self.levels.append((width, rank))
+            if 2 * width > length:
+                break
+            after = rank[np.minimum(np.arange(m) + width, self.end)]
+            rank, _ = dense_rank(rank, after, int(rank.max(initial=1)).bit_length())
+            width *= 2
+
+    def sorted(self, start: np.ndarray) -> np.ndarray:
+        """The order of the suffixes that begin at some positions; ties as they are given."""
+        width, rank = self.levels[-1]
+        key, order = rank[start], np.argsort(rank[start], kind="stable")
+        for turn in range(1, -(-int((self.end[start] - start).max(initial=1)) // width)):
+            after = rank[np.minimum(start + turn * width, self.end[start])]
+            key, order = dense_rank(key, after, int(after.max(initial=1)).bit_length())
+        return order
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Length of the longest common prefix of the suffixes at a and at b."""
+        done = np.zeros(len(a), dtype=np.int64)
+        here = lambda row: (row[np.minimum(a + done, self.end[a])], row[np.minimum(b + done, self.end[b])])
+        room = np.minimum(self.end[a] - a, self.end[b] - b)
+        width, rank = self.levels[-1]
+        for _ in range(int(room.max(initial=0)) // width):
+            x, y = here(rank)
+            done += np.where((x == y) & (x > 0), width, 0)
+        for width, rank in self.levels[-2::-1]:
+            x, y = here(rank)
+            done += np.where((x == y) & (x > 0), width, 0)
+        x, y = here(self.word)
+        for i in range(1, self.BYTES):
+            done += (x ^ y) < (U64(1) << U64(self.BITS * i))
+        return np.minimum(done, room)
 
 
 def smaller_neighbour(doc: np.ndarray, lcp: np.ndarray, floor: int) -> tuple[np.ndarray, np.ndarray]:
@@ -278,53 +374,99 @@ def smaller_neighbour(doc: np.ndarray, lcp: np.ndarray, floor: int) -> tuple[np.
     return before, common
 
 
-def longest_previous_factor(keys: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
-    """For each of the strings (bytes of equal width), the longest prefix, at least `width` or else 0,
-    that a string of a smaller document also has: by suffix order and the smaller neighbours on both sides."""
-    by_doc = np.argsort(doc, kind="stable")
-    order = by_doc[np.argsort(keys[by_doc], kind="stable")]
-    sorted_keys = keys[order].view(np.uint8).reshape(len(keys), -1)
-    lcp = np.zeros(len(keys), dtype=np.int64)
-    for lo in range(1, len(keys), 1 << 17):
-        hi = min(len(keys), lo + (1 << 17))
-        same = sorted_keys[lo:hi] == sorted_keys[lo - 1 : hi - 1]
-        lcp[lo:hi] = np.where(same.all(axis=1), same.shape[1], same.argmin(axis=1))
-    d = doc[order]
-    _, left = smaller_neighbour(d, lcp, width)
-    _, right = smaller_neighbour(d[::-1], np.append(0, lcp[1:][::-1]), width)
-    out = np.empty(len(keys), dtype=np.int64)
-    out[order] = np.maximum(left, right[::-1])
+def longest_previous_factor(strings: Stretches, floor: int) -> np.ndarray:
+    """For each gram of the strings, the length of the longest prefix of its suffix, at least `floor` or
+    else 0, that a suffix of a smaller document also has. In suffix order the previous and the next
+    place of a smaller document hold the two longest candidates.
+
+    Equal strings would be neighbours there, at every one of their suffixes. They are laid down once,
+    for the least of their documents; in the others the whole rest of the string is an earlier match."""
+    bounds = np.cumsum(strings.size)
+    least: dict[bytes, int] = {}
+    slices = [strings.text[a:b] for a, b in zip((bounds - strings.size).tolist(), bounds.tolist(), strict=True)]
+    by_doc = np.argsort(strings.doc, kind="stable")
+    own = np.empty(len(by_doc), dtype=np.int64)
+    for i in by_doc.tolist():
+        own[i] = least.setdefault(slices[i], i)
+    by = np.fromiter(least.values(), dtype=np.int64, count=len(least))  # by document
+    size, count = strings.size[by], strings.count[by]
+    text = np.frombuffer(b"".join(least), dtype=np.uint8)
+    suffixes = SuffixOrder(text, size, floor)
+    start = ranges(np.cumsum(size + 1) - size - 1, count)
+    doc = np.repeat(strings.doc[by], count)
+    order = suffixes.sorted(start)
+    at, d = start[order], doc[order]
+    lcp = np.zeros(len(at), dtype=np.int64)
+    lcp[1:] = suffixes.common(at[:-1], at[1:])
+    _, left = smaller_neighbour(d, lcp, floor)
+    _, right = smaller_neighbour(d[::-1], np.append(0, lcp[1:][::-1]), floor)
+    found = np.empty(len(at), dtype=np.int64)
+    found[order] = np.maximum(left, right[::-1])
+    first = np.empty(len(strings.doc), dtype=np.int64)
+    first[by] = np.cumsum(count) - count
+    offset = ranges(np.zeros(len(own), dtype=np.int64), strings.count)
+    owner = np.repeat(np.arange(len(own)), strings.count)
+    rest = strings.size[owner] - offset
+    return np.where((strings.doc > strings.doc[own])[owner], np.where(rest >= floor, rest, 0), found[first[own[owner]] + offset])
+
+
+def _classes(before: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """One number for each different pair (class so far, next token)."""
+    _, token = np.unique(token, return_inverse=True)
+    return np.unique((before.astype(U64) << U64(32)) | token.astype(U64), return_inverse=True)[1]
+
+
+def earlier_by_extension(strings: Stretches, gram: int, anchor: int) -> np.ndarray:
+    """For each gram of the strings (of words), whether an equal one starts earlier.
+
+    Seeds are equal anchors. From a seed all its matches are extended at once, a word at a time to the
+    left and to the right: strings stay in one class for as long as their words agree. A gram that
+    reaches `k` words to the left of the anchor and `gram - anchor - k` to the right is matched by
+    those of its classes on both sides; the first of them stays."""
+    if not len(strings.doc):
+        return np.zeros(0, dtype=bool)
+    bounds = np.cumsum(strings.size)
+    word, first = [], []
+    base = 0
+    for chunk in chunks([strings.text[a:b] for a, b in zip((bounds - strings.size).tolist(), bounds.tolist(), strict=True)]):
+        h, _, _, at = chunk.words(NOT_SPACE)
+        word.append(h), first.append(at[:-1] + base)
+        base += len(h)
+    word, first = np.concatenate(word), np.concatenate(first)
+    last = np.append(first[1:], len(word))
+    seed_at = first + strings.lead
+    seed = np.unique(stretch_hash(prefix_sums(word), seed_at, seed_at + anchor), return_inverse=True)[1]
+    reach = gram - anchor
+    left, right = [seed], [seed]
+    for k in range(1, reach + 1):
+        for sides, at in ((left, seed_at - k), (right, seed_at + anchor + k - 1)):
+            inside = (at >= first) & (at < last)
+            grown = np.full(len(seed), -1)
+            grown[inside] = _classes(sides[-1][inside], word[at[inside]])
+            sides.append(grown)
+    left, right = np.array(left), np.array(right)
+    owner = np.repeat(np.arange(len(seed)), strings.count)
+    offset = ranges(np.zeros(len(seed), dtype=np.int64), strings.count)
+    k = strings.lead[owner] - offset
+    one, other = left[k, owner], right[reach - k, owner]
+    doc, at = strings.doc[owner], strings.at[owner] + offset
+    order = np.lexsort((at, doc, other, one, k))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (k, one, other)], axis=0)
+    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    out = np.empty(len(order), dtype=bool)
+    out[order] = (doc[order] > doc[head]) | ((doc[order] == doc[head]) & (at[order] > at[head]))
     return out
 
 
-def answer_text(blobs: list[bytes], gram: int) -> list[bytes]:
-    """For each gram of the texts sent, whether it starts in a smaller document: one bit each."""
-    docs, data, counts = [], [], []
-    for blob in blobs:
-        (doc, _, count), at = unpack(blob, 2)
-        docs.append(doc), counts.append(count.astype(np.int64)), data.append(np.frombuffer(blob, dtype=np.uint8, offset=at))
-    count = np.concatenate(counts)
-    text = np.concatenate(data)
-    size = count + gram - 1
-    grams = ranges(np.cumsum(size) - size, count)
-    doc = np.repeat(np.concatenate(docs), count)
-    keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, gram)[grams]).view(f"S{gram}").ravel()
-    hit = longest_previous_factor(keys, doc, gram) >= gram
-    bound = np.cumsum([c.sum() for c in counts])[:-1]
-    return [np.packbits(x).tobytes() for x in np.split(hit, bound)]
-
-
-def answer_hashes(blobs: list[bytes]) -> list[bytes]:
-    """For each stretch sent, whether an equal one starts earlier: one bit each."""
-    parts = [unpack(b, 6)[0] for b in blobs]
-    doc, at, gram = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    order = np.lexsort((at, doc, gram))
-    gram, doc, at = gram[order], doc[order], at[order]
-    new = np.append(True, gram[1:] != gram[:-1])
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    hit = np.empty(len(order), dtype=bool)
-    hit[order] = (doc > doc[first]) | (at > at[first])
-    return [np.packbits(x).tobytes() for x in np.split(hit, np.cumsum([len(p[0]) for p in parts])[:-1])]
+def settled(blobs: list[bytes], kind: Kind) -> list[bytes]:
+    """For each gram of the stretches sent, whether it goes: one bit each."""
+    strings = unpacked(blobs)
+    hit = earlier_by_extension(strings, kind.gram, kind.anchor) if kind.words else longest_previous_factor(strings, kind.gram) >= kind.gram
+    sizes = [struct.unpack_from("<qI", b)[1] for b in blobs]
+    owner = np.repeat(np.arange(len(blobs)), sizes)
+    grams = np.bincount(owner, weights=strings.count, minlength=len(blobs)).astype(np.int64)
+    return [np.packbits(x).tobytes() for x in np.split(hit, np.cumsum(grams)[:-1])]
 
 
 _SENT = "shard int, batch int, sort int, blob binary"
@@ -340,10 +482,9 @@ def _table(schema: str, rows: list[tuple]):
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
 
 
-def _told(table, sort: int) -> np.ndarray:
+def _told(table, sort: int) -> list[tuple[int, bytes]]:
     """The answers of one sort, in the order of the shards."""
-    rows = sorted((s, b) for s, k, b in zip(*(table.column(c).to_pylist() for c in ("shard", "sort", "blob")), strict=True) if k == sort)
-    return rows
+    return sorted((s, b) for s, k, b in zip(*(table.column(c).to_pylist() for c in ("shard", "sort", "blob")), strict=True) if k == sort)
 
 
 def _bits(rows: list[tuple[int, bytes]], sizes: dict[int, int]) -> np.ndarray:
@@ -356,104 +497,105 @@ def _sizes(shard: np.ndarray, weight: np.ndarray | None = None) -> dict[int, int
 
 
 def remove_repeats(docs: DataFrame, kind: Kind) -> DataFrame:
-    """doc_id, n_tokens, n_removed, n_spans (runs of removed tokens), kept_sha256 of each row."""
+    """doc_id, n_tokens, n_removed, spans (the maximal runs of removed tokens, end exclusive) and kept
+    (what is left, as bytes; of words, joined by one space) of each row."""
     rows, n = batched(docs)
-    shards = 2 * max(n, shuffle_parts(docs.sparkSession))
+    shards = 4 * max(n, shuffle_parts(docs.sparkSession))
 
     def ask(table):
         batch = table.column("batch")[0].as_py()
         return _table(_SENT, [(shard, batch, 0, blob) for shard, blob in Outline(*ordered(table), kind, shards).sent()])
 
     def answer(table):
-        out = []
-        sorts = np.array(table.column("sort").to_pylist())
-        shard = table.column("shard")[0].as_py()
-        for sort in np.unique(sorts):
-            at = np.flatnonzero(sorts == sort)
-            part = table.take(at)
-            blobs = part.column("blob").to_pylist()
-            told = answer_contexts(blobs, kind.words) if sort == 0 else answer_hashes(blobs) if sort == 3 else answer_text(blobs, kind.gram)
-            out += [(b, int(sort), shard, t) for b, t in zip(part.column("batch").to_pylist(), told, strict=True)]
-        return _table(_TOLD, out)
-
-    def opened(table, told):
-        outline = Outline(*ordered(table), kind, shards)
+        blobs = table.column("blob").to_pylist()
+        sorts = table.column("sort").to_pylist()
+        told = settled(blobs, kind) if sorts[0] else shared_anchors(blobs)
+        return _table(_TOLD, list(zip(table.column("batch").to_pylist(), sorts, table.column("shard").to_pylist(), told, strict=True)))
+
+    def asked(table, told) -> Asked:
         status = b"".join(b for _, b in _told(told, 0))
-        return outline, Open(outline, np.frombuffer(status, dtype=np.uint8)), np.frombuffer(status, dtype=np.uint8)
+        return Asked(Outline(*ordered(table), kind, shards), np.frombuffer(status, dtype=np.uint8))
 
     def ask_more(table, told):
         batch = table.column("batch")[0].as_py()
-        _, more, _ = opened(table, told)
-        return _table(_SENT, [(shard, batch, sort, blob) for shard, sort, blob in more.sent()])
+        return _table(_SENT, [(shard, batch, sort, blob) for shard, sort, blob in asked(table, told).sent()])
 
     def finish(table, told):
-        outline, more, status = opened(table, told)
-        whole = _bits(_told(told, 1), _sizes(more.whole_shard, outline.count[more.whole]))
-        single = _bits(_told(told, 2 if kind.by_suffix else 3), _sizes(more.shard))
-        part, token = more.removed(whole, single)
-        gone = outline.earlier_here()
-        if len(outline.entry):
-            gone |= (status[outline.entry] & EARLIER) > 0
-        gone = np.flatnonzero(gone)
-        part = np.concatenate([part, outline.part[gone]])
-        lo = np.concatenate([token, outline.token(gone)])
-        hi = np.concatenate([token + kind.gram, outline.token(gone) + outline.count[gone] + kind.gram - 1])
-        return _result(outline, part, lo, hi)
-
-    asked = rows.groupBy("batch").applyInArrow(ask, _SENT)
-    told = asked.groupBy("shard").applyInArrow(answer, _TOLD)
-    asked_more = rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(ask_more, _SENT)
-    told_more = asked_more.groupBy("shard").applyInArrow(answer, _TOLD)
+        more = asked(table, told)
+        whole = _bits(_told(told, 1), _sizes(more.whole_shard, more.outline.count[more.whole]))
+        single = _bits(_told(told, 2), _sizes(more.shard))
+        return _result(more.outline, *more.removed(whole, single))
+
+    anchors = rows.groupBy("batch").applyInArrow(ask, _SENT)
+    told = anchors.groupBy("shard").applyInArrow(answer, _TOLD)
+    stretches = rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(ask_more, _SENT)
+    told_more = stretches.groupBy("shard").applyInArrow(answer, _TOLD)
     done = rows.groupBy("batch").cogroup(told.unionByName(told_more).groupBy("batch")).applyInArrow(finish, RESULT)
-    return done.withColumn("doc_id", shown_id())
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return done.select(shown_id(), "n_tokens", removed.alias("n_removed"), "spans", "kept")
 
 
-RESULT = "doc_id long, n_tokens long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, n_tokens long, spans array<struct<start:long,end:long>>, kept binary"
 
 
 def _result(outline: Outline, part: np.ndarray, lo: np.ndarray, hi: np.ndarray):
     import pyarrow as pa
 
-    out: list[list] = [[], [], [], [], []]
+    ids, sizes, kept, starts, ends, counts = [], [], [], [], [], []
     for number, p in enumerate(outline.parts):
         mine = part == number
         cover = np.bincount(lo[mine], minlength=p.n + 1) - np.bincount(hi[mine], minlength=p.n + 1)
         gone = np.cumsum(cover[: p.n]) > 0
-        total = np.append(0, np.cumsum(gone))
-        edge = np.append(0, np.cumsum(gone & ~np.append(False, gone[:-1])))
-        for i, (a, b) in enumerate(zip(p.start.tolist(), p.end.tolist(), strict=True)):
+        edge = np.zeros(p.n + 1, dtype=bool)
+        edge[p.start], edge[p.end] = True, True  # runs end with their document
+        begin = np.flatnonzero(gone & (np.append(True, ~gone[:-1])[: p.n] | edge[:-1]))
+        end = np.flatnonzero(gone & (np.append(~gone[1:], True)[: p.n] | edge[1:])) + 1
+        of = np.searchsorted(begin, np.append(p.start, p.n + 1))
+        of[-1] = len(begin)
+        counts.append(np.diff(of))
+        owner = np.repeat(p.start, counts[-1])
+        starts.append(begin - owner), ends.append(end - owner)
+        some = counts[-1] > 0
+        for i, (a, b, any_gone) in enumerate(zip(p.start.tolist(), p.end.tolist(), some.tolist(), strict=True)):
             text = p.chunk.texts[i]
-            removed = int(total[b] - total[a])
-            spans = int(edge[b] - edge[a]) + bool(removed and gone[a] and a and gone[a - 1])
             if outline.kind.words:
                 words = text.split()
-                kept = b" ".join(compress(words, ~gone[a:b]) if removed else words)
+                kept.append(b" ".join(compress(words, ~gone[a:b]) if any_gone else words))
             else:
-                kept = p.chunk.buf[a:b][~gone[a:b]].tobytes() if removed else text
-            for column, value in zip(out, (int(outline.ids[p.chunk.first + i]), b - a, removed, spans, hashlib.sha256(kept).hexdigest()), strict=True):
-                column.append(value)
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-    return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[c.split()[0] for c in RESULT.split(", ")])
+                kept.append(p.chunk.buf[a:b][~gone[a:b]].tobytes() if any_gone else text)
+        sizes.append(p.end - p.start)
+        ids.append(outline.ids[p.chunk.first : p.chunk.first + len(p.start)])
+    whole = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.int64)
+    spans = pa.StructArray.from_arrays([pa.array(whole(starts), pa.int64()), pa.array(whole(ends), pa.int64())], names=["start", "end"])
+    offsets = pa.array(np.append(0, np.cumsum(whole(counts))).astype(np.int32))
+    columns = [pa.array(whole(ids), pa.int64()), pa.array(whole(sizes), pa.int64()), pa.ListArray.from_arrays(offsets, spans), pa.array(kept, pa.binary())]
+    release()
+    return pa.table(columns, names=["doc_id", "n_tokens", "spans", "kept"])
 
 
-BYTES_50 = Kind(gram=50, anchor=20, words=False, by_suffix=True)
-WORDS_20 = Kind(gram=20, anchor=10, words=True, by_suffix=False)
+BYTES_50 = Kind(gram=50, anchor=20, words=False)
+WORDS_20 = Kind(gram=20, anchor=10, words=True)
 
 
 def suffix_dedup(docs: DataFrame, length: int = 50, anchor: int = 20) -> DataFrame:
-    """Remove each byte covered by a `length`-byte string that also starts in a document of a smaller id.
+    """doc_id, n_bytes, n_removed, spans (maximal removed runs of bytes) and kept (the bytes left): each byte
+    covered by a `length`-byte string that also starts in a document of a smaller id goes.
 
-    Open grams are settled by a longest-previous-factor array in suffix order. Null is empty; texts
-    shorter than `length` lose nothing; of rows with one id neither is earlier than the other. A missing doc_id is the least of all.
+    Decided by longest previous factors in suffix order. Null is empty; texts shorter than `length`
+    lose nothing; of rows with one id, and of repeated rows, neither is earlier than the other. A
+    missing doc_id is the least of all. No rows give no rows; other columns are ignored. A very long
+    text is worked on in one piece, its stretches stay of bounded size.
     """
-    return remove_repeats(docs, Kind(length, anchor, False, True)).withColumnRenamed("n_tokens", "n_bytes")
+    return remove_repeats(docs, Kind(length, anchor, False)).withColumnRenamed("n_tokens", "n_bytes")
 
 
 def substring_dedup(docs: DataFrame, words: int = 20, anchor: int = 10) -> DataFrame:
-    """Remove each word covered by a window of `words` words that also starts earlier, in a smaller
-    doc_id or before it in the same document. Seeds are winnowed anchors; a match is extended both
-    ways to its whole context, or else window by window. Null has no words; shorter texts lose
-    nothing; of rows with one id, windows at one place are not earlier than each other.
-    A missing doc_id is the least of all.
+    """doc_id, n_words, n_removed, spans (maximal repeats removed, in words) and kept (words left, joined by
+    one space, as UTF-8): each word covered by a window of `words` words that also starts earlier, in
+    a smaller doc_id or before it in the same document, goes.
+
+    Seeds are winnowed anchors; matches are extended word by word both ways. Null has no words;
+    shorter texts lose nothing; of rows with one id, windows at one place are not earlier than each
+    other. A missing doc_id is the least of all. No rows give no rows; other columns are ignored.
     """
-    return remove_repeats(docs, Kind(words, anchor, True, False)).withColumnRenamed("n_tokens", "n_words").drop("n_spans")
+    return remove_repeats(docs, Kind(words, anchor, True)).withColumnRenamed("n_tokens", "n_words")

@@ -81,36 +81,39 @@ def test_proximity():
     assert segment.proximity(contamination._terms(b"cat bird"), 9).tolist() == []
 
 
+def told(df, words=False):
+    """The plain versions' columns of a dedup operator; its own spans are held against its counts."""
+    out = []
+    for r in df.collect():
+        assert r.n_removed == sum(x.end - x.start for x in r.spans) and all(x.end < y.start for x, y in zip(r.spans, r.spans[1:], strict=False))
+        size = r.n_words if words else r.n_bytes
+        out.append((r.doc_id, size, r.n_removed, *(() if words else (len(r.spans),)), plain.sha(bytes(r.kept))))
+    return sorted(out, key=str)
+
+
 def test_byte_dedup(odd, none):
-    assert rows(repeats.suffix_dedup(odd)) == sorted(plain.byte_dedup(pairs(odd)), key=str)
+    assert told(repeats.suffix_dedup(odd)) == sorted(plain.byte_dedup(pairs(odd)), key=str)
     assert rows(repeats.suffix_dedup(none)) == []
 
 
 def test_word_dedup(odd, none):
-    assert rows(repeats.substring_dedup(odd)) == sorted(plain.word_dedup(pairs(odd)), key=str)
+    assert told(repeats.substring_dedup(odd), True) == sorted(plain.word_dedup(pairs(odd)), key=str)
     assert rows(repeats.substring_dedup(none)) == []
 
 
-def test_many_contexts(odd, monkeypatch):
+def test_other_lengths(odd):
+    assert told(repeats.suffix_dedup(odd, 23, 7)) == sorted(plain.byte_dedup(pairs(odd), 23), key=str)
+    assert told(repeats.substring_dedup(odd, 6, 2), True) == sorted(plain.word_dedup(pairs(odd), 6), key=str)
+
+
+@pytest.mark.parametrize("many", [1, 2048])
+def test_many_contexts(odd, monkeypatch, many):
     """Anchors of many contexts, settled under their grams' own hashes, give the same."""
-    sent: list = []
-    monkeypatch.setattr(repeats, "MANY_CONTEXTS", 1)
-    told = repeats.answer_contexts
-    docs = [(d, t) for d, t in pairs(odd)]
-    ids, texts = np.array([d for d, _ in docs]), [(t or "").encode() for _, t in docs]
-    outline = repeats.Outline(ids, texts, repeats.BYTES_50, 3)
-    by = dict(outline.sent())
-    status = np.frombuffer(b"".join(told([by[s]], False)[0] for s in sorted(by)), dtype=np.uint8)
-    more = repeats.Open(outline, status)
-    assert not len(more.whole) and len(more.gram)
-    for shard, sort, blob in more.sent():
-        assert sort == 2
-        sent.append((shard, repeats.answer_text([blob], 50)[0]))
-    single = repeats._bits(sorted(sent), repeats._sizes(more.shard))
-    part, token = more.removed(np.zeros(0, dtype=np.uint8), single)
-    gone = np.flatnonzero(outline.earlier_here() | ((status[outline.entry] & 1) > 0))
-    table = repeats._result(outline, np.concatenate([part, outline.part[gone]]), np.concatenate([token, outline.token(gone)]), np.concatenate([token + 50, outline.token(gone) + outline.count[gone] + 49]))
-    assert sorted(zip(*table.to_pydict().values(), strict=True), key=str) == sorted(plain.byte_dedup(docs), key=str)
+    monkeypatch.setattr(repeats, "MANY_CONTEXTS", many)
+    docs = [(d, t or "") for d, t in pairs(odd)]
+    for batches in ([docs], [docs[::2], docs[1::2]]):
+        assert settle(batches, repeats.BYTES_50) == sorted(plain.byte_dedup(docs), key=str)
+        assert settle(batches, repeats.WORDS_20) == sorted(plain.word_dedup(docs), key=str)
 
 
 def settle(batches, kind, shards=3):
@@ -119,26 +122,23 @@ def settle(batches, kind, shards=3):
 
     def exchange(sent, answer):
         told = [{} for _ in batches]
-        for key in sorted({k for s in sent for k in s}):
-            have = [i for i, s in enumerate(sent) if key in s]
-            for i, blob in zip(have, answer(key, [sent[i][key] for i in have]), strict=True):
-                told[i][key] = blob
+        for shard in sorted({k[1] for s in sent for k in s}):
+            have = [(i, k) for i, s in enumerate(sent) for k in sorted(s) if k[1] == shard]
+            for (i, k), blob in zip(have, answer([sent[i][k] for i, k in have]), strict=True):
+                told[i][k] = blob
         return told
 
-    told = exchange([dict(o.sent()) for o in outlines], lambda _, blobs: repeats.answer_contexts(blobs, kind.words))
-    status = [np.frombuffer(b"".join(t[k] for k in sorted(t)), dtype=np.uint8) for t in told]
-    more = [repeats.Open(o, s) for o, s in zip(outlines, status, strict=True)]
-    asked = [{(sort, shard): blob for shard, sort, blob in m.sent()} for m in more]
-    told = exchange(asked, lambda key, blobs: repeats.answer_hashes(blobs) if key[0] == 3 else repeats.answer_text(blobs, kind.gram))
+    told = exchange([{(0, s): b for s, b in o.sent()} for o in outlines], repeats.shared_anchors)
+    more = [repeats.Asked(o, np.frombuffer(b"".join(t[k] for k in sorted(t)), dtype=np.uint8)) for o, t in zip(outlines, told, strict=True)]
+    told = exchange([{(sort, shard): blob for shard, sort, blob in m.sent()} for m in more], lambda blobs: repeats.settled(blobs, kind))
     out = []
-    for o, s, m, t in zip(outlines, status, more, told, strict=True):
+    for m, t in zip(more, told, strict=True):
         of = lambda sort: [(k[1], t[k]) for k in sorted(t) if k[0] == sort]  # noqa: B023, E731
-        whole = repeats._bits(of(1), repeats._sizes(m.whole_shard, o.count[m.whole]))
-        part, token = m.removed(whole, repeats._bits(of(2 if kind.by_suffix else 3), repeats._sizes(m.shard)))
-        gone = np.flatnonzero(o.earlier_here() | ((s[o.entry] & repeats.EARLIER) > 0))
-        at = o.token(gone)
-        table = repeats._result(o, np.concatenate([part, o.part[gone]]), np.concatenate([token, at]), np.concatenate([token + kind.gram, at + o.count[gone] + kind.gram - 1]))
-        out += zip(*table.to_pydict().values(), strict=True)
+        whole = repeats._bits(of(1), repeats._sizes(m.whole_shard, m.outline.count[m.whole]))
+        table = repeats._result(m.outline, *m.removed(whole, repeats._bits(of(2), repeats._sizes(m.shard))))
+        for r in table.to_pylist():
+            counts = (r["doc_id"], r["n_tokens"], sum(x["end"] - x["start"] for x in r["spans"]))
+            out.append((*counts, *(() if kind.words else (len(r["spans"]),)), plain.sha(r["kept"])))
     return sorted(out, key=str)
 
 
@@ -152,7 +152,7 @@ def passages(seed=11):
 
 def test_passage_twice_in_one_document(spark):
     docs = passages()
-    got = rows(repeats.suffix_dedup(spark.createDataFrame(docs, "doc_id long, text string")))
+    got = told(repeats.suffix_dedup(spark.createDataFrame(docs, "doc_id long, text string")))
     assert got == sorted(plain.byte_dedup(docs), key=str) and [r[2:4] for r in got] == [(0, 0), (120, 2)]
 
 
@@ -171,17 +171,36 @@ def test_passages_in_batches(monkeypatch, many):
         for batches in ([docs], [docs[::2], docs[1::2]]):
             assert settle(batches, repeats.BYTES_50) == sorted(plain.byte_dedup(docs), key=str)
             worded = [[(d, " ".join(t)) for d, t in b] for b in batches]
-            assert sorted(((*r[:3], r[4]) for r in settle(worded, repeats.WORDS_20)), key=str) == sorted(plain.word_dedup([x for b in worded for x in b]), key=str)
+            assert settle(worded, repeats.WORDS_20) == sorted(plain.word_dedup([x for b in worded for x in b]), key=str)
+
+
+def stretches(texts, docs, gram):
+    """Stretches of some byte strings, all of whose grams are asked about."""
+    size = np.array([len(t) for t in texts])
+    return repeats.Stretches(np.array(docs), np.zeros_like(size), size - gram + 1, np.zeros_like(size), size, b"".join(texts))
 
 
-def test_longest_previous_factor():
-    rng = random.Random(3)
-    keys = np.array(["".join(rng.choice("ab") for _ in range(6)).encode() for _ in range(300)], dtype="S6")
-    doc = np.array([rng.randint(0, 20) for _ in keys])
-    common = lambda x, y: next((i for i in range(6) if x[i] != y[i]), 6)
-    for floor in (1, 4, 6):
-        best = [max((c for k, d in zip(keys, doc, strict=True) if d < e and (c := common(k, key)) >= floor), default=0) for key, e in zip(keys, doc, strict=True)]
-        assert repeats.longest_previous_factor(keys, doc, floor).tolist() == best
+@pytest.mark.parametrize(("floor", "letters"), [(3, "ab"), (4, "ab\0"), (12, "ab"), (50, "a"), (50, "ab")])
+def test_longest_previous_factor(floor, letters):
+    rng = random.Random(floor)
+    common = lambda x, y: next((i for i, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+    pool = ["".join(rng.choice(letters) for _ in range(rng.randint(floor, 2 * floor))).encode() for _ in range(8)]
+    texts = [rng.choice(pool)[: rng.randint(floor, 2 * floor)] for _ in range(40)]
+    docs = [rng.randint(0, 9) for _ in texts]
+    suffixes = [(t[i:], d) for t, d in zip(texts, docs, strict=True) for i in range(len(t) - floor + 1)]
+    best = [max((c for y, e in suffixes if e < d and (c := common(x, y)) >= floor), default=0) for x, d in suffixes]
+    got = repeats.longest_previous_factor(stretches(texts, docs, floor), floor)
+    assert got.tolist() == best
+
+
+def test_suffix_order():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 60))).encode() for _ in range(30)]
+    size = np.array([len(t) for t in texts])
+    order = repeats.SuffixOrder(np.frombuffer(b"".join(texts), dtype=np.uint8), size, 20)
+    start = repeats.ranges(np.cumsum(size + 1) - size - 1, size)
+    suffixes = [t[i:] for t in texts for i in range(len(t))]
+    assert [suffixes[i] for i in order.sorted(start)] == sorted(suffixes)
 
 
 def test_near_duplicates(odd, none):
@@ -256,8 +275,8 @@ def test_randomness(spark):
     keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32)) for _ in range(60)]
     plain_text = [f"this-is-an-ordinary-identifier-{i}" for i in range(200)] + [f"aaaaaaaaaaaaaaaaaaaaaaaa{i:06d}" for i in range(60)]
     df = spark.createDataFrame([(s,) for s in keys + plain_text], "string string")
-    told = {r.string: r.ordinary for r in secrets.rejected(secrets.battery(df)).collect()}
-    assert np.mean([told[k] for k in keys]) < 0.25 and np.mean([told[t] for t in plain_text]) > 0.95
+    answers = {r.string: r.ordinary for r in secrets.rejected(secrets.battery(df)).collect()}
+    assert np.mean([answers[k] for k in keys]) < 0.25 and np.mean([answers[t] for t in plain_text]) > 0.95
 
 
 def test_perplexity(odd, none):
