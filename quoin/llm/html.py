@@ -3,13 +3,15 @@
 Markup is stripped to text blocks, one line for each; the text lengths of every window of a few
 lines form a distribution in which the article is a plateau. It begins at a surge (a window
 over the threshold after lines without text of their own) and ends at a dive. Lines between are
-kept, save those of navigation, notices and the like, which count as no text.
+kept. Elements and names of classes only weigh the lengths: links and what is in navigation, headers
+and footers count for nothing, lines named as notices and the like for little.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,89 +27,198 @@ HIDDEN = frozenset("script style noscript template svg math head iframe object c
 ASIDE = frozenset("nav header footer aside menu dialog".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of class and id names that mark what is beside the article.
-BESIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|cookie\w*|consent|disqus|footer|foot|header|masthead|menu|nav\w*|newsletter|notice|pager|pagination|popup|promo\w*|related|replies|share|sharing|sidebar|side|social|sponsor\w*|subscribe|teaser|toolbar|widget)(?=$|[\s_-])",
-    re.I,
-)
-_PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Words of class and id names that mark what is beside the article, alone or with words of place and form.
+_BESIDE = "ads? advert advertisement advertising banner breadcrumbs? comments? cookies? consent disqus footer header masthead menu nav navbar navigation newsletter notice pager pagination popup promo promotion related replies share sharing sidebar social sponsor sponsored subscribe teaser toolbar widget widgets"
+_FORM = "area bar block bottom box container global group inner item items left link links list main outer page panel primary right secondary section site slot thread top unit wrap wrapper"
+BESIDE = re.compile(rf"(?:(?:{'|'.join(_FORM.split())})[_-]+)*(?:{'|'.join(_BESIDE.split())})(?:[_-]+(?:{'|'.join(_FORM.split())}|\d+))*", re.I)
+#: Headings after which readers have the word.
+READERS = re.compile(r"(?:\d+\s+)?(?:readers?\W*s?\s+|user\s+|leser)?(?:comments?|responses|replies|discussion|kommentare?|commentaires?|comentarios?)(?:\s*\(?\d+\)?)?\s*:?", re.I)
+HEADS = frozenset("h1 h2 h3 h4 h5 h6 dt legend summary caption".split())
+LEAVES = HEADS | frozenset("p li pre blockquote td th dd figcaption address".split())
+
+#: What a line's length counts for: beside the article by its names; outside the article element where there is one;
+#: and under a heading of readers' comments.
+NAMED, OUTSIDE, READ = 0.1, 0.5, 0.01
+
+_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_UNSEEN = re.compile(r"\shidden(?=[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe")}
 _SPACE = re.compile(r"\s+")
 
 
-def lines(page: str) -> list[tuple[str, bool, int]]:
-    """(text, kept, article) of each block in page order: kept is False for what is beside the
-    article, article is the number of the article or main element around it, or 0."""
-    out: list[tuple[str, bool, int]] = []
-    parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, hidden, beside
-    hidden = beside = article = at = n_articles = 0
-    around: list[int] = []
-
-    def end_block():
-        if parts:
-            text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
-            parts.clear()
-            if text:
-                out.append((text, not beside, around[-1] if around else 0))
-
-    def leave(entry):
-        nonlocal hidden, beside, article
-        tag, was_hidden, was_beside = entry
-        hidden -= was_hidden
-        beside -= was_beside
-        if tag in ("article", "main"):
-            article -= 1
-            around.pop()
-
-    while True:
-        m = _PIECE.search(page, at)
-        if not hidden:
-            parts.append(page[at : m.start() if m else len(page)])
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
+class Line(NamedTuple):
+    """A block's text, its characters that are links, its weight, the element whose child it is (or that
+    holds it, if that is no paragraph or the like), the innermost block around it and that one's tag, and
+    the innermost element around it whose names put it beside the article, or 0.
+    Elements are numbered in page order from 1; 0 is the page."""
+
+    text: str
+    linked: int
+    weight: float
+    home: int
+    leaf: int
+    tag: str
+    named: int
+
+
+class _Open(NamedTuple):
+    tag: str
+    number: int
+    hidden: bool
+    aside: bool
+    named: bool
+
+
+class Page:
+    """The lines of a page, and each element's last descendant. One pass; work goes with the page's length."""
+
+    def __init__(self, page: str):
+        self.lines: list[Line] = []
+        self.last: list[int] = [0]
+        self.tags: list[str] = [""]
+        self._stack: list[_Open] = []
+        self._at: dict[str, list[int]] = {}  # where on the stack each tag stands
+        self._blocks: list[int] = []  # where on it block elements stand
+        self._hidden = self._aside = self._link = 0
+        self._named: list[int] = []
+        self._parts: list[tuple[str, bool]] = []
+        self._within = False  # an article element is on the page
+        self._read(page)
+        self.last[0] = len(self.last) - 1
+        if self._within:
+            self.lines = [x._replace(weight=x.weight * OUTSIDE) if not self._inside(x.leaf) else x for x in self.lines]
+        self._hear_readers()
+
+    def _inside(self, number: int) -> bool:
+        return any(a <= number <= self.last[a] for a in self._articles)
+
+    def covers(self, element: int, number: int) -> bool:
+        return element <= number <= self.last[element]
+
+    def _end_block(self) -> None:
+        if not self._parts:
+            return
+        raw = "".join(x for x, _ in self._parts)
+        linked = sum(len(x) for x, link in self._parts if link)
+        self._parts.clear()
+        text = _SPACE.sub(" ", entities.unescape(raw)).strip()
+        if not text:
+            return
+        leaf = self._stack[self._blocks[-1]] if self._blocks else None
+        home = leaf.number if leaf else 0
+        if leaf and leaf.tag in LEAVES:
+            home = self._stack[self._blocks[-2]].number if len(self._blocks) > 1 else 0
+        weight = 0.0 if self._aside else NAMED if self._named else 1.0
+        self.lines.append(Line(text, min(linked, len(text)), weight, home, leaf.number if leaf else 0, leaf.tag if leaf else "", self._named[-1] if self._named else 0))
+
+    def _leave(self) -> None:
+        x = self._stack.pop()
+        self._at[x.tag].pop()
+        if x.tag not in INLINE:
+            self._blocks.pop()
+        self._hidden -= x.hidden
+        self._aside -= x.aside
+        if x.named:
+            self._named.pop()
+        self._link -= x.tag == "a"
+        self.last[x.number] = len(self.last) - 1
+
+    def _enter(self, tag: str, attributes: str) -> None:
+        names = [n for x in _NAMES.findall(attributes) for n in (x[0] or x[1] or x[2]).split()] if "=" in attributes else []
+        in_article = bool(self._at.get("article") or self._at.get("main"))
+        number = len(self.last)
+        self.last.append(number)
+        self.tags.append(tag)
+        if tag in ("article", "main") and not in_article:
+            self._articles.append(number)
+            self._within = True
+        x = _Open(
+            tag, number, tag in HIDDEN or bool(attributes and _UNSEEN.search(" " + attributes)),
+            tag in ASIDE and not (tag == "header" and in_article),
+            tag not in ("html", "body", "article", "main") and any(BESIDE.fullmatch(n) for n in names),
+        )
+        self._hidden += x.hidden
+        self._aside += x.aside
+        if x.named:
+            self._named.append(number)
+        self._link += tag == "a"
+        self._at.setdefault(tag, []).append(len(self._stack))
+        if tag not in INLINE:
+            self._blocks.append(len(self._stack))
+        self._stack.append(x)
+
+    def _close(self, tag: str) -> None:
+        where = self._at.get(tag)
+        if not where or tag in INLINE and self._blocks and self._blocks[-1] > where[-1]:
+            return
+        depth = where[-1]
+        while len(self._stack) > depth:
+            self._leave()
+
+    def _text(self, text: str) -> None:
+        if text and not self._hidden:
+            self._parts.append((text, self._link > 0))
+
+    def _read(self, page: str) -> None:
+        self._articles: list[int] = []
+        at, end = 0, page.rfind(">")
+        while True:
+            i = page.find("<", at)
+            if i < 0 or i > end and not page.startswith("<!--", i):
+                self._text(page[at:])
+                break
+            self._text(page[at:i])
+            if page.startswith(("<!", "<?"), i):
+                close = "-->" if page.startswith("<!--", i) else "]]>" if page.startswith("<![CDATA[", i) else ">"
+                j = page.find(close, i + 2)
+                at = j + len(close) if j >= 0 else len(page)
+                continue
+            m = _TAG.match(page, i)
+            if not m:
+                self._text("<")
+                at = i + 1
+                continue
+            at = m.end()
+            at = self._tag(page, at, m[1], m[2].lower(), m[3])
+        self._end_block()
+        while self._stack:
+            self._leave()
+
+    def _tag(self, page: str, at: int, closing: str, tag: str, attributes: str) -> int:
+        if closing:
             if tag not in INLINE:
-                end_block()
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None and not (tag in INLINE and any(t[0] not in INLINE for t in stack[depth + 1 :])):
-                while len(stack) > depth:
-                    leave(stack.pop())
-            continue
+                self._end_block()
+            self._close(tag)
+            return at
         if tag == "br":
-            parts.append(" ")
+            self._text(" ")
         elif tag not in INLINE and tag not in ("img", "input"):
-            end_block()
-        attributes = m[3] or ""
-        if tag in _RAW and not attributes.rstrip().endswith("/"):
+            self._end_block()
+        alone = attributes.rstrip().endswith("/")
+        if tag in _RAW and not alone:
             close = _RAW[tag].search(page, at)
-            at = close.end() if close else len(page)
-            continue
-        if tag in VOID or attributes.rstrip().endswith("/"):
-            continue
+            return close.end() if close else len(page)
+        if tag in VOID or alone:
+            return at
         if tag == "p":  # an open paragraph ends where the next begins
-            while stack and (stack[-1][0] == "p" or stack[-1][0] in INLINE and any(t[0] == "p" for t in stack)):
-                leave(stack.pop())
-        names = " ".join(x or y or z for x, y, z in _NAMES.findall(attributes)) if "=" in attributes else ""
-        is_hidden = tag in HIDDEN or bool(re.search(r"\shidden(?=[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", " " + attributes, re.I))
-        is_beside = tag in ASIDE and not (tag == "header" and article) or bool(names and tag not in ("html", "body", "article", "main") and BESIDE.search(names))
-        hidden += is_hidden
-        beside += is_beside
-        if tag in ("article", "main"):
-            article += 1
-            n_articles += 1
-            around.append(around[0] if around else n_articles)
-        stack.append((tag, is_hidden, is_beside))
-    end_block()
-    return out
-
-
-def plateau(sizes: list[int], window: int = WINDOW, surge: float = SURGE) -> tuple[int, int]:
+            while self._blocks and self._stack[self._blocks[-1]].tag == "p":
+                self._close("p")
+        self._enter(tag, attributes)
+        return at
+
+    def _hear_readers(self) -> None:
+        """What stands after a heading of readers' comments, in the element of that heading, counts as named."""
+        since, until = 0, -1
+        for i, x in enumerate(self.lines):
+            if x.leaf <= until and x.leaf >= since:
+                self.lines[i] = x._replace(weight=min(x.weight, READ))
+            elif x.tag in HEADS and len(x.text) <= 60 and READERS.fullmatch(x.text):
+                since, until = x.leaf, self.last[x.home]
+                self.lines[i] = x._replace(weight=min(x.weight, READ))
+
+
+def plateau(sizes: list[float], window: int = WINDOW, surge: float = SURGE) -> tuple[int, int]:
     """First and last + 1 of the lines from the surge before the largest window to the dive after it."""
     n = len(sizes)
     if not any(sizes):
@@ -131,22 +242,39 @@ def plateau(sizes: list[int], window: int = WINDOW, surge: float = SURGE) -> tup
 def main_text(page: str | None) -> str:
     """The article's blocks, one on a line; empty where there is none.
 
-    The plateau's edges are moved to those of the article or main element in which its lines lie,
-    if they lie in one: a short first or last paragraph is no dive there."""
-    found = lines(page or "")
-    sizes = [len(text) if kept else 0 for text, kept, _ in found]
+    Surge and dive of the weighted lengths decide. A short first or last paragraph is no dive: the edges
+    move on over lines in the element that holds most of the plateau, up to lines of other weight.
+    Kept are the lines of the kind (weight, and element that sets it by its names) that most of the plateau
+    is of: names of classes tell lines apart but drop no page as a whole."""
+    found = Page(page or "")
+    lines = found.lines
+    sizes = [(len(x.text) - x.linked) * x.weight for x in lines]
     lo, hi = plateau(sizes)
-    inside = {}
-    for size, (_, _, around) in zip(sizes[lo:hi], found[lo:hi], strict=True):
-        inside[around] = inside.get(around, 0) + size
-    home = max(inside, key=lambda a: (inside[a], -a), default=0)
-    if home:
-        return "\n".join(text for text, kept, around in found if kept and around == home)
-    return "\n".join(text for text, kept, _ in found[lo:hi] if kept)
+    if lo == hi:
+        return ""
+    by_home: dict[int, float] = {}
+    by_kind: dict[tuple[float, int], float] = {}
+    for x, size in zip(lines[lo:hi], sizes[lo:hi], strict=True):
+        by_home[x.home] = by_home.get(x.home, 0) + size
+        by_kind[x.weight, x.named] = by_kind.get((x.weight, x.named), 0) + size
+    home = max(by_home, key=lambda h: (by_home[h], -h))
+    kind = max(by_kind, key=lambda k: (by_kind[k], k))
+
+    def at_home(x: Line) -> bool:
+        return x.home == home or found.covers(home, x.leaf) and home > 0 and found.tags[home] not in ("html", "body")
+
+    while lo and at_home(lines[lo - 1]):
+        lo -= 1
+    while hi < len(lines) and at_home(lines[hi]):
+        hi += 1
+    return "\n".join(x.text for x in lines[lo:hi] if (x.weight, x.named) == kind and (2 * x.linked <= len(x.text) or x.tag in HEADS | {"p"}))
 
 
 def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
-    """Add the main text of each page's html. Null and empty pages give an empty text; no shuffle."""
+    """Add the main text of each page's html as the column `into` (in place of one of that name).
+
+    Null and empty pages, and pages without text, give an empty text; repeated rows each get theirs; no
+    rows give no rows; other columns stay. A page is read in one pass. No shuffle."""
 
     small_batches(pages.sparkSession, 500)
 

@@ -250,15 +250,61 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
-def test_main_text_of_pages(spark, sf_dir):
-    """On the given pages the article element holds the text: a plain reading of it agrees."""
+def pages_and_texts(sf_dir):
+    """The given pages and a plain reading of their article element, which holds the text."""
     import html as entities
     import re
 
-    for r in queries.op7_main_text(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/pages.parquet"), ["page_id", "url"]).collect():
-        body = re.search(r"<article>(.*?)(?:</article>|\Z)", r.html, re.S)[1]
+    import pyarrow.parquet as pq
+
+    for r in pq.read_table(f"{sf_dir}/pages.parquet").to_pylist():
+        body = re.search(r"<article>(.*?)(?:</article>|\Z)", r["html"], re.S)[1]
         blocks = [" ".join(entities.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", re.sub("<br>", " ", body))]
-        assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+        yield r, "\n".join(b for b in blocks if b)
+
+
+def test_main_text_of_pages(spark, sf_dir):
+    expected = {(r["page_id"], r["url"]): text for r, text in pages_and_texts(sf_dir)}
+    got = queries.op7_main_text(spark, sf_dir).collect()
+    assert len(got) == len(expected) and all(r.text == expected[r.page_id, r.url] and r.n_chars == len(r.text) for r in got)
+
+
+@pytest.mark.parametrize(
+    ("opened", "closed"),
+    [
+        ("<article>", "</article>"), ("<div class='side-by-side'>", "</div>"), ("<div class=social-history><section>", "</section></div>"), ("", ""),
+        ("<div id=x><div class=teaser>", "<p>Fin.</p></div></div>"),
+        ("<section>", "</section><section class=zz><h2>3 Comments</h2><div><b>Ann</b><p>" + "I do not agree with any of this. " * 9 + "</p></div><div><p>" + "Nor do I, I have to say. " * 20 + "</p></div></section>"),
+        ("<table class=layout><tr><td class=left-menu>" + "<a href=x>home away</a>" * 9 + "</td><td>", "</td></tr></table><div class=legal><a href=a>About us</a> <a href=b>Terms</a></div>"),
+    ],
+)
+def test_pages_without_article(sf_dir, opened, closed):
+    """The same text is found in other elements, under odd classes, and where its paragraphs stand in the body."""
+    for r, text in pages_and_texts(sf_dir):
+        if "teaser" in opened and len(text) < 200:  # an advert of the same weight is longer than this article
+            continue
+        page = r["html"].replace("<article>", opened + "<p>Ad.</p>", 1).replace("</article>", "<p>End.</p>" + closed, 1)
+        last = "\nFin." if "Fin." in closed else ""
+        assert html.main_text(page) == f"Ad.\n{text}\nEnd.{last}"
+
+
+def test_long_pages():
+    """A megabyte of tags that never end, of every kind, is read in one pass."""
+    import time
+
+    for piece in ("<a ", "<div>", "<div><p>x ", "<a href='", '<b x="', "</b>", "<b><div></b>", "<!-- ", "<p class=a>y</div>", "<![CDATA[", "&#", "< "):
+        began = time.perf_counter()
+        html.main_text("<p>" + piece * (1_000_000 // len(piece)))
+        html.main_text("<p>" + piece * (1_000_000 // len(piece)) + ">")
+        assert time.perf_counter() - began < 20
+    text = "long words of prose " * 200_000
+    assert html.main_text(f"<p>{text}</p>") == text.strip()
+
+
+def test_extract(spark, none):
+    df = spark.createDataFrame([(1, None, "a"), (1, "<p>x", "b"), (2, "", "c")], "page_id long, html string, text string")
+    assert rows(html.extract(df)) == sorted([(1, None, ""), (1, "<p>x", "x"), (2, "", "")], key=str)
+    assert rows(html.extract(df.limit(0))) == []
 
 
 def test_secrets(odd, none):
