@@ -109,6 +109,61 @@ def base_secrets(text):
     return [sum(k == i for _, k, _ in found) for i in range(3)] + [sha(",".join(f"{names[k]}:{a}:{b}" for a, k, b in found))]
 
 
+def _p_values(s):
+    """p-values of a string by the three tests, each by its own formula on plain lists."""
+    def erfc(x):
+        t = 1 / (1 + 0.3275911 * x)
+        poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+        return min(1.0, max(1e-30, poly * math.exp(-x * x)))
+
+    digits, upper, lower = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", s):
+        s, classes = s.lower(), [(c, 1 / 16) for c in "0123456789abcdef"]
+    elif re.fullmatch("[A-Z2-7]+", s):
+        classes = [(upper[:13], 13 / 32), (upper[13:], 13 / 32), ("234567", 6 / 32)]
+    else:
+        size = 62 if re.fullmatch("[A-Za-z0-9]+", s) else 64
+        classes = [(part, len(part) / size) for part in (upper[:13], upper[13:], lower[:13], lower[13:], digits)]
+        classes += [("+-/_", 2 / 64)] if size == 64 else []
+    n = len(s)
+    x = sum((sum(c in part for c in s) - n * share) ** 2 / (n * share) for part, share in classes)
+    k = len(classes) - 1
+    z = ((x / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))
+    uniform = max(1e-30, erfc(z / math.sqrt(2)) / 2 if z >= 0 else 1 - erfc(-z / math.sqrt(2)) / 2)
+    v = [(digits + upper + lower + "+-/_").index(c) for c in s]
+    d = [a - sum(v) / n for a in v]
+    above, turns = sum(a > 0 for a in d), sum(a * b < 0 for a, b in zip(d, d[1:], strict=False))
+    mean = 1 + 2 * above * (n - above) / n
+    z_runs = 9.0 if mean <= 1 else abs(turns + 1 - mean) / math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1)))
+    var = sum(a * a for a in d)
+    z_serial = 9.0 if var <= 0 else abs(sum(a * b for a, b in zip(d, d[1:], strict=False)) / var + 1 / n) * math.sqrt(n)
+    h = -math.log(uniform) - math.log(erfc(z_runs / math.sqrt(2))) - math.log(erfc(z_serial / math.sqrt(2)))
+    return math.exp(-h) * (1 + h + h * h / 2)
+
+
+def random_spans(docs, level=0.05, alarms=0.1):
+    """{doc: random spans outside base spans}: both error rates by counting strings over and under each bar."""
+    found = [(d, m.start(), m.end(), m[0]) for d, t in docs for m in re.finditer("[A-Za-z0-9+/_-]{20,}", t or "") if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    of = collections.defaultdict(list)
+    for row in found:
+        p = _p_values(row[3])
+        of[sum(len(row[3]) >= n for n in (24, 32, 64))].append((min(199, math.floor(-8 * math.log10(max(p, 1e-30)))), row))
+    out = {d: [] for d, _ in docs}
+    for rows in of.values():
+        bins = [b for b, _ in rows]
+        rejected = [b for b in set(bins) if 10 ** (-b / 8) <= level * sum(x >= b for x in bins) / len(bins)]
+        keys = sum(b < 3 for b in bins) / (1 - 10 ** (-3 / 8))
+        clear = [b for b in set(bins) if (n := sum(x <= b for x in bins)) - keys * (1 - (0 if b == 199 else 10 ** (-(b + 1) / 8))) <= alarms * n]
+        for b, (d, lo, hi, _) in rows:
+            if clear and b <= max(clear) and not (rejected and b >= min(rejected)):
+                out[d].append((lo, hi))
+    texts = dict(docs)
+    for d, spans in out.items():
+        base = [m.span() for pattern, group, least in ((ASSIGN, 2, 6), (re.compile("AKIA[A-Z0-9]+"), 0, 20), (re.compile("[0-9a-f]+"), 0, 24)) for m in pattern.finditer(texts[d]) if len(m[group]) >= least]
+        out[d] = sorted(s for s in spans if not any(a <= s[0] and s[1] <= b for a, b in base))
+    return out
+
+
 def perplexity(docs, discounts):
     """(doc_id, held out, tokens, known, training tokens, base score, score) by plain counting."""
     seqs = [(d, SPACED.findall((t or "").translate(LOWER)) + ["\0end"]) for d, t in docs]

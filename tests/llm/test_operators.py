@@ -321,8 +321,38 @@ def test_randomness(spark):
     keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32)) for _ in range(60)]
     plain_text = [f"this-is-an-ordinary-identifier-{i}" for i in range(200)] + [f"aaaaaaaaaaaaaaaaaaaaaaaa{i:06d}" for i in range(60)]
     df = spark.createDataFrame([(s,) for s in keys + plain_text], "string string")
-    answers = {r.string: r.ordinary for r in secrets.rejected(secrets.battery(df)).collect()}
-    assert np.mean([answers[k] for k in keys]) < 0.25 and np.mean([answers[t] for t in plain_text]) > 0.95
+    told = {r.string: r for r in secrets.rejected(secrets.battery(df)).collect()}
+    assert np.mean([told[k].ordinary for k in keys]) < 0.25 and np.mean([told[t].ordinary for t in plain_text]) > 0.95
+    reported = [s for s, r in told.items() if r.random]
+    assert len(reported) > 30 and np.mean([s in plain_text for s in reported]) <= secrets.ALARMS
+
+
+def test_battery_against_plain_tests(spark):
+    """The three tests, Fisher's method, both error rates and the added spans, by plain counting."""
+    rng = random.Random(9)
+    alphabets = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    words = ["".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randint(12, 70))) for _ in range(150)]
+    words += ["".join(rng.choice(a) for _ in range(rng.randint(20, 70))) for a in alphabets for _ in range(60)]
+    words += [f"release-{i}-of-the-module-{i % 7}" for i in range(150)]
+    docs = [(i, " ".join(rng.sample(words, 6)) + " \U0001f600 " + rng.choice(words)) for i in range(150)]
+    expected = plain.random_spans(docs)
+    got = {r.doc_id: [(s.start, s.end) for s in r.random_spans] for r in secrets.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == expected and 50 < sum(map(len, got.values())) < 900
+
+
+def test_long_secrets(spark):
+    """Megabytes of matches of every kind in one text: found and taken out in one pass."""
+    import time
+
+    n = 8_000
+    text = "".join(f"token={i:07d}a {'0123456789abcdef' * 2} AKIA{'Z' * 16} aQ{i:08d}kPwRxT{i * 7919 % 10**8:08d} é " for i in range(n))
+    df = spark.createDataFrame([(1, text), (2, "deadbeef" * 60_000)], "doc_id long, text string")
+    began = time.perf_counter()
+    told = {r.doc_id: r for r in secrets.digest(secrets.scan(df)).collect()}
+    assert [told[1][f"n_{k}"] for k in ("assign", "access", "hex")] == [n] * 3 and told[1].base_sha256 == plain.base_secrets(text)[3] and told[2].n_hex == 1
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert clean[1].count("[secret]") >= 3 * n and "token" not in clean[1] and clean[1].count("é") == n and clean[2] == "[secret]"
+    assert time.perf_counter() - began < 60
 
 
 def test_perplexity(odd, none):
