@@ -19,9 +19,7 @@ WIDTHS = (3, 4, 5)  # bytes of an n-gram
 SLOTS = 1 << 20
 LOOKUPS = 2
 DOCS_PER_LANGUAGE = 2000  # of training, chosen by hash; a bound on fitting only
-LEAST_COUNT = 3  # of an n-gram in a language's training texts
-FEW_GRAMS = 100_000  # a language of fewer n-grams keeps all of them, one of fewer than twice as many those seen twice
-SHARE = 0.5  # of the largest rate among languages that an n-gram's rate must reach
+LANGUAGES = 4096  # at most; more distinct values of lang than that are no languages
 
 _LETTER = ALNUM.copy()
 _LETTER[48:58] = False
@@ -33,7 +31,7 @@ def _grams(chunk) -> list[tuple[np.ndarray, np.ndarray]]:
     doc = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)[: len(chunk.buf)]
     letter = _LETTER[chunk.buf]
     keep = letter | np.append(True, letter[:-1])  # the first of a run of others stays, as a space
-    keep[chunk.start[size > 0]] = True  # so does the space that each text is given in front
+    keep[chunk.start[size > 0]] = True  # so does the space that each text is given in front; another closes it
     buf, doc = np.where(letter, chunk.buf, np.uint8(32))[keep], doc[keep]
     sums = prefix_sums(buf)
     out = []
@@ -81,11 +79,14 @@ class Filter:
 def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, slots: int = SLOTS) -> Filter:
     """Fit on rows (text, lang): about `per_language` texts of each language, by their hash.
 
-    n-grams are counted in Spark; what comes to the driver is the filter, whose size is fixed.
+    Every n-gram that a language's texts hold sets that language's bit: a look-up returns all
+    languages that contain it. What comes to the driver is the filter, whose size is fixed.
     Rows without a language are left out; no rows give a filter without languages."""
     small_batches(docs.sparkSession)
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    counts = dict(sorted((r[0], r[1]) for r in docs.groupBy("lang").count().collect()))
+    counts = dict(sorted((r[0], r[1]) for r in docs.groupBy("lang").count().limit(LANGUAGES + 1).collect()))
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"lang has more than {LANGUAGES} values: a filter has a bit for each")
     languages = list(counts)
     if not languages:
         return Filter(np.zeros((slots, 1), dtype=U64), [])
@@ -94,29 +95,22 @@ def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, slots: int = S
     number = F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)])
     chosen = docs.where(draw < share[F.col("lang")]).select("text", number[F.col("lang")].alias("lang"))
 
-    def count(batches):
+    def grams(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts, langs = [b" " + x for x in utf8(batch.column(0))], np.asarray(batch.column(1).to_pylist(), dtype=np.int64)
+            texts, langs = [b" " + x + b" " for x in utf8(batch.column(0))], np.asarray(batch.column(1).to_pylist(), dtype=np.int64)
             for chunk in chunks(texts, lower=True):
                 for h, doc in _grams(chunk):
                     lang = langs[chunk.first + doc]
                     for i in np.unique(lang):
-                        gram, c = np.unique(h[lang == i], return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), i, dtype=np.int32)), pa.array(gram.view(np.int64)), pa.array(c.astype(np.int64))], names=["lang", "gram", "c"])
+                        gram = np.unique(h[lang == i])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), i, dtype=np.int32)), pa.array(gram.view(np.int64))], names=["lang", "gram"])
         release()
 
-    seen = chosen.mapInArrow(count, "lang int, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
-    total = seen.groupBy("lang").agg(F.sum("c").alias("total"))
-    totals = {r[0]: float(r[1]) for r in total.collect()}
-    rate = F.col("c") / F.create_map(*[F.lit(x) for i, t in totals.items() for x in (i, t)] or [F.lit(-1), F.lit(1.0)])[F.col("lang")]
-    need = F.create_map(*[F.lit(x) for i, t in totals.items() for x in (i, min(LEAST_COUNT, 1 + int(t // FEW_GRAMS)))] or [F.lit(-1), F.lit(1)])[F.col("lang")]
-    kept = seen.where(F.col("c") >= need).withColumn("rate", rate)
-    best = kept.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "rate")).alias("of"))
-    langs = best.select("gram", F.explode(F.filter("of", lambda x: x["rate"] >= SHARE * F.col("top"))).alias("x")).select("gram", "x.lang")
+    seen = chosen.mapInArrow(grams, "lang int, gram long").distinct()
     spots = F.explode(F.array(*[F.shiftrightunsigned("gram", 20 * i).bitwiseAND(slots - 1) for i in range(LOOKUPS)]))
-    rows = langs.select(spots.alias("slot"), (F.col("lang") / 64).cast("int").alias("slice"), F.expr("shiftleft(1L, lang % 64)").alias("bit"))
+    rows = seen.select(spots.alias("slot"), (F.col("lang") / 64).cast("int").alias("slice"), F.expr("shiftleft(1L, lang % 64)").alias("bit"))
     filled = rows.groupBy("slot", "slice").agg(F.bit_or("bit").alias("bits")).toPandas()
     masks = np.zeros((slots, (len(languages) + 63) // 64), dtype=U64)
     masks[filled["slot"].to_numpy(dtype=np.int64), filled["slice"].to_numpy(dtype=np.int64)] = filled["bits"].to_numpy(dtype=np.int64).view(U64)
@@ -143,7 +137,7 @@ def identify(docs: DataFrame, model: Filter, text: str = "text") -> DataFrame:
 
         this = Filter.__new__(Filter)
         this.masks, this.languages, this.false_rate = small, languages, false_rate
-        texts = [(" " + (x or "")).encode() for x in column]
+        texts = [f" {x or ''} ".encode() for x in column]
         letters = np.array([bool(x) and any(c.isalpha() for c in x) for x in column], dtype=bool)
         if not languages:
             return pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": 0.0, "known": 0.0, "n_grams": 0})

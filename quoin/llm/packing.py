@@ -12,9 +12,12 @@ import bisect
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quoin.operators.graph import checkpointed
+
 LENGTHS = (512, 1024, 2048, 4096)
 GROUP_ROWS = 50_000
 
@@ -98,8 +101,10 @@ def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, n_tokens=None, key:
 
     Returns key, piece, start_token, piece_tokens, bin_id, bin_tokens (the permitted length),
     bin_start (the piece's first place in the bin). A text longer than the largest length is cut
-    into pieces of that length and a rest; a text without tokens is one piece of no tokens, in bin
-    -1 of length 0. Repeated keys are packed as so many rows. Nothing is dropped.
+    into pieces of that length and a rest; a text without tokens (null, empty) is one piece of no tokens,
+    in bin -1 of length 0. Repeated keys, and rows without one, are packed as so many rows; no rows
+    give no rows; other columns are ignored. Nothing is dropped. Texts are split into tokens once:
+    pieces, without texts, are kept in the checkpoint folder.
     """
     largest = max(lengths)
     count = (token_count() if n_tokens is None else n_tokens).cast("long")
@@ -110,30 +115,41 @@ def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, n_tokens=None, key:
         F.least(F.lit(largest).cast("long"), F.col("_n") - F.col("piece") * largest).alias("piece_tokens"),
         F.pmod(F.xxhash64(key, "piece"), F.lit(1 << 16)).cast("int").alias("_salt"),
     )
+    rows = checkpointed(rows)
     salted = rows.groupBy("piece_tokens", "_salt").agg(F.count("*").alias("_c"))
     return _placed(rows, salted, lengths, key, cost)
 
 
 def _placed(rows: DataFrame, salted: DataFrame, lengths: Sequence[int], key: str, cost) -> DataFrame:
-    spark = rows.sparkSession
     histogram = {r[0]: r[1] for r in rows.groupBy("piece_tokens").count().collect()}  # at most max(lengths) + 1 rows
     most = max(histogram.values(), default=1)
     splits = max(1, -(-most // GROUP_ROWS), min(64, -(-most // 500)))  # some groups for each core, of a bounded size
     splits = min(1 << 16, splits)
     patterns = plan({n: c for n, c in histogram.items() if n}, lengths, cost)
 
-    # ranges of ranks: the pieces of length n with ranks in [lo, hi) fill the same slot of equal bins, `fit` to a bin
+    # Ranges of ranks: the pieces of length n with ranks in [lo, hi) fill the same slot of equal bins, `fit` to
+    # a bin. Each length opens or splits at most a few groups of equal bins and a bin has at most about
+    # sqrt(2 * largest) different lengths, so their number is bounded by the largest length alone.
     ranges, first, taken = [], 0, dict.fromkeys(histogram, 0)
     for p in patterns:
         at = 0
         for n in dict.fromkeys(p.pieces):
             fit = p.pieces.count(n)
-            ranges.append((n, taken[n], taken[n] + fit * p.count, fit, first, at, p.capacity))
+            ranges.append((n, taken[n], fit, first, at, p.capacity))
             taken[n] += fit * p.count
             at += fit * n
         first += p.count
-    ranges.append((0, 0, histogram.get(0, 0), 1 << 60, -1, 0, 0))
-    table = spark.createDataFrame(ranges, "piece_tokens long, _lo long, _hi long, _fit long, _first long, _at long, bin_tokens long")
+    ranges.append((0, 0, 1 << 60, -1, 0, 0))
+    table = np.array(sorted(ranges), dtype=np.int64)
+    start = (table[:, 0] << 44) | table[:, 1]
+
+    @F.pandas_udf("bin_id long, bin_tokens long, bin_start long")
+    def place(tokens, rank):
+        import pandas as pd
+
+        n, r = tokens.to_numpy(dtype=np.int64), rank.to_numpy(dtype=np.int64)
+        _, lo, fit, first, at, capacity = table[np.searchsorted(start, (n << 44) | r, side="right") - 1].T
+        return pd.DataFrame({"bin_id": first + (r - lo) // fit, "bin_tokens": capacity, "bin_start": at + (r - lo) % fit * n})
 
     # rank among equal lengths: groups of a bounded size by a salt, then the counts of the salts before
     rows = rows.withColumn("_salt", F.col("_salt") % splits)
@@ -143,10 +159,5 @@ def _placed(rows: DataFrame, salted: DataFrame, lengths: Sequence[int], key: str
     within = Window.partitionBy("piece_tokens", "_salt").orderBy(key, "piece")
     ranked = rows.withColumn("_r", F.row_number().over(within) - 1).join(offsets, ["piece_tokens", "_salt"])
     ranked = ranked.withColumn("_rank", F.col("_r") + F.col("_before"))
-    placed = ranked.join(table, "piece_tokens").where((F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
-    slot = F.col("_rank") - F.col("_lo")
-    return placed.select(
-        key, "piece", "start_token", "piece_tokens",
-        (F.col("_first") + F.floor(slot / F.col("_fit"))).cast("long").alias("bin_id"), "bin_tokens",
-        (F.col("_at") + F.pmod(slot, F.col("_fit")) * F.col("piece_tokens")).cast("long").alias("bin_start"),
-    )
+    told = ranked.withColumn("_told", place("piece_tokens", "_rank"))
+    return told.select(key, "piece", "start_token", "piece_tokens", "_told.bin_id", "_told.bin_tokens", "_told.bin_start")

@@ -40,6 +40,42 @@ def decontaminate(docs, items, window=10):
     return sorted(out)
 
 
+def near_items(docs, items, window, within):
+    """{doc: items that have a window all of whose words stand near its first word}, looking at every place."""
+    words = {d: LETTERED.findall((t or "").translate(LOWER)) for d, t in docs}
+    out = {d: set() for d, _ in docs}
+    for i, t in items:
+        w = LETTERED.findall((t or "").translate(LOWER))
+        for s in range(max(1, len(w) - window + 1) if w else 0):
+            part = w[s : s + window]
+            for d, ws in words.items():
+                places = [k for k, x in enumerate(ws) if x == part[0]]
+                if any(set(part) <= set(ws[max(0, k - within) : k + within + 1]) for k in places):
+                    out[d].add(i)
+    return {d: sorted(x) for d, x in out.items()}
+
+
+def letter_grams(text):
+    """All 3- to 5-byte n-grams of letters and single spaces (digits and signs are spaces), a space at both ends."""
+    raw = re.sub(rb"[\x00-\x60\x7B-\x7F]+", b" ", b" " + text.translate(LOWER).encode() + b" ")
+    return [raw[i : i + n] for n in (3, 4, 5) for i in range(len(raw) - n + 1)]
+
+
+def best_fit_cost(pieces, lengths, cost):
+    """Cost of best fit, longest first, one piece at a time, each bin downsized at last."""
+    lengths, bins, left = sorted(lengths), [], sum(pieces)
+    for n in pieces:
+        fitting = [b for b in bins if b[0] - b[1] >= n]
+        if fitting:
+            best = min(fitting, key=lambda b: b[0] - b[1])
+        else:
+            best = [min((c for c in lengths if c >= n), key=lambda c: (cost(c) / max(n, min(c, left)), c)), 0]
+            bins.append(best)
+        best[1] += n
+        left -= n
+    return sum(cost(min(c for c in lengths if c >= used)) for _, used in bins)
+
+
 def byte_dedup(docs, n=50):
     first: dict = {}
     for d, t in docs:

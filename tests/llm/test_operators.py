@@ -70,15 +70,19 @@ def test_decontamination(spark, odd, none, blocks):
     assert not [r for r in contamination.find_contaminated(odd, bench.limit(0)).collect() if r.contaminated]
 
 
-def test_proximity():
-    words = "the cat sat on the mat while a dog slept near the cat".encode()
-    chunk = contamination.Chunk([words], 0, lower=True)
-    h, _, _, first = chunk.words(contamination.ALNUM)
-    order = np.argsort(h, kind="stable")
-    segment = contamination.Segment(first, h[order].tobytes(), np.arange(len(h), dtype=np.uint32)[order].tobytes())
-    assert segment.proximity(contamination._terms(b"cat dog"), 4).tolist() == [8]
-    assert segment.proximity(contamination._terms(b"cat dog"), 2).tolist() == []
-    assert segment.proximity(contamination._terms(b"cat bird"), 9).tolist() == []
+def test_proximity(spark, odd):
+    """Items of whose windows one has all words near its first one, by looking at every place."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(25)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 90)))) for i in range(40)] + [(90, None), (91, "a b c d e f g h i j")]
+    items = [(i, " ".join(rng.sample(words, 4 + i % 3))) for i in range(12)] + [(20, "j i h g"), (21, None), (22, "a a j")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block_words in (10**6, 5):
+        for within in (0, 3, 9, 60):
+            got = {r.doc_id: r.near_items for r in contamination.find_contaminated(df, bench, window=5, within=within, block_words=block_words).collect()}
+            assert got == plain.near_items(docs, items, 5, within)
+    stored = contamination.build_index(df)
+    assert rows(contamination.find_contaminated(df.limit(0), bench, index=stored)) == rows(contamination.find_contaminated(df, bench))
 
 
 def told(df, words=False):
@@ -237,6 +241,26 @@ def test_language(spark, sf_dir, odd, none):
     assert {r.lang_pred for r in language.identify(odd, language.train(none)).collect()} == {"und"}
 
 
+def test_language_against_sets(spark, sf_dir):
+    """Whole sets of n-grams in place of the filter: the same counts but for its false positives, the same languages."""
+    import pyarrow.parquet as pq
+
+    docs = [r for r in pq.read_table(f"{sf_dir}/documents.parquet").to_pylist() if r["text"]][:150]
+    df = spark.createDataFrame([(r["doc_id"], r["text"], r["lang"]) for r in docs], "doc_id long, text string, lang string")
+    grams = {r["doc_id"]: plain.letter_grams(r["text"]) for r in docs}
+    known: dict = {}
+    for r in docs:
+        if r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1:
+            known.setdefault(r["lang"], set()).update(grams[r["doc_id"]])
+    model = language.train(df.where(queries._remainder(3) != 1))
+    assert model.languages == sorted(known)
+    for r in language.identify(df, model).collect():
+        hits = {lang: sum(g in seen for g in grams[r.doc_id]) for lang, seen in known.items()}
+        n, top = len(grams[r.doc_id]), max(hits.values())
+        assert r.n_grams == n and abs(r.known * n - hits[r.lang_pred]) <= 2 + 0.02 * n
+        assert hits[r.lang_pred] >= top - 2 - 0.02 * n
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
@@ -414,6 +438,18 @@ def test_packing(odd, none):
     assert rows(packing.pack(none)) == []
 
 
+def test_plan_against_single_pieces():
+    """Best fit piece by piece, by the same rules: the plan of equal pieces at once costs no more than a little."""
+    rng = random.Random(3)
+    for lengths in ((64, 128), (50, 100, 400), (30,)):
+        pieces = sorted((min(lengths[-1], int(rng.expovariate(1 / 40)) + 1) for _ in range(1500)), reverse=True)
+        histogram = {n: pieces.count(n) for n in set(pieces)}
+        bins = packing.plan(histogram, lengths)
+        assert sorted((n for p in bins for n in p.pieces for _ in range(p.count)), reverse=True) == pieces
+        assert all(p.capacity == min(c for c in lengths if c >= sum(p.pieces)) for p in bins)
+        assert sum(packing.padded_cost(p.capacity) * p.count for p in bins) <= 1.01 * plain.best_fit_cost(pieces, lengths, packing.padded_cost)
+
+
 def test_plan_fills_bins():
     rng = random.Random(2)
     histogram: dict[int, int] = {}
