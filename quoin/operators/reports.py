@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def summary(df: DataFrame, by: list[str], metrics: list[str], digits: int | None = 3) -> DataFrame:
-    """Means of the metrics by key; null and NaN don't count; null where nothing is left."""
-    clean = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    """Means of the metrics by key, exact for decimals; null and NaN don't count; null where nothing is left."""
+    clean = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c))
     mean = lambda c: F.avg(clean(c))
     return df.groupBy(*by).agg(*[(F.round(mean(c), digits) if digits is not None else mean(c)).alias(c) for c in metrics])
 

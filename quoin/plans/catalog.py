@@ -45,6 +45,17 @@ def r(column, digits: int = 6):
     return F.round(F.col(column) if isinstance(column, str) else column, digits)
 
 
+def exact(column: str):
+    """A column of two decimals as such: its mean is then exact, rounded to six decimals in one way."""
+    return F.col(column).cast("decimal(18,2)")
+
+
+def _mean(column: str, where: str = "TRUE", unit: str = " / 1e6") -> str:
+    """The same mean in SQL, by whole numbers: in millionths, halves away from zero (of values of one sign)."""
+    total, n = f"CAST(sum(CAST({column} AS DECIMAL(18,2))) FILTER ({where}) * 100 AS HUGEINT)", f"count({column}) FILTER ({where})"
+    return f"CASE WHEN {n} > 0 THEN CAST((2 * 10000 * {total} + {n}) // (2 * {n}) AS DOUBLE){unit} END"
+
+
 EV = "ev AS (SELECT *, epoch_us(ts) AS us, epoch_us(ts) / 1000000.0 AS sec FROM events)"
 
 
@@ -217,13 +228,13 @@ def precision_recall(spark, sf_dir):
     return out.select("lang", "tp", "n_pred", "n_true", r("precision", 9).alias("precision"), r("recall", 9).alias("recall"))
 
 
-@query("""
-WITH m AS (SELECT o_orderstatus AS status, o_orderpriority AS priority, round(avg(o_totalprice) + 1.3e-6, 3) AS price FROM orders GROUP BY 1, 2)
+@query(f"""
+WITH m AS (SELECT o_orderstatus AS status, o_orderpriority AS priority, {_mean('o_totalprice')} AS price FROM orders GROUP BY 1, 2)
 SELECT status, priority, price, abs(price - max(price) OVER (PARTITION BY priority)) <= 1e-9 AS best_price FROM m
 """)
 def config_summary(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("price"))
-    means = reports.summary(rows, ["status", "priority"], ["price"], None).withColumn("price", r(F.col("price") + 1.3e-6, 3))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), exact("o_totalprice").alias("price"))
+    means = reports.summary(rows, ["status", "priority"], ["price"], None).withColumn("price", F.col("price").cast("double"))
     return reports.mark_best(means, {"price": True}, ["priority"])
 
 
@@ -233,17 +244,17 @@ def source_counts(spark, sf_dir):
     return found.select(F.col("o_orderstatus").alias("status"), F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("counts"))
 
 
-@query("""
-WITH p AS (SELECT c_nationkey AS nation, avg(o_totalprice) FILTER (o_orderstatus = 'O') AS base, avg(o_totalprice) FILTER (o_orderstatus = 'F') AS other FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+@query(f"""
+WITH p AS (SELECT c_nationkey AS nation, {_mean('o_totalprice', "o_orderstatus = 'O'", '')} AS base, {_mean('o_totalprice', "o_orderstatus = 'F'", '')} AS other FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
 g AS (SELECT *, other - base AS gain FROM p WHERE other - base IS NOT NULL)
-(SELECT nation, round(base + 1.3e-7, 4) AS base, round(other + 1.3e-7, 4) AS other, round(gain + 1.3e-7, 4) AS gain, 'gain' AS pick FROM g ORDER BY gain DESC, nation LIMIT 5)
-UNION ALL (SELECT nation, round(base + 1.3e-7, 4), round(other + 1.3e-7, 4), round(gain + 1.3e-7, 4), 'loss' FROM g ORDER BY gain, nation LIMIT 1)
+(SELECT nation, base / 1e6 AS base, other / 1e6 AS other, gain / 1e6 AS gain, 'gain' AS pick FROM g ORDER BY gain DESC, nation LIMIT 5)
+UNION ALL (SELECT nation, base / 1e6, other / 1e6, gain / 1e6, 'loss' FROM g ORDER BY gain, nation LIMIT 1)
 """)
 def pivot_gain(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    rows = rows.select(F.col("c_nationkey").alias("nation"), "o_orderstatus", "o_totalprice")
+    rows = rows.select(F.col("c_nationkey").alias("nation"), "o_orderstatus", exact("o_totalprice").alias("o_totalprice"))
     out = reports.pivot_gain(rows, "nation", "o_orderstatus", "o_totalprice", "O", "F", 5)
-    return out.select("nation", *[r(F.col(c) + 1.3e-7, 4).alias(c) for c in ("base", "other", "gain")], "pick")
+    return out.select("nation", *[F.col(c).cast("double").alias(c) for c in ("base", "other", "gain")], "pick")
 
 
 _DIST = "sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2))))"
@@ -310,15 +321,15 @@ def psnr_by_label(spark, sf_dir):
 
 @query("""
 WITH RECURSIVE e AS (SELECT doc_id AS a, lag(doc_id) OVER (PARTITION BY source, n_chars ORDER BY doc_id) AS b FROM documents
-UNION SELECT doc_id, lag(doc_id) OVER (PARTITION BY substr(text, 1, 40) ORDER BY doc_id) FROM documents),
+UNION SELECT doc_id, lag(doc_id) OVER (PARTITION BY text ORDER BY doc_id) FROM documents),
 s AS (SELECT a, b FROM e WHERE b IS NOT NULL UNION SELECT b, a FROM e WHERE b IS NOT NULL),
 c AS (SELECT a AS id, a AS root FROM s UNION SELECT s.b, c.root FROM c JOIN s ON c.id = s.a)
 SELECT id, min(root) AS component FROM c GROUP BY id
 """)
 def components_tracks(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.substring("text", 1, 40).alias("head"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "text")
     chain = lambda *by: docs.select(F.col("doc_id").alias("a"), F.lag("doc_id").over(Window.partitionBy(*by).orderBy("doc_id")).alias("b"))
-    return connected_components(chain("source", "n_chars").unionByName(chain("head")).where("b is not null"))
+    return connected_components(chain("source", "n_chars").unionByName(chain("text")).where("b is not null"))
 
 
 @query(f"""
@@ -384,10 +395,11 @@ def neighbour_agreement(spark, sf_dir):
     return sequence.neighbour_agreement(events(spark, sf_dir), ["user_id"], ["us", "event_id"], "value", 3, 0.3).select("user_id", "event_id")
 
 
-@query("SELECT l_returnflag AS flag, CAST(floor(l_quantity / 10) AS BIGINT) AS cell_q, CAST(floor(l_extendedprice / 5000) AS BIGINT) AS cell_p, round(avg(l_quantity) + 1.3e-9, 6) AS q, round(avg(l_extendedprice) + 1.3e-7, 4) AS p, round(avg(l_tax) + 1.3e-9, 6) AS tax, count(*) AS n FROM lineitem GROUP BY 1, 2, 3")
+@query(f"SELECT l_returnflag AS flag, CAST(floor(l_quantity / 10) AS BIGINT) AS cell_q, CAST(floor(l_extendedprice / 5000) AS BIGINT) AS cell_p, {_mean('l_quantity')} AS q, {_mean('l_extendedprice')} AS p, {_mean('l_tax')} AS tax, count(*) AS n FROM lineitem GROUP BY 1, 2, 3")
 def cell_cluster(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"), F.col("l_tax").alias("tax"))
-    return fusion.cell_cluster(rows, ["flag"], ["q", "p"], [10.0, 5000.0], ["tax"]).select("flag", "cell_q", "cell_p", r(F.col("q") + 1.3e-9).alias("q"), r(F.col("p") + 1.3e-7, 4).alias("p"), r(F.col("tax") + 1.3e-9).alias("tax"), "n")  # off the ties of rounding
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), exact("l_quantity").alias("q"), exact("l_extendedprice").alias("p"), exact("l_tax").alias("tax"))
+    found = fusion.cell_cluster(rows, ["flag"], ["q", "p"], [10.0, 5000.0], ["tax"])
+    return found.select("flag", "cell_q", "cell_p", *[F.col(c).cast("double").alias(c) for c in ("q", "p", "tax")], "n")
 
 
 @query("SELECT l_partkey, round(sum(l_discount * l_quantity) / sum(l_quantity), 9) AS fused, round(sum(l_quantity), 6) AS weight FROM lineitem GROUP BY 1 HAVING sum(l_quantity) > 0")
@@ -486,22 +498,26 @@ def band_difference(spark, sf_dir):
     return cells.subtract_runs(_runs(spark, sf_dir, "O"), _runs(spark, sf_dir, "F"), ["g"])
 
 
-_DIMS = """t AS (SELECT p_partkey AS k, p_size AS s, p_partkey % 9 AS f FROM part)"""
+#: Dimension texts in twelve forms, the same in both languages.
+_FORMS = """CASE p_partkey % 12 WHEN 0 THEN p_size || '.5 m x 2.5 m' WHEN 1 THEN (p_size * 10 + 1000) || ' x 4100' WHEN 2 THEN (p_size + 20) || ' cm' WHEN 3 THEN CAST(p_size * 100 AS VARCHAR(9))
+WHEN 4 THEN p_size || '’6"' WHEN 5 THEN p_size || '.5 m2' WHEN 6 THEN p_size || '’ x 12’' WHEN 7 THEN '(+' || p_size || ')' WHEN 8 THEN (p_size + 3) || ',25' WHEN 9 THEN p_size || '.5 x 12’6"'
+WHEN 10 THEN 'ROOM ' || p_size ELSE 'ASH ' || p_size || '.5' END"""
 
 
 @query(f"""
-WITH {_DIMS} SELECT k, CASE f WHEN 0 THEN 'pair' WHEN 1 THEN 'pair' WHEN 2 THEN 'length' WHEN 3 THEN 'length' WHEN 4 THEN 'length' WHEN 5 THEN 'area' WHEN 6 THEN 'pair' WHEN 7 THEN NULL ELSE 'length' END AS kind,
-round(CASE f WHEN 0 THEN s / 10.0 + 1 WHEN 1 THEN (s * 10 + 1000) / 1000.0 WHEN 2 THEN (s + 40) / 100.0 WHEN 3 THEN s * 100 / 1000.0 + 1 WHEN 4 THEN (12 * s + 6) * 0.0254 WHEN 5 THEN s + 0.5 WHEN 6 THEN s * 12 * 0.0254 + 0.6096 WHEN 7 THEN NULL ELSE s + 3.25 END, 6) AS a,
-round(CASE f WHEN 0 THEN 2.5 WHEN 1 THEN 4.1 WHEN 6 THEN 3.6576 ELSE NULL END, 6) AS b FROM t WHERE f NOT IN (4, 8) OR s <= 40
+WITH t AS (SELECT p_partkey AS k, replace({_FORMS}, ',', '.') AS x FROM part),
+s AS (SELECT k, x, list_transform(string_split(x, ' x '), lambda y: CASE WHEN contains(y, '’') THEN (12 * CAST(split_part(y, '’', 1) AS DOUBLE) + coalesce(TRY_CAST(replace(split_part(y, '’', 2), '"', '') AS DOUBLE), 0)) * 0.0254
+      ELSE TRY_CAST(regexp_extract(y, '[0-9][0-9.]*') AS DOUBLE) END) AS n FROM t),
+v AS (SELECT k, x, len(n) = 2 AS two, CASE WHEN regexp_full_match(x, '[0-9.]+ x [0-9.]+') AND greatest(n[1], n[2]) > 100 THEN n[1] / 1000 ELSE n[1] END AS a,
+      CASE WHEN regexp_full_match(x, '[0-9.]+ x [0-9.]+') AND greatest(n[1], n[2]) > 100 THEN n[2] / 1000 ELSE n[2] END AS b FROM s),
+c AS (SELECT k, two, CASE WHEN x LIKE '(%' THEN NULL WHEN two THEN a WHEN x LIKE '% cm' THEN a / 100 WHEN regexp_full_match(x, '[0-9]{{3,5}}') THEN a / 1000 ELSE a END AS a, b,
+      CASE WHEN x LIKE '(%' THEN NULL WHEN two THEN 'pair' WHEN x LIKE '% cm' OR contains(x, '’') OR regexp_full_match(x, '[0-9]{{3,5}}') OR regexp_full_match(x, '[0-9]+[.][0-9][0-9]') THEN 'length'
+      WHEN x LIKE '% m2' OR regexp_matches(x, '(^| )[0-9]+[.][0-9]$') THEN 'area' END AS kind, regexp_full_match(x, '[0-9]+[.][0-9][0-9]') AS bare FROM v),
+ok AS (SELECT *, coalesce(CASE kind WHEN 'pair' THEN least(a, b) >= 0.5 AND greatest(a, b) <= 50 WHEN 'length' THEN a >= 0.3 AND a <= (CASE WHEN bare THEN 50 ELSE 100 END) ELSE a >= 1 AND a <= 500 END, FALSE) AS fits FROM c)
+SELECT k, CASE WHEN fits THEN kind END AS kind, round(CASE WHEN fits AND kind IS NOT NULL THEN a END, 6) AS a, round(CASE WHEN fits AND two THEN b END, 6) AS b FROM ok
 """)
 def parse_dimensions(spark, sf_dir):
-    s = F.col("p_size")
-    forms = [
-        F.concat(F.format_string("%.1f", s / 10 + 1), F.lit(" m x 2.5 m")), F.concat((s * 10 + 1000).cast("string"), F.lit(" x 4100")), F.concat((s + 40).cast("string"), F.lit(" cm")), F.concat((s * 100 + 1000).cast("string")),
-        F.concat(s.cast("string"), F.lit("'6\"")), F.concat(s.cast("string"), F.lit(".5 m2")), F.concat((s + 2).cast("string"), F.lit("' x 12'")), F.concat(F.lit("(+"), s.cast("string"), F.lit(")")), F.concat((s + 3).cast("string"), F.lit(",25")),
-    ]
-    text = F.element_at(F.array(*forms), (F.col("p_partkey") % 9 + 1).cast("int"))
-    rows = table(spark, sf_dir, "part").where("p_partkey % 9 not in (4, 8) or p_size <= 40").select(F.col("p_partkey").alias("k"), dimensions.parse(text).alias("d"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), dimensions.parse(F.expr(_FORMS)).alias("d"))
     return rows.select("k", "d.kind", r("d.a").alias("a"), r("d.b").alias("b"))
 
 
@@ -518,12 +534,12 @@ def markup_extract(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE t AS (SELECT conv_id, substr(text, 1, 12) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE text IS NOT NULL),
+WITH RECURSIVE t AS (SELECT conv_id, text AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE text IS NOT NULL),
 f AS (SELECT conv_id, i, x AS label FROM t WHERE i = 1 UNION ALL SELECT f.conv_id, t.i, CASE WHEN contains(upper(f.label), upper(substr(t.x, 1, 5))) THEN f.label ELSE f.label || ' ' || t.x END FROM f JOIN t ON t.conv_id = f.conv_id AND t.i = f.i + 1)
 SELECT conv_id, label FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS r FROM f) WHERE r = 1
 """)
 def label_concat(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 12).alias("x")))).alias("t"))
+    rows = table(spark, sf_dir, "conversations").where("text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("x")))).alias("t"))
     return rows.select("conv_id", sequence.fold_labels(F.transform("t", lambda x: x["x"])).alias("label"))
 
 
@@ -638,10 +654,10 @@ def points_in_rooms(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey, CAST(p_size + 1 AS BIGINT) AS rows, CAST((p_size + 1) * (p_partkey % 17 + 2) AS BIGINT) AS cells FROM part WHERE p_partkey <= 500
+SELECT p_partkey, CAST(p_size + 1 AS BIGINT) AS rows, CAST((p_size + 1) * (p_partkey % 17 + 2) AS BIGINT) AS cells FROM part
 """)
 def polygon_cells(spark, sf_dir):
-    part = table(spark, sf_dir, "part").where("p_partkey <= 500")
+    part = table(spark, sf_dir, "part")
     x, y = (F.col("p_partkey") % 17 + 1).cast("double"), F.col("p_size").cast("double")
     zero = F.lit(0.0)
     rings = part.select("p_partkey", F.array(F.array(zero, zero), F.array(x, zero), F.array(x, y), F.array(zero, y)).alias("ring"))
@@ -682,12 +698,18 @@ def wall_orientation(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(geometry.orientation(a, b).alias("way")).agg(F.count("*").alias("n"))
 
 
-@query("""
-SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_size % 9 WHEN 1 THEN -1 WHEN 2 THEN 0 WHEN 3 THEN 9 ELSE 5 END::INT AS storey FROM part WHERE p_partkey % 6 <> 4
+_LABELS = """CASE p_partkey % 10 WHEN 0 THEN (p_size % 9) || '. kerros' WHEN 1 THEN 'Basement plan' WHEN 2 THEN 'GROUND FLOOR' WHEN 3 THEN 'ullakko' WHEN 4 THEN 'Bedroom'
+WHEN 5 THEN 'Upper floor' WHEN 6 THEN 'lower ground floor' WHEN 7 THEN 'Ground' WHEN 8 THEN 'Kellari ' || (p_size % 9) || '. krs' ELSE 'main level' END"""
+
+
+@query(f"""
+WITH t AS (SELECT p_partkey, lower({_LABELS}) AS x FROM part),
+w AS (SELECT p_partkey, x, regexp_extract(x, '([0-9])[.]? ?(kerros|krs|floor|level)', 1) AS n FROM t WHERE regexp_matches(x, 'kerros|krs|floor|level|basement|kellari|ullakko'))
+SELECT p_partkey, CASE WHEN n <> '' THEN CAST(n AS DOUBLE) WHEN x LIKE '%basement%' OR x LIKE '%kellari%' THEN -1.0 WHEN x LIKE '%lower ground%' THEN -0.5 WHEN x LIKE '%ground%' OR x LIKE '%main%' THEN 0.0
+WHEN x LIKE '%upper%' THEN 5.0 ELSE 9.0 END AS storey FROM w
 """)
 def storey_keys(spark, sf_dir):
-    text = F.element_at(F.array(F.concat((F.col("p_size") % 9).cast("string"), F.lit(". kerros")), F.lit("Basement plan"), F.lit("GROUND FLOOR"), F.lit("ullakko"), F.lit("Bedroom"), F.lit("Upper floor")), (F.col("p_partkey") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", dimensions.storey(text).alias("storey")).where("storey is not null")
+    return table(spark, sf_dir, "part").select("p_partkey", dimensions.storey(F.expr(_LABELS)).alias("storey")).where("storey is not null")
 
 
 @query(_RUNS + "SELECT g, min(i) AS lo, max(i) + 1 AS hi FROM (SELECT g, i, i - row_number() OVER (PARTITION BY g ORDER BY i) AS k FROM x) GROUP BY g, k")

@@ -161,9 +161,14 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
+MOST_LINES = 10_000
+
+
 def markdown(summary: DataFrame, digits: int = 3) -> str:
-    """A small summary as a Markdown table; missing values as a dash."""
-    rows = summary.limit(10_000).collect()
+    """A small summary as a Markdown table; missing values as a dash. More than MOST_LINES rows are an error."""
+    rows = summary.limit(MOST_LINES + 1).collect()
+    if len(rows) > MOST_LINES:
+        raise ValueError(f"a table of more than {MOST_LINES} rows: write it with write_csv")
     cell = lambda v: "-" if v is None or v != v else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
     head = f"| {' | '.join(summary.columns)} |\n|{'---|' * len(summary.columns)}\n"
     return head + "".join(f"| {' | '.join(cell(v) for v in r)} |\n" for r in rows)

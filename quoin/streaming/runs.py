@@ -15,8 +15,8 @@ def stage_progress(events: DataFrame, time: str = "ts", stage: str = "event_type
     return agg.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), stage, "n", "total")
 
 
-def latest_state(events: DataFrame, key: str, time: str = "ts", late: str = "2 hours") -> DataFrame:
-    """The last event of each key in sessions of half an hour."""
+def sessions(events: DataFrame, key: str, time: str = "ts", late: str = "2 hours", gap: str = "30 minutes") -> DataFrame:
+    """One row for each session of a key (events at most `gap` apart): its start, its last event's time and its count."""
     rows = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
-    agg = rows.groupBy(F.session_window(time, "30 minutes"), key).agg(F.count("*").alias("n"), F.max(time).alias("last"))
+    agg = rows.groupBy(F.session_window(time, gap), key).agg(F.count("*").alias("n"), F.max(time).alias("last"))
     return agg.select(key, F.col("session_window.start").alias("start"), "last", "n")

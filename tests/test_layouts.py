@@ -143,6 +143,8 @@ def test_decimate(spark):
         ("5.66 m x 3.83 m", "pair", 5.66, 3.83), ("3400 x 4100", "pair", 3.4, 4.1), ("3.4 x 4.1 m", "pair", 3.4, 4.1), ("12'6\" x 10'", "pair", 3.81, 3.048), ("12'6\"", "length", 3.81, None),
         ("360 cm", "length", 3.6, None), ("7200", "length", 7.2, None), ("12 000", "length", 12.0, None), ("12:000", "length", 12.0, None), ("250", None, None, None), ("1O5O", "length", 1.05, None),
         ("3,60", "length", 3.6, None), ("ASH 16.5", "area", 16.5, None), ("16.5", "area", 16.5, None), ("12.4 m2", "area", 12.4, None), ("APK4,5", None, None, None), ("(+0.590)", None, None, None), ("15/12", None, None, None), (None, None, None, None),
+        ("3.5 x 12'", "pair", 3.5, 3.6576), ("ROOM 12", None, None, None), ("APK 45", None, None, None), ("16", None, None, None), ("ROOM 3.2 x 4.1 m", None, None, None), ("3.2 x 410 cm", "pair", 3.2, 4.1),
+        ("", None, None, None), ("3400 x 900", "pair", 3.4, 0.9), ("60 x 40", None, None, None), ("61.25", None, None, None), ("12.4 sq. m total", "area", 12.4, None), ("4 X 5 × 6", None, None, None),
     ],
 )
 def test_dimension_texts(spark, text, kind, a, b):
@@ -151,9 +153,9 @@ def test_dimension_texts(spark, text, kind, a, b):
     assert (d.a, d.b) == (pytest.approx(a) if a is not None else None, pytest.approx(b) if b is not None else None)
 
 
-@pytest.mark.parametrize(("text", "key"), [("2. kerros", 2), ("Ground floor", 0), ("Basement", -1), ("ullakko", 9), ("Upper floor", 5), ("Bedroom", None), ("Floor", None)])
+@pytest.mark.parametrize(("text", "key"), [("2. kerros", 2), ("Ground floor", 0), ("Basement", -1), ("ullakko", 9), ("Upper floor", 5), ("Bedroom", None), ("Floor", None), ("lower ground floor", -0.5), ("main floor", 0), ("2 etage", 2), ("Ground", None), ("Upper", None), ("Kellari 1. krs", 1), ("3rd floor", 3), (None, None)])
 def test_storeys(spark, text, key):
-    assert one(spark, k=dimensions.storey(F.lit(text))).k == key
+    assert one(spark, k=dimensions.storey(F.lit(text).cast("string"))).k == key
 
 
 def test_runs_and_overlap(spark):

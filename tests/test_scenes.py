@@ -154,7 +154,7 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     q.stop()
     key = lambda df: sorted((str(r.start), r.event_type, r.n, round(r.total, 6)) for r in df.collect())
     assert key(spark.table("progress")) == key(runs.stage_progress(source))
-    assert runs.latest_state(source, "user_id").count() > 0
+    assert runs.sessions(source, "user_id").count() > 0
 
 
 def test_flagship(spark):
