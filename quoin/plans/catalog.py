@@ -580,20 +580,20 @@ def spans_around(spark, sf_dir):
 
 
 @query("""
-WITH o AS (SELECT l_orderkey AS pt, l_partkey AS img FROM lineitem WHERE l_discount <= 0.06 AND l_quantity > 0)
+WITH o AS (SELECT l_orderkey AS pt, l_partkey AS img FROM lineitem)
 SELECT pt, count(DISTINCT img) AS n_img, count(*) AS n FROM o GROUP BY pt HAVING count(*) >= 2 AND count(DISTINCT img) = count(*)
 """)
 def track_filter(spark, sf_dir):
-    seen = table(spark, sf_dir, "lineitem").where("l_discount <= 0.06 and l_quantity > 0").select(F.col("l_orderkey").alias("pt"), F.col("l_partkey").alias("img"))
+    seen = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pt"), F.col("l_partkey").alias("img"))
     return matching.valid_tracks(seen, "pt", "img")
 
 
 @query("""
 SELECT l_suppkey, CASE WHEN n < 2 THEN 'few' WHEN off > 0.25 THEN 'gate' WHEN extent < 3 OR extent > 300 THEN 'extent' ELSE 'accepted' END AS reason FROM
-(SELECT l_suppkey, count(*) AS n, abs(ln(avg(l_extendedprice / l_quantity) / 1500)) AS off, max(l_quantity) * 6.5 AS extent FROM lineitem WHERE l_discount = 0.05 GROUP BY 1)
+(SELECT l_suppkey, count(*) AS n, abs(ln(avg(l_extendedprice / l_quantity) / 1500)) AS off, max(l_quantity) * 6.5 AS extent FROM lineitem GROUP BY 1)
 """)
 def scale_acceptance(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_discount = 0.05").groupBy("l_suppkey")
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_suppkey")
     agg = rows.agg(F.count("*").alias("n"), F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("s"), (F.max("l_quantity") * 6.5).alias("extent"))
     return agg.select("l_suppkey", dimensions.acceptance(F.col("n"), F.lit(False), F.col("s"), F.lit(1500.0), F.col("extent")).alias("reason"))
 
