@@ -8,6 +8,7 @@ what makes one text help to compress the other.
 
 from __future__ import annotations
 
+import bisect
 import gc
 import hashlib
 import math
@@ -18,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quoin.llm.arrays import prefix_sums, release, stretch_hash
-from quoin.llm.exchange import known_id, shown_id, small_batches
+from quoin.llm.exchange import MOST_BYTES, known_id, shown_id, small_batches
 
 SIZE = 128
 SLICE_BYTES = 16 << 20
+START = 64  # characters of a text that take part in cutting the rows of one doc_id
 
 
 def _parse(data: bytes, at: int, node: dict, root: dict, ends: list[int], grown: list | None) -> dict:
@@ -119,30 +121,61 @@ def fingerprint(docs: DataFrame, text: str = "text", into: str = "fingerprint",
     return docs.withColumn(into, of(F.col(text)))
 
 
+def _cuts(docs: DataFrame, slice_bytes: int) -> tuple[list[int], list[str]]:
+    """Keys (~doc_id, start of the text) of the first row of every slice, ascending; none without rows.
+
+    Cuts after the first are every fourth of about four rows a slice, drawn by a hash of the row, so they are
+    the same whatever the partitioning, and an id of very many rows is cut by its texts."""
+    key = F.struct(F.bitwise_not("doc_id").alias("rank"), F.substring("text", 1, START).alias("start"))
+    told = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n"), F.min(key).alias("least")).first()
+    if not told.n:
+        return [], []
+    size = max(slice_bytes, min(MOST_BYTES, math.isqrt(told.bytes * 4096)))
+    slices = max(math.ceil(told.bytes / size), min(24, math.ceil(told.bytes / (1 << 18))), 1)
+    every = max(1, told.n // (4 * slices))
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0) if slices > 1 else docs.limit(0)
+    drawn = drawn.groupBy(key.alias("key")).agg(F.count("*").alias("n")).select("key.rank", "key.start", "n").toArrow()
+    keys = sorted(zip(drawn.column(0).to_pylist(), drawn.column(1).to_pylist(), drawn.column(2).to_pylist(), strict=True))
+    step = max(1, sum(n for _, _, n in keys) // slices)
+    found, passed = [tuple(told.least)], 0
+    for rank, start, n in keys:
+        if passed >= step and (rank, start) > found[-1]:
+            found.append((rank, start))
+            passed = 0
+        passed += n
+    return [rank for rank, _ in found], [start for _, start in found]
+
+
 def in_descending_order(docs: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Rows (slice, extra, doc_id, text), so that sorting a slice puts each row's successor after it.
 
     The successor is the next row by descending doc_id (ties: by text), the first row after the
-    last. Slices are ranges of doc_id from an approximate percentile; each slice also gets the
-    first row of the one after it, marked extra. The driver holds one id a slice.
-    """
+    last. Slices are ranges of (doc_id, start of the text) of a size that grows with the square root of the
+    input; each slice also gets the first row of the one after it, marked extra. The driver holds about four keys a
+    slice. Rows of one doc_id that begin with the same START characters share a slice, and stream through it."""
     docs = docs.select(known_id().alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = min(4096, max(math.ceil(total / slice_bytes), min(24, math.ceil(total / (1 << 18))), 1))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20_000)).first()[0] or []
-    cuts = sorted(set(cuts)) if n > 1 else []
-    part = F.aggregate(F.array(*[F.lit(c).cast("long") for c in cuts]), F.lit(0), lambda s, c: s + (c >= F.col("doc_id")).cast("int")) if cuts else F.lit(0)
-    docs = docs.withColumn("slice", part)
-    heads = sorted((r[0], r[1]) for r in docs.groupBy("slice").agg(F.max("doc_id")).collect())
-    to = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
-    own = F.struct(F.col("slice").alias("slice"), F.lit(False).alias("extra"))
-    if not to:
-        return docs.withColumn("extra", F.lit(False))
-    previous = F.create_map(*[x for head, before in to.items() for x in (F.lit(head).cast("long"), F.lit(before))])[F.col("doc_id")]
-    both = F.when(previous.isNotNull(), F.array(own, F.struct(previous.alias("slice"), F.lit(True).alias("extra")))).otherwise(F.array(own))
-    rows = docs.select(F.explode(both).alias("at"), "doc_id", "text").select("at.slice", "at.extra", "doc_id", "text")
-    rows = rows.repartitionByRange(len(heads), "slice") if len(heads) > 1 else rows.coalesce(1)
-    return rows.sortWithinPartitions("slice", "extra", F.desc("doc_id"), "text")
+    ranks, starts = _cuts(docs, slice_bytes)
+    n = len(ranks)
+    if not n:
+        return docs.select(F.lit(0).alias("slice"), F.lit(False).alias("extra"), "doc_id", "text")
+    order = np.array(ranks, dtype=np.int64)
+
+    @F.pandas_udf("array<int>")
+    def places(rank, start):
+        import pandas as pd
+
+        key = rank.to_numpy(dtype=np.int64)
+        lo, hi = np.searchsorted(order, key, "left"), np.searchsorted(order, key, "right")
+        at = hi - 1
+        first = np.zeros(len(key), dtype=bool)
+        for i in np.flatnonzero(lo < hi):  # ids that are a cut's: their texts decide
+            at[i] = bisect.bisect_right(starts, start.iat[i], lo[i], hi[i]) - 1
+            first[i] = at[i] >= lo[i] and starts[at[i]] == start.iat[i]
+        return pd.Series([[k, (k or n) - 1] if f else [k] for k, f in zip(at.tolist(), first.tolist(), strict=True)], dtype=object)
+
+    at = places(F.bitwise_not("doc_id"), F.substring("text", 1, START))
+    rows = docs.select(F.posexplode(at).alias("extra", "slice"), "doc_id", "text").select("slice", (F.col("extra") > 0).alias("extra"), "doc_id", "text")
+    return rows.repartitionById(n, F.col("slice")).sortWithinPartitions("slice", "extra", F.desc("doc_id"), "text")
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -199,18 +232,20 @@ def with_edits(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
         limit = 4 << 20
         size_now = 0
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for part, extra, doc_id, text in zip(*columns, strict=True):
-                raw = text.encode()
-                held.append((part, extra, doc_id, text, raw))
-                size_now += len(raw)
-                if size_now > limit and len(held) > 1:
-                    yield emit(held)
-                    held, size_now = held[-1:], len(raw)
-        if len(held) > 1:
-            yield emit(held)
-        gc.enable()
-        release()
+        try:
+            for batch in batches:
+                columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+                for part, extra, doc_id, text in zip(*columns, strict=True):
+                    raw = text.encode()
+                    held.append((part, extra, doc_id, text, raw))
+                    size_now += len(raw)
+                    if size_now > limit and len(held) > 1:
+                        yield emit(held)
+                        held, size_now = held[-1:], len(raw)
+            if len(held) > 1:
+                yield emit(held)
+        finally:
+            gc.enable()
+            release()
 
     return in_descending_order(docs).mapInArrow(run, RESULT).withColumn("doc_id", shown_id())

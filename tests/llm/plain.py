@@ -232,3 +232,57 @@ def perplexity(docs, discounts):
         base = sum(math.log10((one[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in s)
         out.append((d, held(d), len(s), sum(one[w] > 0 for w in s), total, base, sum(math.log10(p(v, w)) for v, w in zip(["\0begin", *s], s, strict=False))))
     return sorted(out)
+
+
+def _scrambled(h):
+    h ^= h >> 31
+    h = h * 0x7FB5D329728EA185 & WORD
+    h ^= h >> 27
+    h = h * 0x81DADEF4BC2DD44D & WORD
+    return h ^ h >> 33
+
+
+WORD = (1 << 64) - 1
+
+
+def phrases(text):
+    """The distinct phrases of a text's bytes: each the longest one known so far and a byte more."""
+    known, at = {b""}, 0
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and text[at:end] in known:
+            end += 1
+        if text[at:end] in known:
+            break  # the text ends within a known phrase
+        known.add(text[at:end])
+        at = end
+    return known - {b""}
+
+
+def fingerprint(text, base, size=128):
+    """The smallest 32-bit hashes of the phrases, `base` being the multiplier of the polynomial."""
+    hashes = set()
+    for phrase in phrases(text.encode()):
+        h = 0
+        for c in reversed(phrase):
+            h = (h * base + c + 1) & WORD
+        hashes.add(_scrambled((h + len(phrase) * 0xD6E8FEB86659FD93) & WORD) >> 32)
+    return sorted(hashes)[:size]
+
+
+def alike(a, b, size=128):
+    union = sorted({*a, *b})[:size]
+    return sum(x in a and x in b for x in union) / len(union) if union else 1.0
+
+
+def fingerprints(docs, base):
+    """Rows of the fingerprint query for (doc_id, text), ties by text."""
+    docs = sorted([(-(1 << 63) if d is None else d, t or "") for d, t in docs], key=lambda x: (-x[0], x[1]))
+    out = []
+    for (d, t), (_, after) in zip(docs, docs[1:] + docs[:1]):
+        n = len(t) // 2
+        edit = t[: len(t) - n] + after[:n]
+        own, edited, following = (fingerprint(x, base) for x in (t, edit, after))
+        text = lambda f: "".join(f"{x:08x}" for x in f)
+        out.append((None if d == -(1 << 63) else d, len(t), sha(edit), text(own), text(edited), alike(own, edited), alike(own, following)))
+    return out

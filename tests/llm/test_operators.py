@@ -18,6 +18,7 @@ import plain  # noqa: E402
 
 from quoin.llm import contamination, fingerprints, html, language, neardup, packing, perplexity, queries, repeats, secrets  # noqa: E402
 
+BASE = 0x9E3779B97F4A7C15  # the multiplier of the polynomial hashes
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -397,21 +398,30 @@ def test_perplexity_on_documents(spark, sf_dir):
 
 
 def test_fingerprints(spark, odd, none):
-    docs = sorted([(d, t or "") for d, t in pairs(odd)], key=lambda x: (-x[0], x[1]))
-    mark = lambda t: fingerprints.smallest([t.encode()], [fingerprints.phrase_ends(t.encode())[0]])[0]
-    own = {t: mark(t) for _, t in docs}
-    expected = []
-    for (d, t), (_, nxt) in zip(docs, docs[1:] + docs[:1], strict=True):
-        n = len(t) // 2
-        edit = t[: len(t) - n] + nxt[:n]
-        e = mark(edit)
-        expected.append((d, len(t), hashlib.sha256(edit.encode()).hexdigest(), fingerprints.to_hex(own[t]), fingerprints.to_hex(e), fingerprints.likeness(own[t], e), fingerprints.likeness(own[t], own[nxt])))
+    expected = plain.fingerprints(pairs(odd), BASE)
     assert rows(fingerprints.with_edits(odd)) == sorted(expected, key=str)
     assert rows(fingerprints.with_edits(none)) == []
     one = fingerprints.with_edits(odd.where("doc_id = 7")).collect()
     assert len(one) == 1 and one[0].near_next == 1
     told = {r.doc_id: r.fingerprint for r in fingerprints.fingerprint(odd).collect()}
-    assert told[7] == told[8] == fingerprints.to_hex(own[dict(pairs(odd))[7]]) and told[1] == ""
+    assert told[7] == told[8] == next(r[3] for r in expected if r[0] == 7) and told[1] == ""
+
+
+@pytest.mark.parametrize("slice_bytes", [1 << 24, 3000])
+def test_fingerprints_in_slices(spark, monkeypatch, slice_bytes):
+    """One id, and no id at all, hold most rows; many of them are equal or begin alike; more slices than one."""
+    monkeypatch.setattr(fingerprints, "MOST_BYTES", 1)  # slices stay small
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice(["ab", "cde", "été", "fghij", "k"]) for _ in range(rng.randint(0, 60)))
+    docs = [(7, text()) for _ in range(120)] + [(None, text()) for _ in range(60)] + [(i, text()) for i in range(60)]
+    docs += [(9, "same " * 40)] * 50 + [(9, "same " * 40 + str(i)) for i in range(30)] + [(-5, None), (-5, ""), (None, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    cut = fingerprints.in_descending_order(frame, slice_bytes)
+    assert cut.select("slice").distinct().count() == cut.rdd.getNumPartitions() and (slice_bytes > 3000 or cut.rdd.getNumPartitions() > 5)
+    assert cut.where("not extra").count() == len(docs)
+    real = fingerprints.in_descending_order
+    monkeypatch.setattr(fingerprints, "in_descending_order", lambda docs: real(docs, slice_bytes))
+    assert rows(fingerprints.with_edits(frame)) == sorted(plain.fingerprints(docs, BASE), key=str)
 
 
 def test_phrases():
