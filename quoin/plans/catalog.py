@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quoin.functions import dimensions, geometry
 from quoin.operators import cells, density, estimation, fusion, matching, nearest, reports, sequence
 from quoin.operators.graph import connected_components
+from quoin.plans import evaluation, layouts, scenes
 from quoin.streaming import runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,22 +107,22 @@ def even_subsample(spark, sf_dir):
     return sequence.even_pick(events(spark, sf_dir), ["user_id"], ["us", "event_id"], 5).select("user_id", "event_id")
 
 
-_VOTES = "v AS (SELECT p_brand AS brand, round(ln(l_extendedprice / l_quantity), 3) AS x, CAST(count(*) AS DOUBLE) AS w FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
+_VOTES = "v AS (SELECT p_brand AS brand, round(ln(l_extendedprice / l_quantity) * 997) / 997 AS x, CAST(count(*) AS DOUBLE) AS w FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
 
 
 @query(f"""
 WITH {_VOTES},
 m AS (SELECT brand, min(x) AS lo, max(x) AS hi FROM v GROUP BY brand),
-g AS (SELECT brand, i, lo - 0.1 + i * 0.00515 AS g FROM (SELECT brand, lo, unnest(range(0, CAST(ceil((hi - lo + 0.2) / 0.00515) AS BIGINT))) AS i FROM m)),
-d AS (SELECT g.brand, i, g, round(sum(w * exp(-0.5 * pow((g - x) / 0.0206, 2))), 9) AS d FROM g JOIN v ON g.brand = v.brand GROUP BY ALL),
+g AS (SELECT brand, i, lo - 0.1 + i * 0.005 AS g FROM (SELECT brand, lo, unnest(range(0, CAST(ceil((hi - lo + 0.2) / 0.005) AS BIGINT))) AS i FROM m)),
+d AS (SELECT g.brand, i, g, round(sum(w * exp(-0.5 * pow((g - x) / 0.02, 2))), 9) AS d FROM g JOIN v ON g.brand = v.brand GROUP BY ALL),
 t AS (SELECT brand, g FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY d DESC, i) AS k FROM d) WHERE k = 1)
 SELECT v.brand, round(any_value(g), 6) AS mode, round(exp(sum(w * x) / sum(w)), 6) AS scale, CAST(sum(w) AS BIGINT) AS support
-FROM v JOIN t ON v.brand = t.brand WHERE abs(x - g) < 0.0412 GROUP BY v.brand
+FROM v JOIN t ON v.brand = t.brand WHERE abs(x - g) < 0.04 GROUP BY v.brand
 """)
 def kde_mode(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    votes = rows.groupBy(F.col("p_brand").alias("brand"), F.round(F.log(F.col("l_extendedprice") / F.col("l_quantity")), 3).alias("x")).agg(F.count("*").cast("double").alias("w"))
-    mode = density.kde_mode(votes, ["brand"], "x", "w", bandwidth=0.0206)
+    votes = rows.groupBy(F.col("p_brand").alias("brand"), (F.round(F.log(F.col("l_extendedprice") / F.col("l_quantity")) * 997) / 997).alias("x")).agg(F.count("*").cast("double").alias("w"))
+    mode = density.kde_mode(votes, ["brand"], "x", "w")
     return mode.select("brand", r("mode").alias("mode"), r("scale").alias("scale"), F.col("support").cast("long").alias("support"))
 
 
@@ -488,6 +489,48 @@ def _runs(spark, sf_dir, status):
     return rows.select(F.col("o_custkey").alias("g"), F.round(at).cast("long").alias("lo"), (F.round(at).cast("long") + 40).alias("hi"))
 
 
+@query("""
+WITH r AS (SELECT o_custkey AS g, o_orderpriority AS v, o_orderdate AS d, o_orderkey AS k, CAST(o_totalprice / 1000 AS BIGINT) AS lo FROM orders),
+c AS (SELECT g, i, arg_max(v, (d, k)) AS v FROM (SELECT g, v, d, k, unnest(range(lo, lo + 40)) AS i FROM r) GROUP BY g, i)
+SELECT g, v, min(i) AS lo, max(i) + 1 AS hi FROM (SELECT g, v, i, i - row_number() OVER (PARTITION BY g, v ORDER BY i) AS n FROM c) GROUP BY g, v, n
+""")
+def paint_runs(spark, sf_dir):
+    at = F.round(F.col("o_totalprice") / 1000).cast("long")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("g"), F.col("o_orderpriority").alias("v"), "o_orderdate", "o_orderkey", at.alias("lo"), (at + 40).alias("hi"))
+    return cells.paint_runs(rows, ["g"], "v", ["o_orderdate", "o_orderkey"]).select("g", "v", "lo", "hi")
+
+
+@query("""
+SELECT l_returnflag AS mode, l_linenumber AS line, round(avg(CASE WHEN l_quantity * 5 > 60 AND l_quantity * 5 < 200 THEN 1.0 ELSE 0.0 END), 9) AS middle,
+       avg(CASE WHEN l_quantity * 5 > 60 AND l_quantity * 5 < 200 THEN 1.0 ELSE 0.0 END) > 0.55 AS noisy
+FROM lineitem GROUP BY 1, 2
+""")
+def noisy_share(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("mode"), F.col("l_linenumber").alias("line"), (F.col("l_quantity") * 5).alias("grey"))
+    return layouts.noisy(rows, ["mode", "line"], "grey", 0.55).select("mode", "line", r("middle", 9).alias("middle"), "noisy")
+
+
+@query("""
+WITH m AS (SELECT l_suppkey AS s, l_linenumber AS i, l_linenumber + CAST(l_quantity AS INTEGER) AS j, count(*) AS n FROM lineitem GROUP BY 1, 2, 3)
+SELECT s, i, j, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY n DESC, i DESC, j DESC) AS rank FROM m WHERE j - i BETWEEN 2 AND 18) WHERE rank <= 40
+""")
+def seed_pairs(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("i"), (F.col("l_linenumber") + F.col("l_quantity").cast("int")).alias("j")).agg(F.count("*").alias("n"))
+    return scenes.seed_pairs(rows, ["s"], "i", "j", "n")
+
+
+@query("""
+WITH m AS (SELECT p_brand AS brand, CAST(p_size AS DOUBLE) AS wx, p_partkey % 40 + 1.0 AS wy, ps.a, ps.b FROM part JOIN (SELECT l_partkey, CAST(l_quantity AS DOUBLE) AS a, CAST(l_linenumber * 7 AS DOUBLE) AS b FROM lineitem) ps ON p_partkey = l_partkey),
+w AS (SELECT brand, CASE WHEN abs(ln((a / wx) / (b / wy))) < 0.15 THEN [a / wx, b / wy] WHEN abs(ln((b / wx) / (a / wy))) < 0.15 THEN [b / wx, a / wy] END AS r FROM m)
+SELECT brand, round(median(r), 9) AS scale, count(*) AS n FROM (SELECT brand, unnest(r) AS r FROM w WHERE r IS NOT NULL) GROUP BY brand
+""")
+def scale_ratios(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_quantity").cast("double").alias("a"), (F.col("l_linenumber") * 7).cast("double").alias("b"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("brand"), F.col("p_size").cast("double").alias("wx"), (F.col("p_partkey") % 40 + 1.0).alias("wy"))
+    found = evaluation.scale_only(parts.join(lines, F.col("p_partkey") == F.col("l_partkey")), ["brand"])
+    return found.select("brand", r("scale", 9).alias("scale"), "n")
+
+
 @query(_RUNS + "SELECT g, CAST(count(x.i) FILTER (y.i IS NOT NULL) AS BIGINT) AS inter, count(*) AS either, round(count(x.i) FILTER (y.i IS NOT NULL) / count(*), 9) AS iou FROM x FULL JOIN y USING (g, i) GROUP BY g")
 def run_iou(spark, sf_dir):
     return cells.run_iou(_runs(spark, sf_dir, "O"), _runs(spark, sf_dir, "F"), ["g"]).select("g", "inter", "either", r("iou", 9).alias("iou"))

@@ -21,6 +21,14 @@ def candidate_pairs(frames: DataFrame, window: int = 6, loops: int = 5) -> DataF
     return band.unionByName(far).distinct()
 
 
+def seed_pairs(matches: DataFrame, by: list[str], first: str, second: str, n: str, least: int = 2, most: int = 18, top: int = 40) -> DataFrame:
+    """The pairs of frames that a reconstruction may start from, best first: `least` to `most` frames apart,
+    of the most matches (ties: the later frames), with their rank from 1 to `top`."""
+    gap = F.col(second) - F.col(first)
+    order = Window.partitionBy(*by).orderBy(F.desc(n), F.desc(first), F.desc(second))
+    return matches.where((gap >= least) & (gap <= most)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
 def build_tracks(matches: DataFrame) -> DataFrame:
     """(scene, track, img, kp) from verified matches (scene, img_a, kp_a, img_b, kp_b): components that
     see no image twice, of two observations or more."""

@@ -280,9 +280,40 @@ def test_perfect_prediction(stored):
     some = stored
     for r in evaluation.evaluate(some, some).collect():
         assert (r.room_iou, r.room_recall, r.room_precision, r.footprint_iou) == (1, 1, 1, 1)
+        assert (r.class_miou, r.wall_iou) == (1, 1) and r.door_tp == r.door_n_pred == r.door_n_true
         assert (r.door_precision, r.door_recall, r.window_recall) == (1, 1, 1) and r.count_error == 0 and (r.dim_mape or 0) < 1e-9
     gone = evaluation.evaluate(some.limit(0), some).first()
-    assert gone.room_iou == 0 and gone.room_recall == 0 and gone.footprint_iou == 0
+    assert gone.room_iou == 0 and gone.room_recall == 0 and gone.footprint_iou == 0 and gone.class_miou == 0 and gone.wall_iou == 0
+
+
+def box(x0, y0, x1, y1):
+    return [[float(x), float(y)] for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]
+
+
+def test_types_of_cells(spark):
+    """A small room shows over a large one; a type that is not known counts as the last one."""
+    shape = "plan_id string, id int, polygon array<array<double>>, type string"
+    true = spark.createDataFrame([("a", 1, box(0, 0, 9, 9), "Bath"), ("a", 2, box(0, 0, 9, 4), "Kitchen")], shape)
+    size = lambda df: {r.type: r.n for r in df.groupBy("type").agg(F.sum(F.col("hi") - F.col("lo")).alias("n")).collect()}
+    assert size(evaluation.class_runs(true)) == {"Bath": 50, "Kitchen": 50}
+    other = spark.createDataFrame([("a", 1, box(0, 0, 9, 9), "Bath"), ("a", 2, box(0, 0, 9, 4), "Attic")], shape)
+    assert size(evaluation.class_runs(other)) == {"Bath": 50, "Undefined": 50}
+    assert evaluation.class_iou(other, true).first().class_miou == pytest.approx(1 / 3)
+    assert evaluation.class_iou(true.limit(0), true).first().class_miou == 0
+
+
+def test_cells_of_walls(spark):
+    shape = "plan_id string, id int, p0 array<double>, p1 array<double>, thickness double, polygon array<array<double>>, holes array<array<array<double>>>"
+    walls = [("a", 1, [2.0, 2.0], [10.0, 2.0], 2.0, None, None), ("a", 2, [5.0, 5.0], [5.0, 5.0], 2.0, None, None), ("a", 3, [0.0, 0.0], [1.0, 0.0], 1.0, box(20, 0, 29, 9), [box(22, 2, 27, 7)])]
+    told = {(r.lo, r.hi): r.n for r in evaluation.wall_cells(spark.createDataFrame(walls, shape)).groupBy("lo", "hi").agg(F.count("*").alias("n")).collect()}
+    assert told == {(1, 12): 3, (20, 30): 4, (20, 22): 6, (28, 30): 6}
+
+
+def test_total_area_by_hand(spark):
+    rooms = spark.createDataFrame([("a", 1, box(0, 0, 10, 10), "Bath", 12.0, 3.0, 4.0), ("a", 2, box(20, 0, 30, 10), "Outdoor", 50.0, 5.0, 10.0)], "plan_id string, id int, polygon array<array<double>>, type string, area_m2 double, short_m double, long_m double")
+    notes = spark.createDataFrame([("a", 0, [5.0, 5.0], 4.0, 3.0, 10.0), ("a", 1, [6.0, 5.0], 4.0, 3.0, 10.0)], "plan_id string, n int, point array<double>, width_m double, length_m double, total_area_m2 double")
+    r = evaluation.score_by_hand(rooms, notes).first()
+    assert (r.found, r.dim_mape, r.area_mape) == (0.5, 0, 0) and r.total_area_ape == pytest.approx(0.2)
 
 
 def test_reports(spark, tmp_path):
