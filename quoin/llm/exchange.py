@@ -75,3 +75,8 @@ def ordered(table):
     texts = [x or b"" for x in text.to_pylist()]
     order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
     return ids[order], [texts[i] for i in order]
+
+
+def shared_folder(spark) -> str:
+    """A folder that all executors see: spark.checkpoint.dir, or the warehouse where that is unset."""
+    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
