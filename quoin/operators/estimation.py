@@ -160,66 +160,3 @@ def otsu(histogram: DataFrame, by: list[str], value: str = "value", count: str =
     right = F.col("_all_n") - F.col("_n")
     spread = F.when(right > 0, F.col("_n") * right * F.pow(F.col("_s") / F.col("_n") - (F.col("_all_s") - F.col("_s")) / right, F.lit(2.0)))
     return rows.groupBy(*by).agg(F.max_by(value, F.struct(F.round(spread, 6), -F.col(value))).alias("threshold"))
-
-
-def solve_walls(walls: list[dict], terms: list[dict], scale: float, rounds: int = 40) -> tuple[np.ndarray, float, np.ndarray]:
-    """Wall coordinates and scale under soft terms, by reweighted Gauss-Newton steps.
-
-    walls: lo, hi, centre, thickness; terms: coefs {(wall, field): factor}, value, sigma, and for
-    metric terms metres (the pixels times the scale should be that long). Returns the coordinates
-    (walls x 4), the scale and each term's residual over its sigma."""
-    fields = ("lo", "hi", "centre", "thickness")
-    x0 = np.array([[w[f] for f in fields] for w in walls], dtype=float).ravel()
-    x = np.append(x0, np.log(scale))
-    sigma = np.tile([0.0] * 4, len(walls))
-    for i, w in enumerate(walls):
-        sigma[4 * i : 4 * i + 4] = [max(1.0, 0.3 * w["thickness"])] * 3 + [2.0]
-
-    def residuals(x, jac):
-        r, rows = [], []
-        for i in range(len(x0)):
-            r.append((x[i] - x0[i]) / sigma[i])
-            if jac:
-                row = np.zeros(len(x))
-                row[i] = 1 / sigma[i]
-                rows.append(row)
-        for t in terms:
-            row = np.zeros(len(x))
-            for (w, f), c in t["coefs"].items():
-                row[4 * w + fields.index(f)] += c
-            px = row[:-1] @ x[:-1]
-            if "metres" in t:
-                s = np.exp(x[-1])
-                r.append((px * s - t["metres"]) / t["sigma"])
-                row = row * s
-                row[-1] = px * s
-            else:
-                r.append((px - t["value"]) / t["sigma"])
-            if jac:
-                rows.append(row / t["sigma"])
-        r.append((x[-1] - np.log(scale)) / 0.15)
-        if jac:
-            row = np.zeros(len(x))
-            row[-1] = 1 / 0.15
-            rows.append(row)
-        return np.array(r), np.array(rows)
-
-    cost = lambda r: np.where(np.abs(r) <= 1, r**2 / 2, np.abs(r) - 0.5).sum()
-    damp = 1e-3
-    r, j = residuals(x, True)
-    for _ in range(rounds):
-        w = np.where(np.abs(r) <= 1, 1.0, 1 / np.maximum(np.abs(r), 1e-12))
-        a = j.T @ (j * w[:, None])
-        step = np.linalg.solve(a + damp * np.diag(np.diag(a) + 1e-9), -j.T @ (w * r))
-        new, _ = residuals(x + step, False)
-        if cost(new) < cost(r):
-            done = cost(r) - cost(new) < 1e-10
-            x, damp = x + step, max(damp / 5, 1e-9)
-            r, j = residuals(x, True)
-            if done:
-                break
-        else:
-            damp *= 8
-            if damp > 1e8:
-                break
-    return x[:-1].reshape(-1, 4), float(np.exp(x[-1])), r[len(x0) : -1]

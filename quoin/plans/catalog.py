@@ -771,3 +771,6 @@ WITH {EV} SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS start, count(*)
 def stage_progress(spark, sf_dir):
     out = runs.stage_progress(table(spark, sf_dir, "events"))
     return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", r("total").alias("total"))
+
+
+from quoin.plans import plan_queries  # noqa: E402, F401  adds its queries to those above

@@ -127,14 +127,6 @@ def test_otsu(spark):
     assert estimation.otsu(h, ["k"]).first().threshold == 12
 
 
-def test_wall_solver():
-    walls = [{"lo": 0, "hi": 400, "centre": 0, "thickness": 10}, {"lo": 0, "hi": 300, "centre": 403, "thickness": 10}]
-    terms = [{"coefs": {(0, "hi"): 1.0, (1, "centre"): -1.0}, "value": 0.0, "sigma": 0.5}] + [{"coefs": {(0, "hi"): 1.0, (0, "lo"): -1.0}, "metres": 4.0, "sigma": 0.02} for _ in range(3)] + [{"coefs": {(0, "hi"): 1.0, (0, "lo"): -1.0}, "metres": 6.0, "sigma": 0.02}]
-    x, scale, r = estimation.solve_walls(walls, terms, 0.0098)
-    assert abs(x[0, 1] - x[1, 2]) < 0.6 and (x[0, 1] - x[0, 0]) * scale == pytest.approx(4.0, abs=0.05)
-    assert abs(r[-1]) > 3 and all(abs(v) < 3 for v in r[:-1])
-
-
 def test_image_scores(spark):
     rows = [("s", u, v, ((u + v) % 7) / 7) for u in range(16) for v in range(16)]
     df = spark.createDataFrame(rows, "scene string, u int, v int, a double").withColumn("b", F.col("a"))
