@@ -208,13 +208,23 @@ def psnr(pairs: DataFrame, by: list[str], a: str, b: str, mask: Column | None =
     return rows.groupBy(*by).agg((10 * F.log10(1 / F.greatest(F.avg((F.col(a) - F.col(b)) ** 2), F.lit(1e-12)))).alias("psnr"))
 
 
-def ssim(pixels: DataFrame, by: list[str], a: str = "a", b: str = "b", block: int = 8) -> DataFrame:
-    """Mean structural similarity over blocks of pixels (u, v); values in 0 to 1."""
-    rows = pixels.groupBy(*by, F.floor(F.col("u") / block).alias("_i"), F.floor(F.col("v") / block).alias("_j"))
-    rows = rows.agg(F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.var_pop(a).alias("va"), F.var_pop(b).alias("vb"), F.covar_pop(a, b).alias("c"))
+def ssim(pixels: DataFrame, by: list[str], a: str = "a", b: str = "b", window: int = 7) -> DataFrame:
+    """Mean structural similarity over all square windows of pixels (u, v) that are whole; values in 0 to 1. Images
+    smaller than the window, or with a gap in every window, are absent.
+
+    Sums over windows are running sums along the rows, then along the columns: two windows, whatever their size."""
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    moments = {"_n": F.lit(1), "_x": x, "_y": y, "_xx": x * x, "_yy": y * y, "_xy": x * y}
+    rows = pixels.where(x.isNotNull() & y.isNotNull()).select(*by, "u", "v", *(c.alias(n) for n, c in moments.items()))
+    for across, along in (("v", "u"), ("u", "v")):
+        w = Window.partitionBy(*by, across).orderBy(along).rangeBetween(1 - window, 0)
+        rows = rows.select(*by, "u", "v", *(F.sum(n).over(w).alias(n) for n in moments))
+    n = window * window
+    mean = {c: F.col(c) / n for c in moments}
+    spread = lambda c, p, q: (mean[c] - mean[p] * mean[q]) * n / (n - 1)
     c1, c2 = 0.01**2, 0.03**2
-    s = (2 * F.col("ma") * F.col("mb") + c1) * (2 * F.col("c") + c2) / ((F.col("ma") ** 2 + F.col("mb") ** 2 + c1) * (F.col("va") + F.col("vb") + c2))
-    return rows.groupBy(*by).agg(F.avg(s).alias("ssim"))
+    s = (2 * mean["_x"] * mean["_y"] + c1) * (2 * spread("_xy", "_x", "_y") + c2) / ((mean["_x"] * mean["_x"] + mean["_y"] * mean["_y"] + c1) * (spread("_xx", "_x", "_x") + spread("_yy", "_y", "_y") + c2))
+    return rows.where(F.col("_n") == n).groupBy(*by).agg(F.avg(s).alias("ssim"))
 
 
 def extract_surface(voxels: DataFrame, voxel: float, least: float = 1.0) -> tuple[DataFrame, DataFrame]:
