@@ -19,7 +19,7 @@ WIDTHS = (3, 4, 5)  # bytes of an n-gram
 SLOTS = 1 << 20
 LOOKUPS = 2
 DOCS_PER_LANGUAGE = 2000  # of training, chosen by hash; a bound on fitting only
-LANGUAGES = 4096  # at most; more distinct values of lang than that are no languages
+LANGUAGES = 4096  # at most: of more distinct values of lang the commonest are learned (a bound on fitting only)
 
 _LETTER = ALNUM.copy()
 _LETTER[48:58] = False
@@ -81,12 +81,11 @@ def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, slots: int = S
 
     Every n-gram that a language's texts hold sets that language's bit: a look-up returns all
     languages that contain it. What comes to the driver is the filter, whose size is fixed.
-    Rows without a language are left out; no rows give a filter without languages."""
+    Rows without a language are left out, as are those of languages beyond the LANGUAGES commonest; no rows give a filter without languages."""
     small_batches(docs.sparkSession)
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    counts = dict(sorted((r[0], r[1]) for r in docs.groupBy("lang").count().limit(LANGUAGES + 1).collect()))
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"lang has more than {LANGUAGES} values: a filter has a bit for each")
+    common = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    counts = dict(sorted((r[0], r[1]) for r in common.collect()))
     languages = list(counts)
     if not languages:
         return Filter(np.zeros((slots, 1), dtype=U64), [])

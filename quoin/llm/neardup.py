@@ -266,9 +266,10 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
 def deduplicate(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents with one of each group of near duplicates, of the least doc_id; all columns stay.
     Rows are told apart by doc_id and text: of rows with one doc_id and equal texts one stays, and
-    of those with other texts each that is no near duplicate."""
-    sketched, classes = _groups(docs, words, percent)
-    key = "_near_duplicates_row"
-    kept = classes.where("id = head").select(F.col("id").alias(key)).unionByName(sketched.where("n_shingles = 0").select(F.col("row").alias(key)))
-    one = docs.withColumn(key, row_key()).join(kept.distinct(), key)
-    return one.dropDuplicates([key]).select(*docs.columns)
+    of those with other texts each that is no near duplicate. Rows without words are linked with
+    nothing and all stay, repeated ones too; an empty table gives none."""
+    _, classes = _groups(docs, words, percent)
+    key, worded = "_near_duplicates_row", F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = classes.where("id = head").select(F.col("id").alias(key))
+    one = docs.where(worded).withColumn(key, row_key()).join(kept.distinct(), key)
+    return one.dropDuplicates([key]).select(*docs.columns).unionByName(docs.where(~worded))

@@ -141,14 +141,17 @@ def _placed(rows: DataFrame, salted: DataFrame, lengths: Sequence[int], key: str
         first += p.count
     ranges.append((0, 0, 1 << 60, -1, 0, 0))
     table = np.array(sorted(ranges), dtype=np.int64)
-    start = (table[:, 0] << 44) | table[:, 1]
+    # one number for (length, rank): ranks of a length go on from those of all shorter ones
+    sizes = np.unique(table[:, 0])
+    shorter = np.append(0, np.cumsum([histogram.get(n, 0) for n in sizes.tolist()]))[:-1]
+    start = shorter[np.searchsorted(sizes, table[:, 0])] + table[:, 1]
 
     @F.pandas_udf("bin_id long, bin_tokens long, bin_start long")
     def place(tokens, rank):
         import pandas as pd
 
         n, r = tokens.to_numpy(dtype=np.int64), rank.to_numpy(dtype=np.int64)
-        _, lo, fit, first, at, capacity = table[np.searchsorted(start, (n << 44) | r, side="right") - 1].T
+        _, lo, fit, first, at, capacity = table[np.searchsorted(start, shorter[np.searchsorted(sizes, n)] + r, side="right") - 1].T
         return pd.DataFrame({"bin_id": first + (r - lo) // fit, "bin_tokens": capacity, "bin_start": at + (r - lo) % fit * n})
 
     # rank among equal lengths: groups of a bounded size by a salt, then the counts of the salts before
