@@ -4,13 +4,15 @@ Markup is stripped to text blocks, one line for each; the text lengths of every
 lines form a distribution in which the article is a plateau. It begins at a surge (a window
 over the threshold after lines without text of their own) and ends at a dive. Lines between are
 kept. Elements and names of classes only weigh the lengths: links and what is in navigation, headers
-and footers count for nothing, lines named as notices and the like for little.
+and footers count for nothing, lines named as notices and the like for little. A line inside the
+article that weighs under half of what most of the plateau weighs is a dive of its own.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -28,17 +30,18 @@ ASIDE = frozenset("nav header footer aside menu dialog".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class and id names that mark what is beside the article, alone or with words of place and form.
-_BESIDE = "ads? advert advertisement advertising banner breadcrumbs? comments? cookies? consent disqus footer header masthead menu nav navbar navigation newsletter notice pager pagination popup promo promotion related replies share sharing sidebar social sponsor sponsored subscribe teaser toolbar widget widgets"
-_FORM = "area bar block bottom box container global group inner item items left link links list main outer page panel primary right secondary section site slot thread top unit wrap wrapper"
-BESIDE = re.compile(rf"(?:(?:{'|'.join(_FORM.split())})[_-]+)*(?:{'|'.join(_BESIDE.split())})(?:[_-]+(?:{'|'.join(_FORM.split())}|\d+))*", re.I)
+_BESIDE = "ads? advert advertisement advertising banner breadcrumbs? comments? cookies? consent disqus footer header masthead menu nav navbar navigation newsletter notice outbrain pager pagination popup popular promo promotion recommendations? recommended related replies share sharing sidebar social sponsor sponsored subscribe taboola teaser toolbar trending widget widgets"
+_FORM = "area bar block body bottom box container form global group inner item items left link links list main outer page panel primary right secondary section signup site slot thread top unit wrap wrapper"
+_PART = "|".join(_FORM.split() + _BESIDE.split())
+BESIDE = re.compile(rf"(?:(?:{_PART})[_-]+)*(?:{'|'.join(_BESIDE.split())})(?:[_-]+(?:{_PART}|\d+))*", re.I)
 #: Headings after which readers have the word.
 READERS = re.compile(r"(?:\d+\s+)?(?:readers?\W*s?\s+|user\s+|leser)?(?:comments?|responses|replies|discussion|kommentare?|commentaires?|comentarios?)(?:\s*\(?\d+\)?)?\s*:?", re.I)
 HEADS = frozenset("h1 h2 h3 h4 h5 h6 dt legend summary caption".split())
 LEAVES = HEADS | frozenset("p li pre blockquote td th dd figcaption address".split())
 
-#: What a line's length counts for: beside the article by its names; outside the article element where there is one;
-#: and under a heading of readers' comments.
-NAMED, OUTSIDE, READ = 0.1, 0.5, 0.01
+#: What a line's length counts for: beside the article by its names, for each element so named around it; outside
+#: the article element where there is one; and under a heading of readers' comments.
+NAMED, OUTSIDE, READ = 0.1, 0.1, 0.01
 
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -49,8 +52,7 @@ _SPACE = re.compile(r"\s+")
 
 class Line(NamedTuple):
     """A block's text, its characters that are links, its weight, the element whose child it is (or that
-    holds it, if that is no paragraph or the like), the innermost block around it and that one's tag, and
-    the innermost element around it whose names put it beside the article, or 0.
+    holds it, if that is no paragraph or the like), and the innermost block around it and that one's tag.
     Elements are numbered in page order from 1; 0 is the page."""
 
     text: str
@@ -59,7 +61,6 @@ class Line(NamedTuple):
     home: int
     leaf: int
     tag: str
-    named: int
 
 
 class _Open(NamedTuple):
@@ -77,21 +78,23 @@ class Page:
         self.lines: list[Line] = []
         self.last: list[int] = [0]
         self.tags: list[str] = [""]
+        self.parents: list[int] = [0]
+        self.article: list[int] = [0]  # the innermost article around each element, or itself
         self._stack: list[_Open] = []
         self._at: dict[str, list[int]] = {}  # where on the stack each tag stands
         self._blocks: list[int] = []  # where on it block elements stand
-        self._hidden = self._aside = self._link = 0
-        self._named: list[int] = []
+        self._hidden = self._aside = self._link = self._named = 0
         self._parts: list[tuple[str, bool]] = []
-        self._within = False  # an article element is on the page
+        self._articles: list[int] = []  # outermost article elements, in page order; none holds another
         self._read(page)
         self.last[0] = len(self.last) - 1
-        if self._within:
+        if self._articles:
             self.lines = [x._replace(weight=x.weight * OUTSIDE) if not self._inside(x.leaf) else x for x in self.lines]
         self._hear_readers()
 
     def _inside(self, number: int) -> bool:
-        return any(a <= number <= self.last[a] for a in self._articles)
+        i = bisect_right(self._articles, number)
+        return i > 0 and self.covers(self._articles[i - 1], number)
 
     def covers(self, element: int, number: int) -> bool:
         return element <= number <= self.last[element]
@@ -109,8 +112,8 @@ class Page:
         home = leaf.number if leaf else 0
         if leaf and leaf.tag in LEAVES:
             home = self._stack[self._blocks[-2]].number if len(self._blocks) > 1 else 0
-        weight = 0.0 if self._aside else NAMED if self._named else 1.0
-        self.lines.append(Line(text, min(linked, len(text)), weight, home, leaf.number if leaf else 0, leaf.tag if leaf else "", self._named[-1] if self._named else 0))
+        weight = 0.0 if self._aside else max(NAMED**self._named, 1e-9)
+        self.lines.append(Line(text, min(linked, len(text)), weight, home, leaf.number if leaf else 0, leaf.tag if leaf else ""))
 
     def _leave(self) -> None:
         x = self._stack.pop()
@@ -119,8 +122,7 @@ class Page:
             self._blocks.pop()
         self._hidden -= x.hidden
         self._aside -= x.aside
-        if x.named:
-            self._named.pop()
+        self._named -= x.named
         self._link -= x.tag == "a"
         self.last[x.number] = len(self.last) - 1
 
@@ -130,9 +132,10 @@ class Page:
         number = len(self.last)
         self.last.append(number)
         self.tags.append(tag)
+        self.parents.append(self._stack[-1].number if self._stack else 0)
+        self.article.append(number if tag == "article" else self.article[self.parents[-1]])
         if tag in ("article", "main") and not in_article:
             self._articles.append(number)
-            self._within = True
         x = _Open(
             tag, number, tag in HIDDEN or bool(attributes and _UNSEEN.search(" " + attributes)),
             tag in ASIDE and not (tag == "header" and in_article),
@@ -140,8 +143,7 @@ class Page:
         )
         self._hidden += x.hidden
         self._aside += x.aside
-        if x.named:
-            self._named.append(number)
+        self._named += x.named
         self._link += tag == "a"
         self._at.setdefault(tag, []).append(len(self._stack))
         if tag not in INLINE:
@@ -161,7 +163,6 @@ class Page:
             self._parts.append((text, self._link > 0))
 
     def _read(self, page: str) -> None:
-        self._articles: list[int] = []
         at, end = 0, page.rfind(">")
         while True:
             i = page.find("<", at)
@@ -239,35 +240,77 @@ def plateau(sizes: list[float], window: int = WINDOW, surge: float = SURGE) -> t
     return lo, hi + 1
 
 
-def main_text(page: str | None) -> str:
-    """The article's blocks, one on a line; empty where there is none.
-
-    Surge and dive of the weighted lengths decide. A short first or last paragraph is no dive: the edges
-    move on over lines in the element that holds most of the plateau, up to lines of other weight.
-    Kept are the lines of the kind (weight, and element that sets it by its names) that most of the plateau
-    is of: names of classes tell lines apart but drop no page as a whole."""
-    found = Page(page or "")
+def _homes(found: Page, lines: list[Line], sizes: list[float]) -> tuple[int, list[tuple[int, int]]]:
+    """The element that holds most of these lines' text; and first and last element of all that hold some, and of
+    articles next to one of these, as disjoint ranges in page order, but for the page's body."""
+    shares: dict[int, float] = {}
+    for x, size in zip(lines, sizes, strict=True):
+        if size:
+            shares[x.home] = shares.get(x.home, 0) + size
+    whole = {h for h in shares if found.tags[h] not in ("", "html", "body")}
+    beside = {found.parents[found.article[h]] for h in whole if found.article[h]}
+    if beside:
+        whole |= {n for n, tag in enumerate(found.tags) if tag == "article" and found.parents[n] in beside}
+    ranges: list[tuple[int, int]] = []
+    for h in sorted(whole):
+        if not ranges or h > ranges[-1][1]:
+            ranges.append((h, found.last[h]))
+    return max(shares, key=lambda h: (shares[h], -h)), ranges
+
+
+def edges(found: Page, sizes: list[float]) -> tuple[int, int, float]:
+    """First and last + 1 of the article's lines, and what most of their text weighs. A short first or last paragraph is
+    no dive: from the plateau's ends the edges move on over lines of the elements that the plateau is the text of,
+    past lines that weigh little; then back over lists of links."""
     lines = found.lines
-    sizes = [(len(x.text) - x.linked) * x.weight for x in lines]
     lo, hi = plateau(sizes)
     if lo == hi:
-        return ""
-    by_home: dict[int, float] = {}
-    by_kind: dict[tuple[float, int], float] = {}
-    for x, size in zip(lines[lo:hi], sizes[lo:hi], strict=True):
-        by_home[x.home] = by_home.get(x.home, 0) + size
-        by_kind[x.weight, x.named] = by_kind.get((x.weight, x.named), 0) + size
-    home = max(by_home, key=lambda h: (by_home[h], -h))
-    kind = max(by_kind, key=lambda k: (by_kind[k], k))
+        return lo, hi, 0.0
+    heavy = _weight(lines[lo:hi], sizes[lo:hi])
+    most, ranges = _homes(found, lines[lo:hi], [s if 2 * x.weight >= heavy else 0.0 for x, s in zip(lines[lo:hi], sizes[lo:hi], strict=True)])
+    starts = [a for a, _ in ranges]
 
     def at_home(x: Line) -> bool:
-        return x.home == home or found.covers(home, x.leaf) and home > 0 and found.tags[home] not in ("html", "body")
+        i = bisect_right(starts, x.leaf)
+        return x.home == most or i > 0 and x.leaf <= ranges[i - 1][1]
 
-    while lo and at_home(lines[lo - 1]):
-        lo -= 1
-    while hi < len(lines) and at_home(lines[hi]):
-        hi += 1
-    return "\n".join(x.text for x in lines[lo:hi] if (x.weight, x.named) == kind and (2 * x.linked <= len(x.text) or x.tag in HEADS | {"p"}))
+    def links(x: Line) -> bool:
+        return 2 * x.linked > len(x.text) and x.tag not in HEADS and x.tag != "p"
+
+    def move(edge: int, ahead: range) -> int:
+        for i in ahead:
+            if at_home(lines[i]):
+                edge = i
+            elif 2 * lines[i].weight >= heavy:
+                break
+        return edge
+
+    first, last = move(lo, range(lo - 1, -1, -1)), move(hi - 1, range(hi, len(lines)))
+    while first < lo and (links(lines[first]) or 2 * lines[first].weight < heavy):
+        first += 1
+    while last >= hi and (links(lines[last]) or 2 * lines[last].weight < heavy):
+        last -= 1
+    return first, last + 1, heavy
+
+
+def _weight(lines: list[Line], sizes: list[float]) -> float:
+    """The weight that most of these lines' text has."""
+    by: dict[float, float] = {}
+    for x, size in zip(lines, sizes, strict=True):
+        by[x.weight] = by.get(x.weight, 0) + size
+    return max(by, key=lambda w: (by[w], w))
+
+
+def main_text(page: str | None) -> str:
+    """The article's blocks, one on a line; empty where there is none.
+
+    Surge and dive of the weighted lengths decide, see `plateau` and `edges`; of the lines between, those go that weigh
+    under half of what most of the plateau's text weighs. So names of classes tell lines apart but drop no page as a
+    whole, and a block inside the article that is mostly a link stays."""
+    found = Page(page or "")
+    sizes = [(len(x.text) - x.linked) * x.weight for x in found.lines]
+    lo, hi, heavy = edges(found, sizes)
+    return "\n".join(x.text for x in found.lines[lo:hi] if 2 * x.weight >= heavy)
 
 
 def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:

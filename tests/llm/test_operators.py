@@ -268,6 +268,9 @@ def test_language_against_sets(spark, sf_dir):
         assert hits[r.lang_pred] >= top - 2 - 0.02 * n
 
 
+LONG = "Some words of the article, which go on for a while. " * 5 + "End."
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
@@ -275,6 +278,17 @@ def test_language_against_sets(spark, sf_dir):
         ("<nav><a>x</a></nav><article><h1>A</h1><p>b<b>c</b>\n d<br>e</p><p>&eacute;&#33;</article><footer>z</footer>", "A\nbc d e\né!"),
         ("<header>Top</header><div class='content'><p>" + "word " * 40 + "</p><p>" + "more " * 40 + "</p></div><div class=sidebar>s</div><form>q</form><div id='comments'><p>" + "no " * 50 + "</p></div>", "word " * 39 + "word\n" + "more " * 39 + "more"),
         ("<script>var t='</p>';<p>x</script><style>p{}</style><p>y<p>z", "y\nz"),
+        # list items and blocks of links inside the article stay, a list of links after its end goes
+        (f"<article><h1>T</h1><p>{LONG}</p><ul><li><a href=a>one</a><li>see <a href=b>two and more</a></ul><div><a href=c>three</a></div><p>{LONG}</p></article>", f"T\n{LONG}\none\nsee two and more\nthree\n{LONG}"),
+        (f"<article><h1>T</h1><p>{LONG}</p><p>End.</p><ul><li><a href=a>one</a><li><a href=b>two</a></ul></article>", f"T\n{LONG}\nEnd."),
+        # all articles of a page, with their headings and short last paragraphs, an advert between or not
+        (f"<main><article><h2>A</h2><p>{LONG}</p><p>x.</p></article><article><h2>B</h2><p>{LONG}</p><p>y.</p></article></main>", f"A\n{LONG}\nx.\nB\n{LONG}\ny."),
+        (f"<article><h2>A</h2><p>{LONG}</p><p>x.</p></article><div class=ad><p>buy<p>buy<p>buy<p>{LONG}</div><article><h2>B</h2><p>{LONG}</p></article><div class=zz>else</div>", f"A\n{LONG}\nx.\nB\n{LONG}"),
+        # names of two words, within the article too
+        (f"<article><div class=cookie-banner>We use cookies.</div><h1>T</h1><p>{LONG}</p><div class=recommended>Also read</div><p>{LONG}</p><div id=newsletter-signup-form><p>Write</p></div></article>", f"T\n{LONG}\n{LONG}"),
+        # a short article beside a long block of unknown class; a page all of whose text is under a name, with such a name inside
+        (f"<div class=zz><p>{LONG * 4}</p></div><article><h1>T</h1><p>{LONG}</p></article>", f"T\n{LONG}"),
+        (f"<div class='banner'><h1>T</h1><p>{LONG}</p><div class=share>Tell all</div><p>End.</p></div>", f"T\n{LONG}\nEnd."),
     ],
 )
 def test_main_text(page, text):
@@ -323,7 +337,7 @@ def test_long_pages():
     """A megabyte of tags that never end, of every kind, is read in one pass."""
     import time
 
-    for piece in ("<a ", "<div>", "<div><p>x ", "<a href='", '<b x="', "</b>", "<b><div></b>", "<!-- ", "<p class=a>y</div>", "<![CDATA[", "&#", "< "):
+    for piece in ("<a ", "<div>", "<div><p>x ", "<a href='", '<b x="', "</b>", "<b><div></b>", "<!-- ", "<p class=a>y</div>", "<![CDATA[", "&#", "< ", "<article>x</article>", "<article><div><p>some words ", "<div><div class=ad>x ", "<p><article>x<h2>comments</h2></article>"):
         began = time.perf_counter()
         html.main_text("<p>" + piece * (1_000_000 // len(piece)))
         html.main_text("<p>" + piece * (1_000_000 // len(piece)) + ">")
