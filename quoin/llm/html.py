@@ -52,7 +52,8 @@ _SPACE = re.compile(r"\s+")
 
 class Line(NamedTuple):
     """A block's text, its characters that are links, its weight, the element whose child it is (or that
-    holds it, if that is no paragraph or the like), and the innermost block around it and that one's tag.
+    holds it, if that is no paragraph or the like), the innermost block around it and that one's tag, and
+    the innermost element around it whose names put it beside the article, or 0.
     Elements are numbered in page order from 1; 0 is the page."""
 
     text: str
@@ -61,6 +62,7 @@ class Line(NamedTuple):
     home: int
     leaf: int
     tag: str
+    named: int
 
 
 class _Open(NamedTuple):
@@ -83,7 +85,8 @@ class Page:
         self._stack: list[_Open] = []
         self._at: dict[str, list[int]] = {}  # where on the stack each tag stands
         self._blocks: list[int] = []  # where on it block elements stand
-        self._hidden = self._aside = self._link = self._named = 0
+        self._hidden = self._aside = self._link = 0
+        self._named: list[int] = []
         self._parts: list[tuple[str, bool]] = []
         self._articles: list[int] = []  # outermost article elements, in page order; none holds another
         self._read(page)
@@ -112,8 +115,8 @@ class Page:
         home = leaf.number if leaf else 0
         if leaf and leaf.tag in LEAVES:
             home = self._stack[self._blocks[-2]].number if len(self._blocks) > 1 else 0
-        weight = 0.0 if self._aside else max(NAMED**self._named, 1e-9)
-        self.lines.append(Line(text, min(linked, len(text)), weight, home, leaf.number if leaf else 0, leaf.tag if leaf else ""))
+        weight = 0.0 if self._aside else max(NAMED ** len(self._named), 1e-9)
+        self.lines.append(Line(text, min(linked, len(text)), weight, home, leaf.number if leaf else 0, leaf.tag if leaf else "", self._named[-1] if self._named else 0))
 
     def _leave(self) -> None:
         x = self._stack.pop()
@@ -122,7 +125,8 @@ class Page:
             self._blocks.pop()
         self._hidden -= x.hidden
         self._aside -= x.aside
-        self._named -= x.named
+        if x.named:
+            self._named.pop()
         self._link -= x.tag == "a"
         self.last[x.number] = len(self.last) - 1
 
@@ -143,7 +147,8 @@ class Page:
         )
         self._hidden += x.hidden
         self._aside += x.aside
-        self._named += x.named
+        if x.named:
+            self._named.append(number)
         self._link += tag == "a"
         self._at.setdefault(tag, []).append(len(self._stack))
         if tag not in INLINE:
@@ -261,18 +266,23 @@ def _homes(found: Page, lines: list[Line], sizes: list[float]) -> tuple[int, lis
 def edges(found: Page, sizes: list[float]) -> tuple[int, int, float]:
     """First and last + 1 of the article's lines, and what most of their text weighs. A short first or last paragraph is
     no dive: from the plateau's ends the edges move on over lines of the elements that the plateau is the text of,
-    past lines that weigh little; then back over lists of links."""
+    past lines that weigh little; then back over lists of links. An article that is itself under a name (all of the
+    page, or its class is an odd one) ends where the element of that name does."""
     lines = found.lines
     lo, hi = plateau(sizes)
     if lo == hi:
         return lo, hi, 0.0
-    heavy = _weight(lines[lo:hi], sizes[lo:hi])
+    heavy, around = _weight(lines[lo:hi], sizes[lo:hi])
+    while not found.covers(around, lines[lo].leaf):
+        lo += 1
+    while not found.covers(around, lines[hi - 1].leaf):
+        hi -= 1
     most, ranges = _homes(found, lines[lo:hi], [s if 2 * x.weight >= heavy else 0.0 for x, s in zip(lines[lo:hi], sizes[lo:hi], strict=True)])
     starts = [a for a, _ in ranges]
 
     def at_home(x: Line) -> bool:
         i = bisect_right(starts, x.leaf)
-        return x.home == most or i > 0 and x.leaf <= ranges[i - 1][1]
+        return found.covers(around, x.leaf) and (x.home == most or i > 0 and x.leaf <= ranges[i - 1][1])
 
     def links(x: Line) -> bool:
         return 2 * x.linked > len(x.text) and x.tag not in HEADS and x.tag != "p"
@@ -293,12 +303,12 @@ def edges(found: Page, sizes: list[float]) -> tuple[int, int, float]:
     return first, last + 1, heavy
 
 
-def _weight(lines: list[Line], sizes: list[float]) -> float:
-    """The weight that most of these lines' text has."""
-    by: dict[float, float] = {}
+def _weight(lines: list[Line], sizes: list[float]) -> tuple[float, int]:
+    """The weight that most of these lines' text has, and the element whose names set it, or 0."""
+    by: dict[tuple[float, int], float] = {}
     for x, size in zip(lines, sizes, strict=True):
-        by[x.weight] = by.get(x.weight, 0) + size
-    return max(by, key=lambda w: (by[w], w))
+        by[x.weight, x.named] = by.get((x.weight, x.named), 0) + size
+    return max(by, key=lambda k: (by[k], k))
 
 
 def main_text(page: str | None) -> str:
