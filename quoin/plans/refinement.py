@@ -66,7 +66,7 @@ def junctions(walls: DataFrame, touch: float = TOUCH) -> DataFrame:
     ends = walls.select("plan_id", "way", "slot", "centre", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("at")) for f, c in ((LO, "lo"), (HI, "hi"))])).alias("e"))
     ends = ends.select("plan_id", F.when(F.col("way") == "h", "v").otherwise("h").alias("way"), "slot", F.col("centre").alias("across"), "e.field", "e.at").withColumn("bucket", _near(F.col("at"), touch))
     lines = walls.select("plan_id", "way", F.col("slot").alias("other"), F.col("centre").alias("line"), (F.col("lo") - F.col("thickness")).alias("from"), (F.col("hi") + F.col("thickness")).alias("to"), _near(F.col("centre"), touch, True).alias("bucket"))
-    found = ends.join(lines, ["plan_id", "way", "bucket"]).where((F.abs(F.col("at") - F.col("line")) < touch) & F.col("across").between(F.col("from"), F.col("to")))
+    found = ends.hint("merge").join(lines, ["plan_id", "way", "bucket"]).where((F.abs(F.col("at") - F.col("line")) < touch) & F.col("across").between(F.col("from"), F.col("to")))
     return found.select("plan_id", "slot", "field", "other")
 
 
@@ -77,7 +77,7 @@ def in_line(walls: DataFrame) -> DataFrame:
     a = rows.select("plan_id", "way", "slot", "centre", "thickness", _near(F.col("centre"), F.col("wide")).alias("bucket"))
     b = rows.select("plan_id", "way", F.col("slot").alias("other"), F.col("centre").alias("line"), F.col("thickness").alias("thick"), _near(F.col("centre"), F.col("wide"), True).alias("bucket"))
     gap = F.abs(F.col("centre") - F.col("line"))
-    return a.join(b, ["plan_id", "way", "bucket"]).where("slot < other").where((gap < F.least("thickness", "thick") / 2) & (gap > 1e-6)).select("plan_id", "slot", "other")
+    return a.hint("merge").join(b, ["plan_id", "way", "bucket"]).where("slot < other").where((gap < F.least("thickness", "thick") / 2) & (gap > 1e-6)).select("plan_id", "slot", "other")
 
 
 def _boxes(rooms: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def room_faces(rooms: DataFrame, walls: DataFrame, reach: float = FACE) -> DataF
     asked = _boxes(rooms).select("plan_id", "room", sides.alias("s")).select("plan_id", "room", "s.*").withColumn("bucket", _near(F.col("face"), reach))
     faces = walls.withColumn("off", F.explode(F.array(F.lit(1.0), F.lit(-1.0)))).withColumn("at", F.col("centre") + F.col("off") * F.col("thickness") / 2)
     faces = faces.select("plan_id", "way", "off", "slot", "lo", "hi", "at", _near(F.col("at"), reach, True).alias("bucket"))
-    found = asked.join(faces, ["plan_id", "way", "off", "bucket"]).withColumn("d", F.abs(F.col("at") - F.col("face"))).where((F.col("d") < reach) & F.col("middle").between(F.col("lo"), F.col("hi")))
+    found = asked.hint("merge").join(faces, ["plan_id", "way", "off", "bucket"]).withColumn("d", F.abs(F.col("at") - F.col("face"))).where((F.col("d") < reach) & F.col("middle").between(F.col("lo"), F.col("hi")))
     return found.withColumn("_n", F.row_number().over(_by_plan("room", "side").orderBy("d", "slot"))).where("_n = 1").select("plan_id", "room", "side", "slot", "off")
 
 
@@ -128,29 +128,29 @@ def terms(walls: DataFrame, rooms: DataFrame, dimensions: DataFrame, scales: Dat
     Dimension texts that name a wall that doesn't move, a room without walls at its sides, or nothing that has an
     area, make no term. Plans with fewer than two walls that move, or without a positive scale, have no terms."""
     moving = model(walls)
-    size = moving.groupBy("plan_id").agg(F.count("*").alias("n_walls")).where("n_walls >= 2").join(scales.where("scale > 0").select("plan_id", F.log("scale").alias("log_s")), "plan_id")
+    size = moving.groupBy("plan_id").agg(F.count("*").alias("n_walls")).where("n_walls >= 2").hint("merge").join(scales.where("scale > 0").select("plan_id", F.log("scale").alias("log_s")), "plan_id")
     typical = walls.groupBy("plan_id").agg(F.greatest(F.lit(1.0), 0.3 * F.median("thickness")).alias("sd"))
-    moving = checkpointed(moving.join(size.select("plan_id", "n_walls"), "plan_id"))  # nine kinds of terms are made from it
+    moving = checkpointed(moving.hint("merge").join(size.select("plan_id", "n_walls"), "plan_id"))  # nine kinds of terms are made from it
     plan, last = size, F.col("n_walls") * 4
 
     found = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("at"), (F.lit(2.0) if f == THICKNESS else F.col("sd")).alias("s")) for f, c in ((CENTRE, "centre"), (LO, "lo"), (HI, "hi"), (THICKNESS, "thickness"))]))
-    data = moving.join(typical, "plan_id").select("plan_id", "slot", found.alias("d"))
+    data = moving.hint("merge").join(typical, "plan_id").select("plan_id", "slot", found.alias("d"))
     out = {"data": [_term(data, "data", [(_at("slot", F.col("d.field")), 1.0)], F.col("d.at"), F.col("d.s"))]}
     out["junction"] = [_term(junctions(moving), "junction", [(_at("slot", F.col("field")), 1.0), (_at("other", CENTRE), -1.0)], 0.0, 0.5)]
     out["align"] = [_term(in_line(moving), "align", [(_at("slot", CENTRE), 1.0), (_at("other", CENTRE), -1.0)], 0.0, 1.0)]
 
     alike = sequence.ratio_clusters(moving, ["plan_id"], "thickness", 1.3)
     members = alike.groupBy("plan_id", "cluster").agg(F.sort_array(F.collect_list("slot")).alias("slots")).where(F.size("slots") > 1)
-    alike = alike.join(members, ["plan_id", "cluster"])
+    alike = alike.hint("merge").join(members, ["plan_id", "cluster"])
     shares = F.transform("slots", lambda s: F.when(s == F.col("slot"), 1.0).otherwise(0.0) - 1.0 / F.size("slots"))
     out["thickness"] = [_term(alike, "thickness", [(_at("slot", THICKNESS), 1.0)], 0.0, 3.0, cluster=F.col("cluster"), members=(F.transform("slots", lambda s: s * 4 + THICKNESS), shares))]
     out["scale"] = [_term(plan, "scale", [(last, 1.0)], F.col("log_s"), 0.15)]
 
     slots = lambda name: moving.select("plan_id", F.col("wall").alias(f"{name}_wall"), F.col("slot").alias(f"{name}_slot"))
-    span = dimensions.where("kind = 'length'").withColumn("value", F.col("m")).join(slots("lo"), ["plan_id", "lo_wall"]).join(slots("hi"), ["plan_id", "hi_wall"])
+    span = dimensions.where("kind = 'length'").withColumn("value", F.col("m")).hint("merge").join(slots("lo"), ["plan_id", "lo_wall"]).hint("merge").join(slots("hi"), ["plan_id", "hi_wall"])
     out["span"] = [_term(span, "span", _span("hi_slot", "hi_side", "lo_slot", "lo_side"), F.col("m"), _metres(), metric=True, note=True)]
 
-    pairs = dimensions.where("kind = 'pair'").select("plan_id", "seq", "text", "room", "a", "b").join(_boxes(rooms), ["plan_id", "room"]).join(plan, "plan_id")
+    pairs = dimensions.where("kind = 'pair'").select("plan_id", "seq", "text", "room", "a", "b").hint("merge").join(_boxes(rooms), ["plan_id", "room"]).hint("merge").join(plan, "plan_id")
     s = F.exp("log_s")
     off = lambda m, lo, hi: F.abs(F.log(F.col(m) / ((F.col(hi) - F.col(lo)) * s)))
     straight = off("a", "x0", "x1") + off("b", "y0", "y1") <= off("b", "x0", "x1") + off("a", "y0", "y1")
@@ -159,13 +159,13 @@ def terms(walls: DataFrame, rooms: DataFrame, dimensions: DataFrame, scales: Dat
     face = lambda name, slot, o: faces.where(F.col("side") == name).select("plan_id", "room", F.col("slot").alias(slot), F.col("off").alias(o))
     out["room"] = []
     for lo, hi, m in (("l", "r", "mx"), ("t", "b", "my")):
-        both = pairs.withColumn("value", F.col(m)).join(face(lo, "lo_slot", "lo_side"), ["plan_id", "room"]).join(face(hi, "hi_slot", "hi_side"), ["plan_id", "room"])
+        both = pairs.withColumn("value", F.col(m)).hint("merge").join(face(lo, "lo_slot", "lo_side"), ["plan_id", "room"]).hint("merge").join(face(hi, "hi_slot", "hi_side"), ["plan_id", "room"])
         out["room"].append(_term(both, "room", _span("hi_slot", "hi_side", "lo_slot", "lo_side"), F.col("value"), _metres(), metric=True, note=True))
 
     areas = rooms.select("plan_id", F.col("id").alias("room"), "type", F.when(F.size("polygon") >= 3, g.area(F.col("polygon"))).alias("px"))
     all_ = areas.where("type is null or type <> 'Outdoor'").groupBy("plan_id").agg(F.sum("px").alias("all_px"))
     asked = dimensions.where("kind in ('area', 'total_area')").withColumn("value", F.col("area")).withColumn("room", F.when(F.col("kind") == "area", F.col("room")))
-    asked = asked.join(areas.select("plan_id", "room", "px", F.lit(True).alias("hosted")), ["plan_id", "room"], "left").join(all_, "plan_id", "left").join(plan, "plan_id")
+    asked = asked.hint("merge").join(areas.select("plan_id", "room", "px", F.lit(True).alias("hosted")), ["plan_id", "room"], "left").hint("merge").join(all_, "plan_id", "left").hint("merge").join(plan, "plan_id")
     asked = asked.withColumn("px", F.when(F.col("hosted"), F.col("px")).otherwise(F.col("all_px"))).where("px > 0 and area > 0")
     for kind in ("area", "total_area"):
         out[kind] = [_term(asked.where(F.col("kind") == kind), kind, [(last, 2.0)], F.log(F.col("area") / F.col("px")), 0.03, note=True)]
@@ -174,7 +174,7 @@ def terms(walls: DataFrame, rooms: DataFrame, dimensions: DataFrame, scales: Dat
     for name in FAMILIES:
         for part in out[name] if name in families else []:
             made = part if made is None else made.unionByName(part)
-    return made.join(plan.select("plan_id"), "plan_id", "left_semi")
+    return made.hint("merge").join(plan.select("plan_id"), "plan_id", "left_semi")
 
 
 def _residuals(rows: DataFrame, x: str = "x") -> DataFrame:
@@ -255,9 +255,9 @@ def _advance(frames):
 
 def starts(soft: DataFrame, walls: DataFrame, scales: DataFrame) -> DataFrame:
     """(plan_id, start): the values before the first round, of each plan that has terms."""
-    moving = model(walls).join(soft.select("plan_id").distinct(), "plan_id", "left_semi")
+    moving = model(walls).hint("merge").join(soft.select("plan_id").distinct(), "plan_id", "left_semi")
     flat = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slot", F.array("centre", "lo", "hi", "thickness").alias("at")))), lambda w: w["at"]))
-    return moving.groupBy("plan_id").agg(flat.alias("at")).join(scales, "plan_id").select("plan_id", F.concat("at", F.array(F.log("scale"))).alias("start"))
+    return moving.groupBy("plan_id").agg(flat.alias("at")).hint("merge").join(scales, "plan_id").select("plan_id", F.concat("at", F.array(F.log("scale"))).alias("start"))
 
 
 def solve(soft: DataFrame, walls: DataFrame, scales: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -268,8 +268,8 @@ def solve(soft: DataFrame, walls: DataFrame, scales: DataFrame, rounds: int = RO
     state = start.select("plan_id", "start", F.col("start").alias("x"), F.col("start").alias("best"), F.lit(float("inf")).alias("cost"), F.lit(1e-6).alias("damp"), none("int").alias("ki"), none("int").alias("kj"), none("double").alias("kv"), F.lit(False).alias("settled"), F.lit(0).alias("rounds"))
     state = checkpointed(state)
     for _ in range(rounds):
-        sums = _normal_equations(soft.join(state.where("not settled").select("plan_id", "x"), "plan_id")).groupBy("plan_id").agg(F.collect_list(F.struct("i", "j", "v")).alias("q"))
-        tried = state.join(sums.select("plan_id", "q.i", "q.j", "q.v"), "plan_id", "left")
+        sums = _normal_equations(soft.hint("merge").join(state.where("not settled").select("plan_id", "x"), "plan_id")).groupBy("plan_id").agg(F.collect_list(F.struct("i", "j", "v")).alias("q"))
+        tried = state.hint("merge").join(sums.select("plan_id", "q.i", "q.j", "q.v"), "plan_id", "left")
         state = checkpointed(tried.mapInPandas(_advance, _STATE.format(kind=kind)))
         if state.where("not settled").isEmpty():
             break
@@ -278,7 +278,7 @@ def solve(soft: DataFrame, walls: DataFrame, scales: DataFrame, rounds: int = RO
 
 def report(soft: DataFrame, solved: DataFrame) -> tuple[DataFrame, DataFrame]:
     """by_family and annotations of `Refined`. Residuals of lengths and sides are in metres, others in units of sigma."""
-    rows = soft.join(solved.select("plan_id", "start", "x"), "plan_id")
+    rows = soft.hint("merge").join(solved.select("plan_id", "start", "x"), "plan_id")
     rows = _residuals(_residuals(rows, "start").withColumn("before", F.col("r")))
     root = lambda c: F.sqrt(F.avg(F.col(c) * F.col(c)))
     by_family = rows.groupBy("plan_id", "family").agg(F.count("*").alias("n"), root("before").alias("rms_before"), root("r").alias("rms_after"))
@@ -294,7 +294,7 @@ def report(soft: DataFrame, solved: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _knots(moving: DataFrame, solved: DataFrame) -> DataFrame:
     """(plan_id, axis, old, new): centres, both faces and ends of the walls that moved."""
     at = lambda f: F.element_at("x", _at("slot", f) + 1)
-    rows = moving.join(solved.select("plan_id", "x"), "plan_id").select("*", at(CENTRE).alias("c1"), at(LO).alias("l1"), at(HI).alias("h1"), at(THICKNESS).alias("t1"))
+    rows = moving.hint("merge").join(solved.select("plan_id", "x"), "plan_id").select("*", at(CENTRE).alias("c1"), at(LO).alias("l1"), at(HI).alias("h1"), at(THICKNESS).alias("t1"))
     across, along = F.when(F.col("way") == "h", "y").otherwise("x"), F.when(F.col("way") == "h", "x").otherwise("y")
     face = lambda k: F.struct(across.alias("axis"), (F.col("centre") + k * F.col("thickness") / 2).alias("old"), (F.col("c1") + k * F.col("t1") / 2).alias("new"))
     end = lambda a, b: F.struct(along.alias("axis"), F.col(a).alias("old"), F.col(b).alias("new"))
@@ -318,21 +318,21 @@ def refine(walls: DataFrame, rooms: DataFrame, openings: DataFrame, furniture: D
     moving = checkpointed(model(walls))
     ends = lambda df, of: df.select("plan_id", F.lit(of).alias("of"), "id", F.array("p0", "p1").alias("points"))
     ring = lambda df, of: df.select("plan_id", F.lit(of).alias("of"), "id", F.col("polygon").alias("points"))
-    others = walls.join(moving.select("plan_id", F.col("wall").alias("id")), ["plan_id", "id"], "left_anti")
+    others = walls.hint("merge").join(moving.select("plan_id", F.col("wall").alias("id")), ["plan_id", "id"], "left_anti")
     shapes = ends(others, "wall").unionByName(ring(rooms, "room")).unionByName(ends(openings, "opening")).unionByName(ring(furniture, "furniture"))
     moved = checkpointed(_followed(shapes, _knots(moving, solved)))
     of = lambda name: moved.where(F.col("of") == name).drop("of")
 
     x = lambda f: F.element_at("x", _at("slot", f) + 1)
     across, lo, hi = x(CENTRE), x(LO), x(HI)
-    new = moving.join(solved.select("plan_id", "x"), "plan_id")
+    new = moving.hint("merge").join(solved.select("plan_id", "x"), "plan_id")
     upright = F.col("way") == "v"
     new = new.select("plan_id", F.col("wall").alias("id"), F.when(upright, F.array(across, lo)).otherwise(F.array(lo, across)).alias("_a"), F.when(upright, F.array(across, hi)).otherwise(F.array(hi, across)).alias("_b"), x(THICKNESS).alias("_t"))
-    back = walls.join(new, ["plan_id", "id"], "left").join(of("wall"), ["plan_id", "id"], "left")
+    back = walls.hint("merge").join(new, ["plan_id", "id"], "left").hint("merge").join(of("wall"), ["plan_id", "id"], "left")
     back = back.withColumns({"p0": F.coalesce("_a", F.col("moved")[0], "p0"), "p1": F.coalesce("_b", F.col("moved")[1], "p1"), "thickness": F.coalesce("_t", "thickness")}).select(*walls.columns)
-    ringed = lambda df, name: df.join(of(name), ["plan_id", "id"], "left").withColumn("polygon", F.coalesce("moved", "polygon")).select(*df.columns)
+    ringed = lambda df, name: df.hint("merge").join(of(name), ["plan_id", "id"], "left").withColumn("polygon", F.coalesce("moved", "polygon")).select(*df.columns)
     host = back.select("plan_id", F.col("id").alias("wall_id"), F.col("thickness").alias("_t"))
-    opened = openings.join(of("opening"), ["plan_id", "id"], "left").join(host, ["plan_id", "wall_id"], "left").join(solved.select("plan_id", F.lit(True).alias("_moved")), "plan_id", "left")
+    opened = openings.hint("merge").join(of("opening"), ["plan_id", "id"], "left").hint("merge").join(host, ["plan_id", "wall_id"], "left").hint("merge").join(solved.select("plan_id", F.lit(True).alias("_moved")), "plan_id", "left")
     opened = opened.withColumns({"p0": F.coalesce(F.col("moved")[0], "p0"), "p1": F.coalesce(F.col("moved")[1], "p1"), "thickness": F.when(F.col("_moved"), F.coalesce("_t", "thickness")).otherwise(F.col("thickness"))}).select(*openings.columns)
     plans = solved.select("plan_id", F.exp(F.element_at("x", -1)).alias("scale"), "settled", "rounds")
     by_family, annotations = report(soft, solved)
