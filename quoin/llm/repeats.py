@@ -6,7 +6,8 @@ earlier. Neither operator has a row for each position:
 1. Winnowing: each gram is assigned to its least `anchor`-token hash, so equal grams have equal
    anchors at equal places. The grams of one anchor are neighbours; they and the tokens that they
    cover are its context. Batches tell each shard their anchors; an anchor that stands nowhere else
-   ends here, for none of its grams can be repeated. This is a filter and decides no removal.
+   with the same tokens to its left or to its right ends here, for none of its grams can be repeated.
+   This is a filter and decides no removal.
 2. What is left goes to the anchors' shards as text, each different context of a batch once, at its
    first place. So all equal grams of the corpus meet in one shard. Op 4 puts a shard's stretches in
    suffix order and takes from the previous and next smaller documents the longest previous factors
@@ -33,6 +34,8 @@ from quoin.llm.arrays import NOT_SPACE, U64, chunks, get_ints, mix, prefix_sums,
 from quoin.llm.exchange import batched, ordered, shown_id, shuffle_parts
 
 SHARED, MANY = 1, 2
+ENTRY = 9  # bytes of an anchor's entry: five of its hash, two of its mark, one for each side
+SLICE = 1 << 16  # tokens, or bytes of text, worked on at once: numpy's columns of them stay in a core's cache
 MANY_CONTEXTS = 2048  # of an anchor; beyond them its grams are dealt out by their own hashes
 _HEAD = struct.Struct("<qIBB")
 
@@ -49,62 +52,100 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - last + count, count) + np.arange(last[-1] if len(last) else 0)
 
 
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first place of each different key, which of them each key is, and how often it stands there."""
+    n = len(key)
+    bits = U64(max(1, (n - 1).bit_length()))
+    order = np.sort((key >> bits << bits) | np.arange(n, dtype=U64))  # many times faster than a sort of places
+    order = (order & ((U64(1) << bits) - U64(1))).astype(np.int64)
+    key = key[order]
+    top = key >> bits
+    new = np.append(True, key[1:] != key[:-1])[:n]
+    if np.any(new[1:] & (top[1:] == top[:-1])):  # keys that differ in their last bits only
+        return np.unique(key[np.argsort(order)], return_index=True, return_inverse=True, return_counts=True)[1:]
+    which = np.empty(n, dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    return order[at], which, np.diff(np.append(at, n))
+
+
+def by_shard(shard: np.ndarray) -> np.ndarray:
+    """The stable order of shards; numbers of 16 bits are counted into place, not compared."""
+    return np.argsort(shard.astype(np.uint16) if int(shard.max(initial=0)) < 1 << 16 else shard, kind="stable")
+
+
 class Part:
-    """A chunk's tokens: running sums, each document's first and last + 1, and the tokens' bytes."""
+    """A chunk's tokens, each document's first and last + 1, and the tokens' bytes."""
 
     def __init__(self, chunk, kind: Kind):
         self.chunk = chunk
         if kind.words:
-            tokens, self.byte, self.byte_end, first = chunk.words(NOT_SPACE)
+            self.tokens, self.byte, self.byte_end, first = chunk.words(NOT_SPACE)
             self.start, self.end = first[:-1], first[1:]
         else:
-            tokens, self.start, self.end = chunk.buf, chunk.start, chunk.end
+            self.tokens, self.start, self.end = chunk.buf, chunk.start, chunk.end
             self.byte = self.byte_end = None
-        self.n = len(tokens)
-        self.sums = prefix_sums(tokens)
+        self.n = len(self.tokens)
 
-    def text(self, lo: np.ndarray, hi: np.ndarray) -> list[bytes]:
-        """The bytes of tokens[lo:hi] of each pair."""
-        a, b = (lo, hi) if self.byte is None else (self.byte[lo], self.byte_end[hi - 1])
-        buf = self.chunk.buf.data
-        return [bytes(buf[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    def slices(self):
+        """Runs of whole documents (first, last + 1) of about SLICE tokens."""
+        first = 0
+        while first < len(self.start):
+            last = max(first + 1, int(np.searchsorted(self.end, self.start[first] + SLICE, side="right")))
+            yield first, last
+            first = last
+
+    def span(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the bytes of tokens[lo:hi] of each pair begin and end."""
+        return (lo, hi) if self.byte is None else (self.byte[lo], self.byte_end[hi - 1])
 
 
 class Outline:
-    """The contexts of a batch, in order of document and place, and what it tells the shards of anchors."""
+    """The contexts of a batch, in order of document and place, and what it tells the shards of anchors
+    (`asking`; else it doesn't look at the anchors' sides)."""
 
-    def __init__(self, ids: np.ndarray, texts: list[bytes], kind: Kind, shards: int):
-        self.kind, self.ids, self.shards = kind, ids, shards
+    def __init__(self, ids: np.ndarray, texts: list[bytes], kind: Kind, shards: int, asking: bool = True):
+        self.kind, self.ids, self.shards, self.asking = kind, ids, shards, asking
         self.parts = [Part(c, kind) for c in chunks(texts)]
         columns: list[list[np.ndarray]] = []
         for i, part in enumerate(self.parts):
-            columns.append(self._contexts(i, part))
-        self.part, self.doc, self.at, self.count, self.hash, self.context, self.lead = (np.concatenate(c) for c in zip(*columns, strict=True)) if columns else (np.zeros(0, dtype=np.int64),) * 7
+            columns.extend(self._contexts(i, part, *docs) for docs in part.slices())
+        self.part, self.doc, self.at, self.count, self.hash, self.context, self.lead, self.sides = (np.concatenate(c) for c in zip(*columns, strict=True)) if columns else (np.zeros(0, dtype=np.int64),) * 8
         # the first of equal contexts is at the earliest place
-        _, first, which, times = np.unique(self.context, return_index=True, return_inverse=True, return_counts=True)
-        shard = (self.hash[first] & U64(0xFFFFFF)) % U64(max(1, shards))
-        order = np.argsort(shard, kind="stable")
+        first, which, times = distinct(self.context)
+        order = by_shard(shard := (self.hash[first] & U64(0xFFFFFF)) % U64(max(1, shards)))
         self.shard = shard[order].astype(np.int64)
         self.first, self.times = first[order], times[order]
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
         self.entry = place[which]  # of each context
 
-    def _contexts(self, number: int, part: Part) -> list[np.ndarray]:
-        kind, n = self.kind, part.n
-        size = np.maximum(part.end - part.start - kind.gram + 1, 0)
-        grams = ranges(part.start, size)
+    def _contexts(self, number: int, part: Part, first: int, last: int) -> list[np.ndarray]:
+        """Those of the part's documents from `first` up to `last`."""
+        kind, base = self.kind, part.start[first]
+        start, end = part.start[first:last] - base, part.end[first:last] - base
+        n = int(end[-1])
+        size = np.maximum(end - start - kind.gram + 1, 0)
+        grams = ranges(start, size)
         if not len(grams):
-            return [np.zeros(0, dtype=np.int64)] * 4 + [np.zeros(0, dtype=U64)] * 2 + [np.zeros(0, dtype=np.int64)]
-        h = window_hash(part.sums, kind.anchor)
+            return [np.zeros(0, dtype=np.int64)] * 4 + [np.zeros(0, dtype=U64)] * 2 + [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint16)]
+        sums = prefix_sums(part.tokens[base : base + n])
+        h = window_hash(sums, kind.anchor)
         bits = U64(max(24, n.bit_length()))
         least = sliding_min((h >> bits << bits) | np.arange(len(h), dtype=U64), kind.gram - kind.anchor + 1)
         anchor = (least[grams] & ((U64(1) << bits) - U64(1))).astype(np.int64)
         doc = np.repeat(np.arange(len(size)), size)
         new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])))
         lo, count, doc, anchor = grams[new], np.diff(np.append(new, len(grams))), doc[new], anchor[new]
-        context = mix(stretch_hash(part.sums, lo, lo + count + kind.gram - 1) + (anchor - lo).astype(U64))
-        return [np.full(len(lo), number), doc + part.chunk.first, lo - part.start[doc], count, h[anchor], context, anchor - lo]
+        context = mix(stretch_hash(sums, lo, lo + count + kind.gram - 1) + (anchor - lo).astype(U64))
+        # a gram reaches so far to the left of its anchor, or else at least so far to the right of it
+        sides = np.zeros((len(lo), 2), dtype=np.uint8)
+        reach = kind.gram - kind.anchor
+        half = reach // 2
+        for side, has, back, on in ((0, anchor - lo >= half, half, 0), (1, anchor - lo - count + 1 < half, 0, reach - half)) if self.asking else ():
+            at = anchor[has]
+            sides[has, side] = stretch_hash(sums, at - back, at + kind.anchor + on) % U64(255) + U64(1)
+        return [np.full(len(lo), number), doc + first + part.chunk.first, lo - start[doc], count, h[anchor], context, anchor - lo, sides.view(np.uint16).ravel()]
 
     def place(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Document id and place of contexts, by which they are ordered."""
@@ -118,10 +159,13 @@ class Outline:
 
     def sent(self):
         """(shard, blob) of the anchors: one entry for each different context."""
+        entries = np.empty((len(self.first), ENTRY), dtype=np.uint8)
+        entries[:, :5] = (self.hash[self.first] >> U64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+        mark = (self.context[self.first] >> U64(49) << U64(1)) | (self.times > 1).astype(U64)
+        entries[:, 5:7] = mark.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :2]
+        entries[:, 7:] = self.sides[self.first].astype(np.uint16).view(np.uint8).reshape(-1, 2)
         for shard, s in _cut(self.shard):
-            i = self.first[s]
-            mark = (self.context[i] >> U64(49) << U64(1)) | (self.times[s] > 1).astype(U64)
-            yield shard, struct.pack("<I", len(i)) + put_ints(self.hash[i] >> U64(24), 5) + put_ints(mark, 2)
+            yield shard, entries[s].tobytes()
 
     def token(self, i: np.ndarray) -> np.ndarray:
         """First token, in its part, of contexts."""
@@ -131,13 +175,18 @@ class Outline:
             out[of] = part.start[self.doc[i[of]] - part.chunk.first] + self.at[i[of]]
         return out
 
-    def texts(self, i: np.ndarray, token: np.ndarray, size: np.ndarray) -> list[bytes]:
-        """The bytes of `size` tokens from `token` on, in the parts of contexts i."""
-        out = np.empty(len(i), dtype=object)
-        for number, part in enumerate(self.parts):
-            of = np.flatnonzero(self.part[i] == number)
-            out[of] = np.fromiter(part.text(token[of], token[of] + size[of]), dtype=object, count=len(of))
-        return out.tolist()
+    def texts(self, i: np.ndarray, token: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of `size` tokens from `token` on, in the parts of contexts i: end to end, and how many of each."""
+        begin, length = np.zeros(len(i), dtype=np.int64), np.zeros(len(i), dtype=np.int64)
+        of_part = [np.flatnonzero(self.part[i] == number) for number in range(len(self.parts))]
+        for part, of in zip(self.parts, of_part, strict=True):
+            begin[of], end = part.span(token[of], token[of] + size[of])
+            length[of] = end - begin[of]
+        to = np.cumsum(length) - length
+        out = np.empty(int(length.sum()), dtype=np.uint8)
+        for part, of in zip(self.parts, of_part, strict=True):
+            out[ranges(to[of], length[of])] = part.chunk.buf[ranges(begin[of], length[of])]
+        return out, length
 
 
 def _cut(shard: np.ndarray):
@@ -201,10 +250,10 @@ class Asked:
         gram = np.zeros(len(self.token), dtype=U64)
         for number, part in enumerate(outline.parts):
             of = np.flatnonzero(outline.part[self.owner] == number)
-            gram[of] = stretch_hash(part.sums, self.token[of], self.token[of] + kind.gram)
+            if len(of):
+                gram[of] = stretch_hash(prefix_sums(part.tokens), self.token[of], self.token[of] + kind.gram)
         _, first, which = np.unique(gram, return_index=True, return_inverse=True)
-        shard = (gram[first] & U64(0xFFFFFF)) % U64(max(1, outline.shards))
-        order = np.argsort(shard, kind="stable")
+        order = by_shard(shard := (gram[first] & U64(0xFFFFFF)) % U64(max(1, outline.shards)))
         self.first, self.shard = first[order], shard[order].astype(np.int64)
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
@@ -222,18 +271,17 @@ class Asked:
         """(shard, sort, blob): whole contexts (1) and single grams (2)."""
         o, gram = self.outline, self.outline.kind.gram
 
-        def blob(i, offset, count):
+        def blobs(sort, shards, i, offset, count):
             doc, at = o.place(i)
-            texts = o.texts(i, o.token(i) + offset, count + gram - 1)
-            size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-            return Stretches(doc, at + (offset if o.kind.words else 0), count, o.lead[i] - offset, size, b"".join(texts)).packed()
+            at, lead = at + (offset if o.kind.words else 0), o.lead[i] - offset
+            text, size = o.texts(i, o.token(i) + offset, count + gram - 1)
+            end = np.cumsum(size)
+            for shard, s in _cut(shards):
+                held = text[end[s.start] - size[s.start] : end[s.stop - 1]].tobytes()
+                yield shard, sort, Stretches(doc[s], at[s], count[s], lead[s], size[s], held).packed()
 
-        for shard, s in _cut(self.whole_shard):
-            i = self.whole[s]
-            yield shard, 1, blob(i, np.zeros(len(i), dtype=np.int64), o.count[i])
-        for shard, s in _cut(self.shard):
-            i = self.first[s]
-            yield shard, 2, blob(self.owner[i], self.offset[i], np.ones(len(i), dtype=np.int64))
+        yield from blobs(1, self.whole_shard, self.whole, np.zeros(len(self.whole), dtype=np.int64), o.count[self.whole])
+        yield from blobs(2, self.shard, self.owner[self.first], self.offset[self.first], np.ones(len(self.first), dtype=np.int64))
 
     def removed(self, whole: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(part, first token, last + 1) of what goes, from the shards' answers and from equals within the batch."""
@@ -260,21 +308,28 @@ class Asked:
 
 
 def shared_anchors(blobs: list[bytes]) -> list[bytes]:
-    """For each entry of each blob, whether its anchor stands elsewhere, too (SHARED), and in MANY contexts."""
-    sizes = [struct.unpack_from("<I", b)[0] for b in blobs]
-    anchor = np.concatenate([get_ints(b, n, 5, 4) for b, n in zip(blobs, sizes, strict=True)])
-    mark = np.concatenate([get_ints(b, n, 2, 4 + 5 * n) for b, n in zip(blobs, sizes, strict=True)])
-    order = np.argsort((anchor << U64(15)) | (mark >> U64(1)))
-    anchor, mark = anchor[order], mark[order]
-    new = np.append(True, anchor[1:] != anchor[:-1])
-    run = np.cumsum(new) - 1
-    entries = np.bincount(run)
-    repeated = np.bincount(run, weights=mark & U64(1)) > 0
-    contexts = np.bincount(run, weights=new | np.append(True, mark[1:] >> U64(1) != mark[:-1] >> U64(1)))
-    status = np.where((entries > 1) | repeated, SHARED, 0) | np.where(contexts > MANY_CONTEXTS, MANY, 0)
-    out = np.empty(len(order), dtype=np.uint8)
-    out[order] = status[run]
-    return [x.tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])]
+    """For each entry of each blob, whether grams of it can stand elsewhere, too (SHARED), and whether its anchor
+    does so in MANY contexts. Equal grams have equal anchors and agree on what lies to the left of them or on
+    what lies to the right: short anchors that meet by chance, more of them the larger the input, end here."""
+    sizes = [len(b) // ENTRY for b in blobs]
+    raw = np.zeros((sum(sizes), 16), dtype=np.uint8)
+    raw[:, [0, 1, 2, 3, 4, 8, 9, 10, 11]] = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, ENTRY)
+    anchor, mark = raw.view("<u8").astype(U64).T
+    rank, _ = dense_rank(anchor, np.zeros(len(anchor), dtype=U64), 0)
+    shared = mark & U64(1) > 0
+    near = np.flatnonzero(np.bincount(rank)[rank] > 1)
+    for shift in (16, 24):
+        side = mark[near] >> U64(shift) & U64(255)
+        alike, _ = dense_rank(rank[near], side, 8)
+        shared[near] |= (np.bincount(alike)[alike] > 1) & (side > 0)
+    near = np.flatnonzero(shared)
+    context, _ = dense_rank(rank[near], mark[near] >> U64(1) & U64((1 << 15) - 1), 15)
+    of = np.zeros(int(context.max(initial=0)) + 1, dtype=np.int64)
+    of[context] = rank[near]
+    out = shared.astype(np.uint8) * np.uint8(SHARED)
+    out[near[np.bincount(of[1:], minlength=int(rank.max(initial=0)) + 1)[rank[near]] > MANY_CONTEXTS]] |= MANY
+    told, ends = out.tobytes(), np.cumsum(sizes).tolist()
+    return [told[end - n : end] for n, end in zip(sizes, ends, strict=True)]
 
 
 def dense_rank(high: np.ndarray, low: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -324,11 +379,11 @@ class SuffixOrder:
             rank, _ = dense_rank(rank, after, int(rank.max(initial=1)).bit_length())
             width *= 2
 
-    def sorted(self, start: np.ndarray) -> np.ndarray:
-        """The order of the suffixes that begin at some positions; ties as they are given."""
+    def sorted(self, start: np.ndarray, length: int | None = None) -> np.ndarray:
+        """The order of the suffixes that begin at some positions, by their first `length` bytes at least; ties as they are given."""
         width, rank = self.levels[-1]
         key, order = rank[start], np.argsort(rank[start], kind="stable")
-        for turn in range(1, -(-int((self.end[start] - start).max(initial=1)) // width)):
+        for turn in range(1, -(-int(length or (self.end[start] - start).max(initial=1)) // width)):
             after = rank[np.minimum(start + turn * width, self.end[start])]
             key, order = dense_rank(key, after, int(after.max(initial=1)).bit_length())
         return order
@@ -374,13 +429,34 @@ def smaller_neighbour(doc: np.ndarray, lcp: np.ndarray, floor: int) -> tuple[np.
     return before, common
 
 
-def longest_previous_factor(strings: Stretches, floor: int) -> np.ndarray:
+def factors(text: bytes, size: np.ndarray, count: np.ndarray, doc: np.ndarray, floor: int, exact: bool = True) -> np.ndarray:
+    """For each gram of different strings end to end, the length of the longest prefix of its suffix, at least
+    `floor` or else 0, that a suffix of a smaller document also has; without `exact`, any length from `floor` up to it.
+    In suffix order the previous and the next place of a smaller document hold the two longest candidates."""
+    suffixes = SuffixOrder(np.frombuffer(text, dtype=np.uint8), size, floor)
+    start = ranges(np.cumsum(size + 1) - size - 1, count)
+    doc = np.repeat(doc, count)
+    order = suffixes.sorted(start, None if exact else floor)
+    at, d = start[order], doc[order]
+    lcp = np.zeros(len(at), dtype=np.int64)
+    lcp[1:] = suffixes.common(at[:-1], at[1:])
+    _, left = smaller_neighbour(d, lcp, floor)
+    _, right = smaller_neighbour(d[::-1], np.append(0, lcp[1:][::-1]), floor)
+    found = np.empty(len(at), dtype=np.int64)
+    found[order] = np.maximum(left, right[::-1])
+    return found
+
+
+def longest_previous_factor(strings: Stretches, floor: int, anchor: int = 0) -> np.ndarray:
     """For each gram of the strings, the length of the longest prefix of its suffix, at least `floor` or
-    else 0, that a suffix of a smaller document also has. In suffix order the previous and the next
-    place of a smaller document hold the two longest candidates.
+    else 0, that a suffix of a smaller document also has.
 
-    Equal strings would be neighbours there, at every one of their suffixes. They are laid down once,
-    for the least of their documents; in the others the whole rest of the string is an earlier match."""
+    Equal strings would be neighbours in suffix order, at every one of their suffixes. They are laid down
+    once, for the least of their documents; in the others the whole rest of the string is an earlier match.
+
+    With `anchor`, the strings have anchors of so many bytes, and equal grams have equal ones: each block of
+    strings of some anchors has its suffix order, a string that alone has its anchor needs none, and lengths
+    from `floor` on may be less than the longest."""
     bounds = np.cumsum(strings.size)
     least: dict[bytes, int] = {}
     slices = [strings.text[a:b] for a, b in zip((bounds - strings.size).tolist(), bounds.tolist(), strict=True)]
@@ -389,21 +465,29 @@ def longest_previous_factor(strings: Stretches, floor: int) -> np.ndarray:
     for i in by_doc.tolist():
         own[i] = least.setdefault(slices[i], i)
     by = np.fromiter(least.values(), dtype=np.int64, count=len(least))  # by document
-    size, count = strings.size[by], strings.count[by]
-    text = np.frombuffer(b"".join(least), dtype=np.uint8)
-    suffixes = SuffixOrder(text, size, floor)
-    start = ranges(np.cumsum(size + 1) - size - 1, count)
-    doc = np.repeat(strings.doc[by], count)
-    order = suffixes.sorted(start)
-    at, d = start[order], doc[order]
-    lcp = np.zeros(len(at), dtype=np.int64)
-    lcp[1:] = suffixes.common(at[:-1], at[1:])
-    _, left = smaller_neighbour(d, lcp, floor)
-    _, right = smaller_neighbour(d[::-1], np.append(0, lcp[1:][::-1]), floor)
-    found = np.empty(len(at), dtype=np.int64)
-    found[order] = np.maximum(left, right[::-1])
+    group = np.zeros(len(by), dtype=np.int64)
+    if anchor:
+        number: dict[bytes, int] = {}
+        group[:] = [number.setdefault(slices[i][a : a + anchor], len(number)) for i, a in zip(by.tolist(), strings.lead[by].tolist(), strict=True)]
+        many = np.bincount(group, minlength=1) > 1
+        order = np.argsort(group, kind="stable")
+        order = order[many[group[order]]]
+        new = np.append(True, np.diff(group[order]) > 0)[: len(order)]
+        before = np.cumsum(strings.size[by[order]]) - strings.size[by[order]]
+        block = before[np.flatnonzero(new)[np.cumsum(new) - 1]] // SLICE if len(order) else before
+    else:
+        order = np.arange(len(by))
+        block = np.zeros(len(by), dtype=np.int64)
+    count = strings.count[by]
+    first_of = np.cumsum(count) - count
+    found = np.zeros(int(count.sum()), dtype=np.int64)
+    for _, s in _cut(block):
+        mine = order[s]
+        i = by[mine]
+        text = b"".join([slices[k] for k in i.tolist()])
+        found[ranges(first_of[mine], count[mine])] = factors(text, strings.size[i], count[mine], strings.doc[i], floor, exact=not anchor)
     first = np.empty(len(strings.doc), dtype=np.int64)
-    first[by] = np.cumsum(count) - count
+    first[by] = first_of
     offset = ranges(np.zeros(len(own), dtype=np.int64), strings.count)
     owner = np.repeat(np.arange(len(own)), strings.count)
     rest = strings.size[owner] - offset
@@ -462,7 +546,7 @@ def earlier_by_extension(strings: Stretches, gram: int, anchor: int) -> np.ndarr
 def settled(blobs: list[bytes], kind: Kind) -> list[bytes]:
     """For each gram of the stretches sent, whether it goes: one bit each."""
     strings = unpacked(blobs)
-    hit = earlier_by_extension(strings, kind.gram, kind.anchor) if kind.words else longest_previous_factor(strings, kind.gram) >= kind.gram
+    hit = earlier_by_extension(strings, kind.gram, kind.anchor) if kind.words else longest_previous_factor(strings, kind.gram, kind.anchor) >= kind.gram
     sizes = [struct.unpack_from("<qI", b)[1] for b in blobs]
     owner = np.repeat(np.arange(len(blobs)), sizes)
     grams = np.bincount(owner, weights=strings.count, minlength=len(blobs)).astype(np.int64)
@@ -500,7 +584,7 @@ def remove_repeats(docs: DataFrame, kind: Kind) -> DataFrame:
     """doc_id, n_tokens, n_removed, spans (the maximal runs of removed tokens, end exclusive) and kept
     (what is left, as bytes; of words, joined by one space) of each row."""
     rows, n = batched(docs)
-    shards = 4 * max(n, shuffle_parts(docs.sparkSession))
+    shards = 2 * max(n, shuffle_parts(docs.sparkSession))
 
     def ask(table):
         batch = table.column("batch")[0].as_py()
@@ -514,7 +598,7 @@ def remove_repeats(docs: DataFrame, kind: Kind) -> DataFrame:
 
     def asked(table, told) -> Asked:
         status = b"".join(b for _, b in _told(told, 0))
-        return Asked(Outline(*ordered(table), kind, shards), np.frombuffer(status, dtype=np.uint8))
+        return Asked(Outline(*ordered(table), kind, shards, asking=False), np.frombuffer(status, dtype=np.uint8))
 
     def ask_more(table, told):
         batch = table.column("batch")[0].as_py()

@@ -179,6 +179,41 @@ def test_passages_in_batches(monkeypatch, many):
             assert settle(worded, repeats.WORDS_20) == sorted(plain.word_dedup([x for b in worded for x in b]), key=str)
 
 
+def test_chance_anchors_end_early():
+    """An anchor that texts share by chance, in other surroundings, is not sent on; a whole gram is."""
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    for size, sent in ((30, False), (34, False), (50, True), (70, True)):
+        shared = text(size)
+        batches = [[(d, text(90) + f"<{d}" + shared + f"{d}>" + text(90))] for d in range(4)]
+        outlines = [repeats.Outline(np.array([d for d, _ in b]), [t.encode() for _, t in b], repeats.BYTES_50, 1) for b in batches]
+        status = repeats.shared_anchors([blob for o in outlines for _, blob in o.sent()])
+        assert any(any(s) for s in status) == sent
+        assert settle(batches, repeats.BYTES_50) == sorted(plain.byte_dedup([x for b in batches for x in b]), key=str)
+
+
+def test_blocks_of_anchors(monkeypatch):
+    """Small slices of texts and blocks of anchors give the same."""
+    for size in (1, 300):
+        monkeypatch.setattr(repeats, "SLICE", size)
+        for seed in range(6):
+            rng = random.Random(seed)
+            pool = [t for s in range(4) for _, t in passages(50 * seed + s)]
+            docs = [(d, "".join(rng.choice(pool)[: rng.randint(0, 200)] for _ in range(4))) for d in range(16)]
+            for batches in ([docs], [docs[::3], docs[1::3], docs[2::3]]):
+                assert settle(batches, repeats.BYTES_50) == sorted(plain.byte_dedup(docs), key=str)
+
+
+def test_distinct_keys():
+    """Keys that differ in their last bits only are told apart."""
+    rng = random.Random(8)
+    for bits in (3, 20, 63):
+        keys = np.array([(1 << 63) - rng.randrange(1 << bits) for _ in range(300)], dtype=np.uint64)
+        first, which, times = repeats.distinct(keys)
+        assert keys[first][which].tolist() == keys.tolist() and times.sum() == 300 and len(first) == len(set(keys.tolist()))
+        assert first.tolist() == [keys.tolist().index(k) for k in keys[first].tolist()] and times.tolist() == [keys.tolist().count(k) for k in keys[first].tolist()]
+
+
 def stretches(texts, docs, gram):
     """Stretches of some byte strings, all of whose grams are asked about."""
     size = np.array([len(t) for t in texts])
